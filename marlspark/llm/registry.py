@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspark.llm import html_text, language, line_dedup, pieces, quality, sharding, simhash, urls
+from marlspark.llm import html_text, language, line_dedup, pieces, quality, sharding, simhash, suffix_dedup, urls
 from marlspark.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_url_filters": op7_url_filters,
         "op8_language_id": op8_language_id,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
     }
 
