@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspark.llm import html_text, language, line_dedup, pieces, quality, sharding, simhash, suffix_dedup, urls
+from marlspark.llm import decontamination, html_text, language, line_dedup, pieces, quality, sharding, simhash, suffix_dedup, urls
 from marlspark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_decontamination": op2_decontamination,
         "op3_sharding": op3_sharding,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_html_text": op5_html_text,
