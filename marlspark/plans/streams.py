@@ -1 +1,51 @@
-"""Queries."""
+"""Streaming queries over `events`, and the same results from batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlspark.plans.base import query
+from marlspark.streaming import changes
+
+SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+
+
+WINDOW = "ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 120 SECOND AND ts <= TIMESTAMP '2024-01-20 00:00:00'"
+
+
+@query(f"SELECT event_id, user_id, event_type FROM events WHERE {WINDOW}")
+def stream_delta_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of a window that begins two minutes before the checkpoint, read as a stream."""
+    condition = "ts > TIMESTAMP_NTZ '2024-01-10 00:00:00' - INTERVAL 120 SECONDS AND ts <= TIMESTAMP_NTZ '2024-01-20 00:00:00'"
+    path, write = changes.append_to(spark, "delta-window")
+    changes.run_to_end(_events(spark, sf_dir).where(condition).select("event_id", "user_id", "event_type"), write, "delta-window")
+    return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{path}/batch=*")
+
+
+@query("SELECT user_id, event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id, event_type")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest value of each (user, type), upserted from the stream; rows read twice change nothing."""
+    table = changes.KeyedTable(spark, "latest", ["user_id", "event_type"], ["ts", "event_id"], "user_id long, event_type string, ts timestamp_ntz, event_id long, value double, digest string")
+    stream = changes.fingerprinted(_events(spark, sf_dir), ["event_id", "value"])
+
+    def twice(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, 2 * number)
+        table.upsert(batch, 2 * number + 1)  # the overlap of the next window
+
+    changes.run_to_end(stream, twice, "latest")
+    return table.read().select("user_id", "event_type", "value")
+
+
+@query("SELECT user_id AS product, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS code, count(*) AS changes FROM events GROUP BY user_id")
+def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product's last code and number of changes, from per-key state."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("product"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("event"), F.col("event_type").alias("code"))
+    path, write = changes.append_to(spark, "codes")
+    changes.run_to_end(changes.last_codes(rows), write, "codes", "update")
+    found = spark.read.schema("product long, code string, changes long").parquet(f"{path}/batch=*")
+    return found.groupBy("product").agg(F.max_by("code", "changes").alias("code"), F.max("changes").alias("changes"))
