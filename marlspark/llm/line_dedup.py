@@ -84,7 +84,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     """(id, text_hash, drops): the positions of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    cuts = sorted(set(docs.select(doc.alias("id")).approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.select(doc.alias("id")).approxQuantile("id", shares, 0.01))) if shares else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + (F.col("id") > F.lit(int(cut))).cast("int")
