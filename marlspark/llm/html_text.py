@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED_ROWS = 2000
+PRIOR = 2
 #: Elements by their part in a page.
 RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|option|button|head"
 ASIDE = {"nav", "aside", "form", "footer", "header", "menu", "dialog", "fieldset"}
@@ -101,9 +102,11 @@ def learn_weights(pages: DataFrame, rows: int = LABELLED_ROWS) -> dict[str, floa
     counts = sample.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
     table = {(r["kind"], r["inside"]): r["n"] for r in counts}
     inside, outside = (sum(n for (_, i), n in table.items() if i == side) + 1 for side in (True, False))
+    # A few pseudo-counts at the average rate, so that what was hardly seen is no evidence.
+    prior = PRIOR / (inside + outside)
     weights = {}
     for kind in {"#", "other"} | BLOCK | INLINE:
-        odds = math.log((table.get((kind, True), 0) + 1) / inside) - math.log((table.get((kind, False), 0) + 1) / outside)
+        odds = math.log(table.get((kind, True), 0) / inside + prior) - math.log(table.get((kind, False), 0) / outside + prior)
         weights[kind] = min(3.0, max(0.2, odds)) if kind == "#" else max(-8.0, min(-0.1, odds))
     return weights | {k: -8.0 for k in CONTENT | {"body", "html"}}
 
