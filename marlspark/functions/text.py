@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,9 +37,13 @@ def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once, however often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Lower-case word tokens with aliases put in their place."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
     def spelled(x: Column) -> Column:
         out = F.array(x)
@@ -46,8 +51,10 @@ def tokens(text: Column) -> Column:
             out = F.when(x == alias, F.array(*map(F.lit, words))).otherwise(out)
         return out
 
-    aliased = F.arrays_overlap(found, F.array(*map(F.lit, ALIASES)))
-    return F.when(aliased, F.flatten(F.transform(found, spelled))).otherwise(found)
+    def aliased(found: Column) -> Column:
+        return F.when(F.arrays_overlap(found, F.array(*map(F.lit, ALIASES))), F.flatten(F.transform(found, spelled))).otherwise(found)
+
+    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), aliased)
 
 
 def query_form(text: Column) -> Column:

@@ -17,12 +17,18 @@ CODE = r"^[A-Z][A-Z0-9_]{0,49}$"
 def parse_name(name: Column, expected: Column) -> Column:
     """A struct of a file name's parts, with `error` null if all is well; the first failing check names it."""
     value = F.trim(F.coalesce(name, F.lit("")))
-    group = lambda i: F.regexp_extract(value, SHAPE, i)
+    parts = F.struct(value.alias("value"), *[F.regexp_extract(value, SHAPE, i).alias(f"g{i}") for i in range(1, 7)], expected.alias("expected"))
+    return text.let(parts, _checked)
+
+
+def _checked(parts: Column) -> Column:
+    value, expected = parts["value"], parts["expected"]
+    group = lambda i: parts[f"g{i}"]
     department = text.department_code(group(1))
     extension = F.lower(group(6))
     error = (
         F.when((value == "") | F.contains(value, F.lit("/")) | F.contains(value, F.lit("\\")), "INVALID_FILENAME")
-        .when(~value.rlike(SHAPE), "INVALID_FILENAME_FORMAT")
+        .when(group(1) == "", "INVALID_FILENAME_FORMAT")
         .when(~department.rlike(CODE), "UNKNOWN_DEPARTMENT")
         .when(expected.isNotNull() & (department != expected), "DEPARTMENT_MISMATCH")
         .when(~group(2).isin(*KINDS), "UNSUPPORTED_DOCUMENT_KIND")

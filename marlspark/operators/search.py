@@ -22,10 +22,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, keep: object = None) -> Da
     lengths = tokenised.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # Only terms that some query asks for leave the scan; lengths travel with them.
-    postings = tokenised.select("doc_id", "dl", *extra, F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # Only terms that some query asks for leave the scan; lengths travel with them. The outer form keeps
+    # Spark from tokenising once more to find texts without terms.
+    postings = tokenised.select("doc_id", "dl", *extra, F.explode_outer("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     counted = postings.groupBy("term", "doc_id", "dl", *extra).agg(F.count(F.lit(1)).alias("tf"))
-    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counting rows by their tf keeps this branch's plan equal to the scoring one, so its shuffle is reused.
+    frequency = counted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weight = frequency.select("term", numeric.idf(lengths.select("n").scalar(), F.col("df")).alias("weight"))
     found = counted if keep is None else counted.where(keep)
     part = numeric.bm25_term(F.col("tf"), F.col("dl"), lengths.select("avgdl").scalar(), F.col("weight"), K1, B)

@@ -24,7 +24,7 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) GROUP BY term")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and documents of every term."""
-    each = _docs(spark, sf_dir).select("doc_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    each = _docs(spark, sf_dir).select("doc_id", F.explode_outer(text.tokens(F.col("text"))).alias("term")).where("term IS NOT NULL").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
