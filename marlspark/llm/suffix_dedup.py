@@ -12,8 +12,10 @@ suffixes at anchors, about one in 128 bytes, are sorted, and every possible star
 3. A bucket sorts its suffixes by multikey quicksort, and what lies left of the anchors likewise; the
    common prefixes of neighbours give classes of equal strings for each length, and so the starts that
    occur twice, exactly.
-4. Heads that very many anchors share (over `hot` of them) don't go to one bucket: each of their starts
-   is hashed (128 bits) and counted by a shuffle with map-side sums.
+4. Heads that very many anchors share (over `hot` of them) don't go to one bucket. A ladder of ever
+   longer strings to the left and right of such an anchor is counted by a shuffle with map-side sums;
+   what occurs once ends its side. Starts that both sides still allow, few unless they are repeated,
+   are hashed whole (128 bits) and counted the same way.
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` lose nothing; texts of
 at least that size that are equal to another row's lose everything, repeated rows included; a null
@@ -23,6 +25,7 @@ doc_id is an id of its own; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,8 @@ LENGTH = 400
 WINDOW = 256
 GRAM = 8
 BUCKET_ROWS = 20_000
-HOT = 20_000
+#: Anchors of one head that a bucket takes at most; at 0.7 KB each they fit a Python worker several times over.
+HOT = 100_000
 LAST = (1 << 63) - 1
 
 
@@ -126,6 +130,12 @@ def _spans(found: np.ndarray, x: np.ndarray, length: int) -> tuple[np.ndarray, n
     return row, x[row] - after + 1, x[row] - first + length
 
 
+def _ladder(length: int, window: int) -> tuple[list[int], list[int]]:
+    """Lengths to the left and right of a hot anchor at which its surroundings are counted."""
+    left = [n for n in (4, 8, 16, 32, 64, 128, 256, 512) if n < window]
+    return left, sorted({length - window + 1 + i * window // 8 for i in range(1, 8)} | {length})
+
+
 def _head(data: bytes, x: int, length: int, window: int) -> bytes:
     return data[x : x + length - window + 1]
 
@@ -165,51 +175,90 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     wanted = found.join(shared.select("head", "cold"), "head").groupBy("d", "h").agg(F.collect_set(F.when(F.col("cold") == 1, F.col("head"))).alias("cold"), F.collect_set(F.when(F.col("cold") == 0, F.col("head"))).alias("hot"))
     chosen = texts.select("d", "h", "text").join(wanted, ["d", "h"])
 
-    def cut_out(kind: str) -> Iterator:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
-
-            digest, wide = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
-            for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    part = batch.slice(start, 256)
-                    out: list[tuple] = []
-                    for doc, key, text, heads in zip(*(part.column(c).to_pylist() for c in ("d", "h")), part.column("text").cast(pa.binary()).to_pylist(), part.column(kind).to_pylist(), strict=True):
-                        wanted = set(heads)
-                        if not wanted:
-                            continue
-                        for x, lo, hi in zip(*(v.tolist() for v in anchors(text, length, window)), strict=True):
-                            head = _head(text, x, length, window)
-                            if np.uint64(digest(head)).view(np.int64) in wanted:
-                                if kind == "cold":
-                                    out.append((doc, key, x, lo, hi, head, text[lo : hi + length]))
-                                else:
-                                    for j in range(lo, hi + 1):
-                                        v = wide(text[j : j + length])
-                                        out.append((doc, key, j, (v >> 64) - (1 << 63), (v & (1 << 64) - 1) - (1 << 63)))
-                    if out:
-                        names = ("d", "h", "x", "lo", "hi", "head", "bytes") if kind == "cold" else ("d", "h", "j", "k1", "k2")
-                        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()) if kind == "cold" else (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], list(names))
-
-        return run
-
-    suffixes = written(chosen.mapInArrow(cut_out("cold"), "d long, h long, x int, lo int, hi int, head binary, bytes binary"), "suffixes")
+    left_steps, right_steps = _ladder(length, window)
+
+    def signed(v: int) -> int:
+        return v - (1 << 64) if v >> 63 else v
+
+    def each_wanted(batch: pa.RecordBatch, heads: str) -> Iterator[tuple]:
+        """(d, h, text, x, lo, hi, head's hash, other columns) of each anchor whose head is in the row's list."""
+        import xxhash
+
+        names = [c for c in batch.schema.names if c not in ("d", "h", "text", heads)]
+        for doc, key, text, wanted, *rest in zip(*(batch.column(c).to_pylist() for c in ("d", "h")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column(heads).to_pylist(), *(batch.column(c).to_pylist() for c in names), strict=True):
+            if wanted := set(wanted):
+                for x, lo, hi in zip(*(v.tolist() for v in anchors(text, length, window)), strict=True):
+                    k = signed(xxhash.xxh3_64_intdigest(_head(text, x, length, window)))
+                    if k in wanted:
+                        yield doc, key, text, x, lo, hi, k, *rest
+
+    def batches_of(rows: Iterator[tuple], names: tuple, types: tuple) -> Iterator[pa.RecordBatch]:
+        while part := list(islice(rows, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], list(names))
+
+    def cut_cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d, h, x, lo, hi, k, _head(t, x, length, window), t[lo : hi + length]) for b in batches for d, h, t, x, lo, hi, k in each_wanted(b.drop_columns(["hot"]), "cold"))
+        yield from batches_of(rows, ("d", "h", "x", "lo", "hi", "k", "head", "bytes"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))
+
+    def steps_of(text: bytes, x: int, lo: int, hi: int, k: int) -> list[int]:
+        """Hashes of the ladder's strings that some start of this anchor covers."""
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        seed = k & (1 << 64) - 1
+        out = [signed(digest(text[x - n : x], seed ^ n)) for n in left_steps if n <= x - lo]
+        return out + [signed(digest(text[x : x + n], seed ^ n << 32)) for n in right_steps if n <= hi + length - x]
+
+    def cut_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d, h, s) for b in batches for d, h, t, x, lo, hi, k in each_wanted(b.drop_columns(["cold"]), "hot") for s in steps_of(t, x, lo, hi, k))
+        yield from batches_of(rows, ("d", "h", "step"), (pa.int64(), pa.int64(), pa.int64()))
+
+    def cut_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for d, h, t, x, lo, hi, k, again in each_wanted(b, "hot"):
+                    known = set(again or ())
+                    mine = steps_of(t, x, lo, hi, k)
+                    reach_left = [n for n in left_steps if n <= x - lo]
+                    reach_right = [n for n in right_steps if n <= hi + length - x]
+                    alone_left = next((n for n, s in zip(reach_left, mine, strict=False) if s not in known), window + 1)
+                    alone_right = next((n for n, s in zip(reach_right, mine[len(reach_left) :], strict=True) if s not in known), length + 1)
+                    # A start `a` bytes before the anchor is one of a kind if it covers a string that is.
+                    for a in range(max(x - hi, length - alone_right + 1), min(x - lo, alone_left - 1) + 1):
+                        v = xxhash.xxh3_128_intdigest(t[x - a : x - a + length])
+                        yield d, h, x - a, signed(v >> 64), signed(v & (1 << 64) - 1)
+
+        yield from batches_of(rows(), ("d", "h", "j", "k1", "k2"), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))
+
+    suffixes = written(chosen.where(F.size("cold") > 0).mapInArrow(cut_cold, "d long, h long, x int, lo int, hi int, k long, head binary, bytes binary"), "suffixes", "zstd")
     buckets = suffixes.repartitionByRange(max(1, -(-total // bucket_rows)), "head")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
         if not got:
             return
-        table = pa.Table.from_batches(got)
-        x, lo, hi = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "lo", "hi"))
-        row, s, e = _spans(repeated_starts(x, lo, hi, table.column("bytes").to_pylist(), length, window), x, length)
-        d, h = (table.column(c).to_numpy()[row] for c in ("d", "h"))
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["d", "h", "s", "e"])
-
-    spans = buckets.select("d", "h", "x", "lo", "hi", "bytes").mapInArrow(compare, "d long, h long, s int, e int")
+        table = pa.Table.from_batches(got).sort_by("k")
+        k = table.column("k").to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]]).tolist()
+        lo = 0
+        for this, following in pairwise(starts):  # whole heads, about bucket_rows at a time
+            if following == len(k) or this - lo >= bucket_rows:
+                part = table.slice(lo, following - lo)
+                x, first, last = (part.column(c).to_numpy().astype(np.int64) for c in ("x", "lo", "hi"))
+                row, s, e = _spans(repeated_starts(x, first, last, part.column("bytes").to_pylist(), length, window), x, length)
+                d, h = (part.column(c).to_numpy()[row] for c in ("d", "h"))
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["d", "h", "s", "e"])
+                lo = following
+
+    spans = buckets.select("d", "h", "x", "lo", "hi", "k", "bytes").mapInArrow(compare, "d long, h long, s int, e int")
     if any_hot:
-        starts = written(chosen.mapInArrow(cut_out("hot"), "d long, h long, j int, k1 long, k2 long"), "suffix-starts")
+        heated = chosen.where(F.size("hot") > 0)
+        steps = written(heated.mapInArrow(cut_steps, "d long, h long, step long"), "suffix-steps")
+        shared_steps = steps.groupBy("step").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("step")
+        again = steps.join(shared_steps, "step").groupBy("d", "h").agg(F.collect_set("step").alias("again"))
+        starts = written(heated.drop("cold").join(again, ["d", "h"], "left").select("d", "h", "text", "hot", "again").mapInArrow(cut_starts, "d long, h long, j int, k1 long, k2 long"), "suffix-starts")
         twice = starts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
         spans = spans.unionAll(starts.join(twice, ["k1", "k2"]).select("d", "h", F.col("j").alias("s"), (F.col("j") + length).alias("e")))
     single = spans.groupBy("d", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(one_each.where("copies = 1").select("d", "h"), ["d", "h"], "left_semi")
