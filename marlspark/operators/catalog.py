@@ -30,8 +30,8 @@ def inventory_status(quantities: Column, available: Column) -> Column:
 
 
 def stock(quantities: Column) -> Column:
-    """Total stock; negative counts are nothing."""
-    return F.sum(F.greatest(quantities, F.lit(0)))
+    """Total stock; negative counts are nothing; null if no count is known."""
+    return F.sum(F.when(quantities.isNotNull(), F.greatest(quantities, F.lit(0))))
 
 
 def fingerprint(*columns: str) -> Column:

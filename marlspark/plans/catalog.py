@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlspark.functions import text
-from marlspark.operators import catalog
+from marlspark.functions import text, web
+from marlspark.operators import catalog, layout, products
 from marlspark.plans.base import query, read
 
 
@@ -322,3 +322,49 @@ def code_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, part in parts[1:]:
         rows = rows.unionAll(part.withColumn("side", F.lit(name)))
     return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"))
+
+
+@query(
+    """WITH q AS (SELECT p_partkey AS product, ['R', 'a', 'N', 'x'][p_size % 4 + 1] AS c FROM part), k AS (SELECT q.product, min(l_returnflag) AS asked FROM q JOIN lineitem ON l_partkey = product AND lower(l_returnflag) = lower(c) GROUP BY ALL),
+    v AS (SELECT q.product, k.asked, l.*, CASE WHEN l_linestatus = 'O' THEN l_quantity - 40 END AS qty, CASE WHEN l_linenumber < 5 THEN l_quantity > 45 END AS av FROM q LEFT JOIN k USING (product) JOIN lineitem l ON l_partkey = q.product WHERE k.asked IS NULL OR l_returnflag = k.asked)
+    SELECT product, asked, count(*) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most, CAST(sum(greatest(qty, 0)) FILTER (WHERE qty IS NOT NULL) AS BIGINT) AS stock, count(*) FILTER (WHERE coalesce(av, false) OR coalesce(qty, 0) > 0) AS available,
+      CASE WHEN count(*) FILTER (WHERE coalesce(av, false) OR coalesce(qty, 0) > 0) > 0 THEN 'in_stock' WHEN count(qty) > 0 OR count(av) = count(*) THEN 'out_of_stock' ELSE 'unknown' END AS state FROM v GROUP BY product, asked"""
+)
+def product_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product as a search result, held to the color that its query asks for."""
+    asked = _parts(spark, sf_dir).select(F.col("p_partkey").alias("product"), F.concat(F.lit("Giày màu "), F.get(F.array(*map(F.lit, "RaNx")), (F.col("p_size") % 4).cast("int"))).alias("query"))
+    lines = read(spark, sf_dir, "lineitem")
+    variants = lines.select(
+        F.col("l_partkey").alias("product"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"),
+        F.col("l_returnflag").alias("color"),
+        F.col("l_extendedprice").alias("price"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_quantity") - 40).alias("quantity"),
+        F.when(F.col("l_linenumber") < 5, F.col("l_quantity") > 45).alias("available"),
+    )
+    return products.results(variants, asked).withColumn("stock", F.col("stock").cast("long"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#]+') THEN url END AS safe, CASE WHEN regexp_matches(regexp_extract(url, '^[^?#]*'), '\\.html$') THEN 'text/html' ELSE 'image/jpeg' END AS mime,
+    printf('p%04d-%03d-%s.png', page_id % 9999, page_id % 100, substr(sha256(url), 1, 12)) AS asset FROM pages"""
+)
+def url_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe urls, media types and asset names of pages."""
+    url = F.col("url")
+    name = web.asset_name((F.col("page_id") % 9999).cast("int"), (F.col("page_id") % 100).cast("int"), F.sha2("url", 256))
+    return read(spark, sf_dir, "pages").select("page_id", web.safe_url(url).alias("safe"), web.mime_of(url).alias("mime"), name.alias("asset"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, user_id, CASE WHEN event_type IN ('signup', 'error') THEN 1 WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'click' THEN 3 END AS level, event_type AS title, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    l AS (SELECT *, max(CASE WHEN level = 1 THEN k END) OVER w AS k1, max(CASE WHEN level = 2 THEN k END) OVER w AS k2, max(CASE WHEN level = 3 THEN k END) OVER w AS k3 FROM r WINDOW w AS (PARTITION BY user_id ORDER BY k))
+    SELECT l.event_id, concat_ws('/', a.title, CASE WHEN k2 > coalesce(k1, 0) THEN b.title END, CASE WHEN k3 > coalesce(k1, 0) AND k3 > coalesce(k2, 0) THEN c.title END) AS path
+    FROM l LEFT JOIN r a ON a.user_id = l.user_id AND a.k = k1 LEFT JOIN r b ON b.user_id = l.user_id AND b.k = k2 LEFT JOIN r c ON c.user_id = l.user_id AND c.k = k3"""
+)
+def heading_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's path of headings above it, by a stack of levels kept in windows."""
+    kind = F.col("event_type")
+    level = F.when(kind.isin("signup", "error"), 1).when(kind == "purchase", 2).when(kind == "click", 3)
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", level.alias("level"), kind.alias("title"))
+    return layout.heading_paths(rows, "user_id", ["ts", "event_id"], "level", "title").select("event_id", F.array_join("path", "/").alias("path"))
