@@ -47,3 +47,33 @@ def test_web(spark):
 @pytest.mark.parametrize(("query", "color"), [("giày màu đỏ đô", "Đỏ đô"), ("giày đỏ", None), ("", None)])
 def test_color(spark, query, color):
     assert one(spark, products.asked_color(F.array(F.lit("Đen"), F.lit("Đỏ đô")), F.lit(query))) == color
+
+
+def test_page_headings(spark):
+    from marlspark.operators import pdf_headings
+
+    rows = []
+
+    def line(page, *spans, y=50.0, x=10.0):
+        n = len({(r[1], r[2]) for r in rows})
+        for i, (text, size, bold) in enumerate(spans):
+            rows.append((1, page, n, i, text, size, bold, x + 30 * i, y, x + 30 * i + 20, y + 10, 800.0))
+
+    line(1, ("Handbook", 20.0, True))
+    line(1, ("Contents here:", 11.0, True))
+    line(1, ("PHẦN I. Start", 11.0, True))
+    line(2, ("PHẦN I. Start", 14.0, True))
+    line(2, ("I.", 11.0, True), y=100.0)
+    line(2, ("Rules", 11.0, True), y=100.5, x=40.0)
+    line(2, ("1.1. Hours:", 11.0, True), (" from eight to five, every day", 11.0, False))
+    line(2, ("a. Staff", 11.0, True))
+    line(2, ("❖ All of them:", 11.0, True))
+    line(2, ("- a bullet", 11.0, True))
+    line(2, ("plain text that makes up most of it all, by far the most", 11.0, False))
+    line(2, ("2", 9.0, False), y=790.0)
+    spans = spark.createDataFrame(rows, "doc_id long, page int, line int, span int, text string, size double, bold boolean, x1 double, y1 double, x2 double, y2 double, page_height double")
+    got = [(r.level, r.text) for r in pdf_headings.page_headings(spans).orderBy("position").collect()]
+    assert got == [
+        (1, "Handbook"), (2, "Contents here:"), (0, "PHẦN I. Start"), (1, "PHẦN I. Start"), (2, "I. Rules"), (3, "1.1. Hours:"), (0, "from eight to five, every day"), (4, "a. Staff"),
+        (5, "❖ All of them:"), (0, "- a bullet"), (0, "plain text that makes up most of it all, by far the most"),
+    ]
