@@ -60,10 +60,12 @@ def image_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", numeric.image_id(F.concat(F.lit("P"), "p_partkey"), F.md5("p_name"), F.col("p_brand")).alias("image_id"))
 
 
-@query()
+@query("SELECT page_id AS doc_id, 0 AS line, 1 AS level, 'markdown' AS reason, substr(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), 1, 500) AS text FROM pages WHERE trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) <> ''")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings found in the documents' plain text."""
-    return chunking.heading_rows(_docs(spark, sf_dir))
+    """Headings of the pages, whose titles are put before their text as Markdown."""
+    title = F.concat(F.lit("# "), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("\n"))
+    body = F.regexp_replace(F.regexp_extract("html", "(?s)</h1>(.*)</article>", 1), "<[^>]*>", "\n")
+    return chunking.heading_rows(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(title, body).alias("text")))
 
 
 @query()
