@@ -16,7 +16,8 @@ p AS (SELECT o_orderkey, name, m, replace(m.d, 'Đ', 'D') AS dep, CASE WHEN name
   WHEN m.k NOT IN ('QT', 'QD', 'CS', 'HD', 'BM', 'BC', 'KH', 'TL') THEN 'UNSUPPORTED_DOCUMENT_KIND' WHEN m.s = '000' THEN 'INVALID_SEQUENCE' WHEN lower(m.x) NOT IN ('pdf', 'docx', 'xlsx', 'csv', 'txt', 'md') THEN 'UNSUPPORTED_EXTENSION' END AS error FROM g)"""
 
 
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named(orders: DataFrame) -> DataFrame:
+    """Orders with a file name and its parts."""
     key = F.col("o_orderkey")
     pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
     quarter, sixteenth = F.floor(key / 4), F.floor(key / 16)
@@ -25,8 +26,12 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(["HR", "IT", "K TOÁN", "ĐT"], key % 4), F.lit("-"), pick(["QT", "HD", "XX", "BM"], quarter % 4), F.lit("-"), F.lpad((F.col("o_custkey") % 200).cast("string"), 3, "0"),
         F.lit("_"), slug, F.lit("_V"), key % 5, F.lit("."), pick(["pdf", "DOCX", "md", "pptx"], sixteenth % 4),
     )
-    rows = read(spark, sf_dir, "orders").select(key, "o_custkey", name.alias("name"), F.when(key % 7 == 0, "HR").alias("expected"))
-    return rows.select("o_orderkey", "o_custkey", "name", files.parse_name(F.col("name"), F.col("expected")).alias("p"))
+    rows = orders.select(key, "o_custkey", "o_orderstatus", name.alias("name"), F.when(key % 7 == 0, "HR").alias("expected"))
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "name", files.parse_name(F.col("name"), F.col("expected")).alias("p"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named(read(spark, sf_dir, "orders"))
 
 
 @query(f"WITH {NAMES} SELECT o_orderkey, error, CASE WHEN error IS NULL THEN dep || '-' || m.k || '-' || m.s END AS document_code, CASE WHEN error IS NULL THEN TRY_CAST(m.v AS INTEGER) END AS version, CASE WHEN error IS NULL THEN replace(m.slug, '-', ' ') END AS title, CASE WHEN error IS NULL THEN lower(m.x) END AS extension FROM p")
@@ -46,14 +51,17 @@ VERSIONS = f"""{NAMES}, f AS (SELECT p.o_orderkey AS file_id, o_custkey % 3 AS s
 d AS (SELECT * FROM f WHERE o_orderstatus = 'F'), w AS (SELECT * FROM f WHERE o_orderstatus <> 'F')"""
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    rows = _named(spark, sf_dir).where("p.error IS NULL").join(status, "o_orderkey")
-    return rows.select(
+def versions(orders: DataFrame) -> DataFrame:
+    """Orders with a good file name as versions of documents."""
+    return named(orders).where("p.error IS NULL").select(
         F.col("o_orderkey").alias("file_id"), (F.col("o_custkey") % 3).alias("source"), "p.document_code", "p.version", "p.slug", "o_orderstatus", (F.col("o_orderkey") % 3).cast("string").alias("checksum")
     )
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(read(spark, sf_dir, "orders"))
+
+
 @query(
     f"""WITH {VERSIONS}, l AS (SELECT source, document_code, max(version) AS latest FROM d GROUP BY ALL), ls AS (SELECT l.*, max(slug) AS latest_slug FROM l JOIN d ON d.source = l.source AND d.document_code = l.document_code AND d.version = l.latest GROUP BY ALL),
     e AS (SELECT source, document_code, version, min(checksum) AS old FROM d GROUP BY ALL)
@@ -77,7 +85,7 @@ def activation_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {NAMES}, s AS (SELECT p.o_orderkey, CASE WHEN error IS NOT NULL THEN 'error' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'new' ELSE 'skipped' END AS s FROM p JOIN orders USING (o_orderkey)) SELECT o_orderkey, CASE WHEN s IN ('completed', 'skipped') THEN 'DONE' WHEN s = 'error' THEN 'ERROR' END AS destination FROM s")
 def move_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folder that each file goes to."""
-    rows = _named(spark, sf_dir).join(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    rows = _named(spark, sf_dir)
     status = F.when(F.col("p.error").isNotNull(), "error").when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "new").otherwise("skipped")
     return rows.select("o_orderkey", files.destination(status).alias("destination"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspark.operators import files
+from marlspark.plans import base
+from marlspark.plans import files as intake
 from marlspark.plans.base import query
 from marlspark.streaming import changes
 
@@ -49,3 +52,20 @@ def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes.run_to_end(changes.last_codes(rows), write, "codes", "update")
     found = spark.read.schema("product long, code string, changes long").parquet(f"{path}/batch=*")
     return found.groupBy("product").agg(F.max_by("code", "changes").alias("code"), F.max("changes").alias("changes"))
+
+
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+
+
+@query(base.SQL["version_decision"])
+def stream_file_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New files as a stream; each batch is judged as a whole against the versions that are done."""
+    done = intake.versions(spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'"))
+    path, write = changes.append_to(spark, "intake")
+
+    def judge(batch: DataFrame, number: int) -> None:
+        write(files.decide_versions(intake.versions(batch), done).select("file_id", "outcome"), number)
+
+    stream = spark.readStream.schema(ORDERS).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parquet*")
+    changes.run_to_end(stream.where("o_orderstatus <> 'F'"), judge, "intake")
+    return spark.read.schema("file_id long, outcome string").parquet(f"{path}/batch=*")
