@@ -218,7 +218,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if len(known) > KEEP_WORDS:
                     known = _Emissions(model)
                 get = known.__getitem__
-                rows = [np.fromiter(map(get, WORD.findall((t or "").lower())), dtype=np.int64) for t in part.column("text").to_pylist()]
+                # A text of figures like ² alone, which the word pattern takes in, has no letter.
+                texts = [t if t and any(map(str.isalpha, t)) else "" for t in part.column("text").to_pylist()]
+                rows = [np.fromiter(map(get, WORD.findall(t.lower())), dtype=np.int64) for t in texts]
                 lengths = np.array([len(r) for r in rows])
                 label, score = np.full(len(rows), -1), np.zeros(len(rows))
                 if (has := np.flatnonzero(lengths)).size:

@@ -58,6 +58,8 @@ def test_edge_cases(edge, make):
     assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und" and got[1].score == 0
     assert got[12].lang_pred == "en"
     assert language.language_report(edge.where("false")).count() == 0
+    odd = language.language_report(edge.unionByName(make([(50, "² ½ 123 _"), (51, "é")]))).where("doc_id >= 50").orderBy("doc_id").collect()
+    assert odd[0].lang_pred == "und" and odd[1].lang_pred == "en"
     unlabelled = make([(1, "some words", None)])
     assert language.language_report(unlabelled).first().lang_pred == "und"
 
