@@ -37,6 +37,7 @@ from marlspark.llm.common import written
 LENGTH = 400
 WINDOW = 256
 GRAM = 8
+SPLITTER_BYTES = 24
 BUCKET_ROWS = 20_000
 #: Anchors of one head that a bucket takes at most; at 0.7 KB each they fit a Python worker several times over.
 HOT = 100_000
@@ -233,7 +234,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         yield from batches_of(rows(), ("d", "h", "j", "k1", "k2"), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))
 
     suffixes = written(chosen.where(F.size("cold") > 0).mapInArrow(cut_cold, "d long, h long, x int, lo int, hi int, k long, head binary, bytes binary"), "suffixes", "zstd")
-    buckets = suffixes.repartitionByRange(max(1, -(-total // bucket_rows)), "head")
+    # The first bytes of the head are enough to range over: equal heads stay together, and the sample of
+    # keys that Spark takes for the splitters stays small.
+    buckets = suffixes.repartitionByRange(max(1, -(-total // bucket_rows)), F.substring("head", 1, SPLITTER_BYTES))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -260,7 +263,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         again = steps.join(shared_steps, "step").groupBy("d", "h").agg(F.collect_set("step").alias("again"))
         starts = written(heated.drop("cold").join(again, ["d", "h"], "left").select("d", "h", "text", "hot", "again").mapInArrow(cut_starts, "d long, h long, j int, k1 long, k2 long"), "suffix-starts")
         twice = starts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
-        spans = spans.unionAll(starts.join(twice, ["k1", "k2"]).select("d", "h", F.col("j").alias("s"), (F.col("j") + length).alias("e")))
+        # A stage of its own, so that adaptive execution can split a string that very many rows hold.
+        found_hot = written(starts.join(twice, ["k1", "k2"]).select("d", "h", "j"), "suffix-hot")
+        spans = spans.unionAll(found_hot.select("d", "h", F.col("j").alias("s"), (F.col("j") + length).alias("e")))
     single = spans.groupBy("d", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(one_each.where("copies = 1").select("d", "h"), ["d", "h"], "left_semi")
     return written(single.unionAll(whole.dropDuplicates(["d", "h"])), "suffix-spans")
 
