@@ -262,8 +262,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         shared_steps = steps.groupBy("step").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("step")
         again = steps.join(shared_steps, "step").groupBy("d", "h").agg(F.collect_set("step").alias("again"))
         starts = written(heated.drop("cold").join(again, ["d", "h"], "left").select("d", "h", "text", "hot", "again").mapInArrow(cut_starts, "d long, h long, j int, k1 long, k2 long"), "suffix-starts")
-        twice = starts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
-        # A stage of its own, so that adaptive execution can split a string that very many rows hold.
+        # Both sides are written, so that each comes to the join by a shuffle of its own and adaptive
+        # execution can split a string that very many rows hold.
+        twice = written(starts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"), "suffix-twice")
         found_hot = written(starts.join(twice, ["k1", "k2"]).select("d", "h", "j"), "suffix-hot")
         spans = spans.unionAll(found_hot.select("d", "h", F.col("j").alias("s"), (F.col("j") + length).alias("e")))
     single = spans.groupBy("d", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")).join(one_each.where("copies = 1").select("d", "h"), ["d", "h"], "left_semi")
