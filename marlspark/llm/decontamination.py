@@ -10,9 +10,15 @@ A bitmap of the benchmark's window hashes, of a fixed size whatever the benchmar
 out only windows that can join; the join decides. Windows with fewer than two plain words are left out on
 both sides, as tables of numbers would match each other.
 
+Coverage and consistency are judged for each occurrence, not for the document as a whole. A hit puts the
+item's start at its own place less its place in the item. Hits that give one start are an occurrence, which
+finds every copy whatever stands around it; so are hits whose starts lie in one stretch of the item's length
+or four times that, as words put in or left out move the start. Stretches overlap by half, so starts that
+differ by half a stretch always share one. The best occurrence is reported.
+
 Defined results: null and empty texts match nothing; a text of fewer than five tokens is one window;
-items with a null id or text are passed over; repeated rows count once for their doc_id; an empty
-table on either side gives an empty result; a null doc_id is never reported and stays in `clean`.
+items with a null id or text are passed over; repeated rows count once for their doc_id; other texts under
+one id are judged each, and the best is reported; an empty table on either side gives an empty result; a null doc_id is never reported and stays in `clean`.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlspark.llm.common import written
@@ -105,15 +111,17 @@ def windows(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _windows_of(df: DataFrame, key: str, bitmap: object = None) -> DataFrame:
-    """(key, pos, hash, slots, n) of each usable window that may be in the bitmap; n: usable windows of the text."""
+    """(key, row, pos, hash, slots, n, size) of each usable window that may be in the bitmap; row: a hash of the text; n, size: its usable windows and its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         words = _Words()
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                keys, pos, found, values, count = [], [], [], [], []
+                keys, rows, pos, found, values, count, size = [], [], [], [], [], [], []
                 for k, text in zip(part.column(key).to_pylist(), part.column("text").to_pylist(), strict=True):
                     if not text:
                         continue
@@ -124,23 +132,43 @@ def _windows_of(df: DataFrame, key: str, bitmap: object = None) -> DataFrame:
                     hit = usable if bits is None else usable & (bits[(hashes % np.uint64(BITMAP_BITS) >> np.uint64(3)).astype(np.int64)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     where = np.flatnonzero(hit).tolist()
                     n = int(usable.sum())
+                    if where:
+                        keys += [k] * len(where)
+                        rows += [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))] * len(where)
+                        count += [n] * len(where)
+                        size += [len(codes)] * len(where)
                     for i in where:
-                        keys.append(k)
                         pos.append(i)
                         values.append([said[j] for j in range(i, min(i + WINDOW, len(said))) if slots[j]])
-                        count.append(n)
                     found.append(hashes[hit].view(np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.concatenate(found)), pa.array(values, pa.list_(pa.string())), pa.array(count, pa.int32())], [key, "pos", "hash", "slots", "n"]
+                        [
+                            pa.array(keys, pa.int64()),
+                            pa.array(np.array(rows, dtype=np.uint64).view(np.int64)),
+                            pa.array(pos, pa.int32()),
+                            pa.array(np.concatenate(found)),
+                            pa.array(values, pa.list_(pa.string())),
+                            pa.array(count, pa.int32()),
+                            pa.array(size, pa.int32()),
+                        ],
+                        [key, "row", "pos", "hash", "slots", "n", "size"],
                     )
 
-    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, pos int, hash long, slots array<string>, n int")
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, row long, pos int, hash long, slots array<string>, n int, size int")
+
+
+def _places(start: Column, size: Column) -> Column:
+    """The occurrences that a hit may belong to: its exact start, and the stretches of starts that hold it."""
+    stretch = lambda kind, width, shift: F.struct(F.lit(kind).alias("kind"), F.floor((start + shift) / width).alias("at"))
+    exact = F.struct(F.lit(0).alias("kind"), start.cast("long").alias("at"))
+    return F.array(exact, stretch(1, size, F.lit(0)), stretch(2, size, size / 2), stretch(3, 4 * size, F.lit(0)), stretch(4, 4 * size, 2 * size))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """(doc_id, item_id, coverage, consistency, kind): kind is `copy`, or `template` where slots differ."""
-    items = written(_windows_of(benchmark, "item_id").select("item_id", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "n").distinct(), "bench-windows")
+    mine = ["item_id", F.col("row").alias("item_row"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "n", "size"]
+    items = written(_windows_of(benchmark, "item_id").select(*mine).distinct(), "bench-windows")
     place = F.pmod("hash", F.lit(BITMAP_BITS))  # the same for signed and unsigned, as the size is a power of two
     byte = items.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(hash, {BITMAP_BITS}) & 7 as int))")).alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
@@ -148,16 +176,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         bitmap[row["byte"]] = row["bits"]
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     small = items.count() <= BROADCAST_WINDOWS
-    found = _windows_of(docs, "doc_id", sent).select("doc_id", "pos", "hash", "slots")
-    hits = written(found.join(F.broadcast(items) if small else items, "hash").select("doc_id", "item_id", "item_pos", "n", "slots", "item_slots"), "bench-hits")
+    found = _windows_of(docs, "doc_id", sent).select("doc_id", "row", "pos", "hash", "slots")
+    key = ["doc_id", "row", "item_id", "item_row"]
+    start = (F.col("pos") - F.col("item_pos")).alias("start")
+    hits = written(found.join(F.broadcast(items) if small else items, "hash").select(*key, "item_pos", start, "n", "size", "slots", "item_slots"), "bench-hits")
     share = (F.count_distinct("item_pos") / F.first("n")).alias("coverage")
-    enough = hits.groupBy("doc_id", "item_id").agg(share).where(F.col("coverage") >= coverage)
-    pairs = hits.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).alias("p"))
-    each = pairs.groupBy("doc_id", "item_id", "p").agg(F.count(F.lit(1)).alias("c"))
-    value = each.groupBy("doc_id", "item_id", F.col("p.item").alias("value")).agg(F.max("c").alias("most"), F.sum("c").alias("all"), F.sum(F.when(F.col("p.item") == F.col("p.doc"), 0).otherwise(F.col("c"))).alias("changed"))
-    slots = value.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("all")).alias("consistency"), F.sum("changed").alias("changed"))
-    joined = enough.join(slots, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("changed", F.lit(0)).alias("changed"))
-    return joined.where(F.col("consistency") >= consistency).select("doc_id", "item_id", "coverage", "consistency", F.when(F.col("changed") > 0, "template").otherwise("copy").alias("kind"))
+    # No occurrence holds more of an item than the whole text.
+    possible = hits.groupBy(*key).agg(share).where(F.col("coverage") >= coverage)
+    placed = hits.join(possible.drop("coverage"), key, "left_semi").withColumn("place", F.explode(_places(F.col("start"), F.col("size"))))
+    key.append("place")
+    enough = placed.groupBy(*key).agg(share).where(F.col("coverage") >= coverage)
+    pairs = placed.join(enough.drop("coverage"), key, "left_semi").select(*key, F.explode(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))).alias("p"))
+    each = pairs.groupBy(*key, "p").agg(F.count(F.lit(1)).alias("c"))
+    value = each.groupBy(*key, F.col("p.item").alias("value")).agg(F.max("c").alias("most"), F.sum("c").alias("all"), F.sum(F.when(F.col("p.item") == F.col("p.doc"), 0).otherwise(F.col("c"))).alias("changed"))
+    slots = value.groupBy(*key).agg((F.sum("most") / F.sum("all")).alias("consistency"), F.sum("changed").alias("changed"))
+    joined = enough.join(slots, key, "left").select("doc_id", "item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("changed", F.lit(0)).alias("changed"))
+    order = F.struct("coverage", "consistency", (-F.col("changed")).alias("same"))
+    best = joined.where(F.col("consistency") >= consistency).groupBy("doc_id", "item_id").agg(F.max(order).alias("best"))
+    return best.select("doc_id", "item_id", "best.coverage", "best.consistency", F.when(F.col("best.same") < 0, "template").otherwise("copy").alias("kind"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:

@@ -45,6 +45,35 @@ def test_copies_and_new_parameters(make, bench):
     assert {r.doc_id for r in left.collect()} >= {3, 5, 7, 8, None} and not {r.doc_id for r in left.collect()} & {1, 2, 6, 9}
 
 
+CHANGED = ITEM.replace("Boston", "Denver").replace("120", "340").replace("9", "7").replace("3 hours", "5 hours")
+
+
+def test_each_occurrence_is_judged(make, bench):
+    """Two parameterisations in one document, and a copy in a long text of stray windows with other values."""
+    stray = " ".join(f"it was said that a van leaves Oslo at {k} pm and travels {k + 1} miles in {k + 2} hours ." for k in range(30, 330))
+    docs = make(
+        [
+            (1, f"{ITEM} {CHANGED}"),
+            (2, f"{ITEM} {CHANGED} {CHANGED.replace('Denver', 'Rome').replace('340', '99')}"),
+            (3, f"{CHANGED} {CHANGED.replace('Denver', 'Rome').replace('340', '99').replace('7', '6')}"),
+            (4, f"{stray} {ITEM} {stray}"),
+            (5, stray),
+            (6, ITEM),
+            (6, CHANGED),
+            (7, ITEM.replace("miles in", "whole long miles of road in")),
+        ]
+    )
+    got = found(docs, bench)
+    assert got == {(1, 1): "copy", (2, 1): "copy", (3, 1): "template", (4, 1): "copy", (6, 1): "copy", (7, 1): "copy"}
+    assert {r.doc_id for r in dec.clean(docs, bench).collect()} == {5}
+
+
+def test_scattered_windows_are_no_hit(make, bench):
+    words, filler = ITEM.split(), " ".join(f"filler{k}" for k in range(400))
+    pieces = [" ".join(words[k : k + 7]) for k in range(0, len(words), 4)]
+    assert found(make([(1, f" {filler} ".join(pieces)), (2, ITEM)]), bench) == {(2, 1): "copy"}
+
+
 def test_windows_against_brute_force(spark, make, bench):
     """Hits through bitmap and join equal a direct comparison of templates."""
     texts = {1: ITEM, 2: "x " + OTHER, 3: "no number here at all , just some words in a row"}
