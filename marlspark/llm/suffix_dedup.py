@@ -6,9 +6,9 @@ suffixes at anchors, about one in 128 bytes, are sorted, and every possible star
 
 1. Anchors of all texts, with a hash of the bytes that any string through the anchor must share (its
    head). Equal texts count once here; they are repeated as a whole. Heads that occur once end here.
-2. The suffixes at the other anchors are range-partitioned by head with sampled splitters. Equal heads
-   fall into one bucket, so no comparison is lost at a boundary: two suffixes on different sides differ
-   within their heads.
+2. The suffixes at the other anchors are range-partitioned by the head's first bytes, then by its hash, with
+   sampled splitters. Equal heads fall into one bucket, so no comparison is lost at a boundary: two
+   suffixes on different sides differ within their heads. Heads that only start alike spread over buckets.
 3. A bucket sorts its suffixes by multikey quicksort, and what lies left of the anchors likewise; the
    common prefixes of neighbours give classes of equal strings for each length, and so the starts that
    occur twice, exactly.
@@ -141,6 +141,16 @@ def _head(data: bytes, x: int, length: int, window: int) -> bytes:
     return data[x : x + length - window + 1]
 
 
+def ranged(suffixes: DataFrame, n: int) -> DataFrame:
+    """Suffixes in n buckets; equal heads share one.
+
+    The sample of keys that Spark takes for the splitters stays small with the head's first bytes and its
+    hash k. By the hash, heads with the same first bytes spread over buckets, so a bucket's size is bounded
+    by its share and the rows of one head, at most `hot`.
+    """
+    return suffixes.repartitionByRange(n, F.substring("head", 1, SPLITTER_BYTES), "k")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, bucket_rows: int = BUCKET_ROWS, hot: int = HOT) -> DataFrame:
     """(d, h, spans): the byte spans to remove of each row that loses any; spans may overlap.
 
@@ -234,9 +244,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
         yield from batches_of(rows(), ("d", "h", "j", "k1", "k2"), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))
 
     suffixes = written(chosen.where(F.size("cold") > 0).mapInArrow(cut_cold, "d long, h long, x int, lo int, hi int, k long, head binary, bytes binary"), "suffixes", "zstd")
-    # The first bytes of the head are enough to range over: equal heads stay together, and the sample of
-    # keys that Spark takes for the splitters stays small.
-    buckets = suffixes.repartitionByRange(max(1, -(-total // bucket_rows)), F.substring("head", 1, SPLITTER_BYTES))
+    buckets = ranged(suffixes, max(1, -(-total // bucket_rows)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlspark.llm import suffix_dedup as sd
 from marlspark.llm.common import table
@@ -42,6 +43,22 @@ def test_against_brute_force(make, hot, bucket_rows):
     assert got(make(rows), length=40, window=16, hot=hot, bucket_rows=bucket_rows) == expected(rows, 40)
 
 
+def test_heads_of_one_prefix_spread_over_buckets(spark):
+    """4,000 heads of one 24-byte prefix, held by 5 rows each."""
+    rows = spark.range(20_000).selectExpr("cast(concat('-----------------------------', id % 4000) AS binary) AS head", "id % 4000 AS k").withColumn("k", F.xxhash64("k"))
+    placed = sd.ranged(rows, 20).withColumn("bucket", F.spark_partition_id())
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 5_000
+    assert placed.select("head", "bucket").distinct().count() == 4000
+
+
+def test_texts_that_start_alike(make):
+    draw = random.Random(5)
+    tails = ["".join(draw.choice("abcdef ") for _ in range(60)) for _ in range(40)]
+    rows = [(i, "".join(draw.choice("ghijk") for _ in range(8)) + "-" * 40 + tails[i % 40]) for i in range(120)]
+    assert got(make(rows), length=40, window=16, bucket_rows=5) == expected(rows, 40)
+
+
 def test_documents(spark, edge):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     assert got(docs) == expected([tuple(r) for r in docs.select("doc_id", "text").collect()], sd.LENGTH)
