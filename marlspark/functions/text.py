@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -42,8 +46,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@cache
+def not_plain() -> str:
+    """A class of all characters that NFKC may change: by themselves, or by joining the one before them."""
+    joining = {chr(c) for c in (*range(0x1160, 0x1200), *range(0xD7B0, 0xD800))}  # vowels and ends of Hangul syllables
+    changed = []
+    for point in range(0x80, sys.maxunicode + 1):
+        c = chr(point)
+        parts = unicodedata.decomposition(c)
+        if parts and not parts.startswith("<"):
+            joining.update(chr(int(p, 16)) for p in parts.split()[1:])
+        if not 0xD800 <= point < 0xE000 and (unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c):
+            changed.append(point)
+    ranges: list[list[int]] = []
+    for point in sorted({*changed, *map(ord, joining)}):
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return pd.Series([unicodedata.normalize("NFKC", t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC; only texts that it may change go to Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(not_plain()), text)), text)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case word tokens with aliases put in their place."""
+    """Lower-case word tokens of the text in NFKC with aliases put in their place."""
 
     def spelled(x: Column) -> Column:
         out = F.array(x)
@@ -54,7 +89,7 @@ def tokens(text: Column) -> Column:
     def aliased(found: Column) -> Column:
         return F.when(F.arrays_overlap(found, F.array(*map(F.lit, ALIASES))), F.flatten(F.transform(found, spelled))).otherwise(found)
 
-    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), aliased)
+    return let(F.regexp_extract_all(F.lower(nfkc(F.coalesce(text, F.lit("")))), F.lit(WORD), F.lit(0)), aliased)
 
 
 def query_form(text: Column) -> Column:

@@ -1,6 +1,8 @@
 """Small fixtures with results worked out by hand."""
 
 import io
+import re
+import unicodedata
 import zipfile
 
 import numpy as np
@@ -23,6 +25,29 @@ def test_tokens(spark):
     assert one(spark, text.tokens(F.lit("Cửa hàng TPHCM, số_1"))) == ["cửa", "hàng", "hồ", "chí", "minh", "số_1"]
 
 
+def test_tokens_are_in_nfkc(spark):
+    """Decomposed, full-width and ligature forms, as the reference's tokeniser gives them."""
+    texts = [unicodedata.normalize("NFD", "Cửa hàng TPHCM, số_1"), "ＡＢＣ １２３", "ﬁnal m² ½", "\u1112\u1161\u11ab글", "a\u0301\u0323b", "plain Größe été", "", None, "हिन्दी", "𝐀𝐁 x"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", text.tokens(F.col("t")).alias("w")).collect()
+    aliased = {"tphcm": ["hồ", "chí", "minh"]}
+    for r in rows:
+        plain = re.findall(r"[\w_]+", unicodedata.normalize("NFKC", texts[r.i] or "").lower())
+        assert r.w == [x for w in plain for x in aliased.get(w, [w])]
+
+
+def test_every_character_that_nfkc_changes_is_noticed():
+    odd = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", text.not_plain()))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert all(odd.search(c) for c in points if not unicodedata.is_normalized("NFKC", c))
+    assert not odd.search("Größe été naïve cửa hàng số 中文 русский 😀 한글")
+
+
+def test_bm25_finds_other_forms(spark):
+    docs = spark.createDataFrame([(1, unicodedata.normalize("NFD", "chính sách")), (2, "ｃｈíｎｈ"), (3, "khác")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "chính")], "query_id long, query string")
+    assert {r.doc_id for r in search.bm25(docs, asked, 10).collect()} == {1, 2}
+
+
 def test_normal_forms(spark):
     x = F.lit("Đế: Chất-Liệu  X")
     assert one(spark, text.query_form(x)) == "de chat lieu x"
