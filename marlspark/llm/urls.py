@@ -1,7 +1,7 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
 A listing has rows (host, path, verdict, is_rule). An entry fits its host and all subdomains if the
-url's path starts with the entry's. A url is looked up under all its host suffixes and the path lengths
+url's path starts with the entry's; one with an empty path fits any. A url is looked up under all its host suffixes and the path lengths
 that occur in the listing. The Bloom filter lets possible hits through, a few per cent of the keys;
 the hash join on the whole key removes its false positives. Rules go before plain listed entries, then
 the longest wins. Each distinct (host, path) is judged once and the verdicts are joined back.
@@ -42,7 +42,7 @@ def path_of(url: Column) -> Column:
 
 
 def default_listing(spark: SparkSession) -> DataFrame:
-    rows = [{"host": h, "path": p, "verdict": v, "is_rule": True} for v, h, p in RULES] + [{"host": h, "path": "/", "verdict": "block", "is_rule": False} for h in LISTED]
+    rows = [{"host": h, "path": p, "verdict": v, "is_rule": True} for v, h, p in RULES] + [{"host": h, "path": "", "verdict": "block", "is_rule": False} for h in LISTED]
     return small_table(spark, rows, "host string, path string, verdict string, is_rule boolean")
 
 
@@ -99,8 +99,9 @@ def judge(pages: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def url_report(pages: DataFrame) -> DataFrame:
-    return judge(pages, default_listing(pages.sparkSession)).select("page_id", "host", "path", "rule", "verdict")
+def url_report(pages: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """The verdicts by `listing`, or by the fixed values."""
+    return judge(pages, default_listing(pages.sparkSession) if listing is None else listing).select("page_id", "host", "path", "rule", "verdict")
 
 
 SQL = r"""

@@ -36,3 +36,14 @@ def test_no_listed_key_is_missed_and_few_others_pass(spark):
     listing = small_table(spark, [{"host": f"h{i}.net", "path": "/", "verdict": "block", "is_rule": False} for i in range(500)], "host string, path string, verdict string, is_rule boolean")
     pages = spark.range(1000).selectExpr("id AS page_id", "concat('http://h', id, '.net/x') AS url")
     assert urls.judge(pages, listing).where("verdict = 'block'").count() == 500
+
+
+def test_a_listed_host_is_blocked_without_a_path(spark):
+    pages = spark.createDataFrame([(1, "http://casino-win.example.com?x"), (2, "http://www.ads-track.example.com"), (3, "http://example.com?x"), (4, "http://free-bets.example.com/fr/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.url_report(pages).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_listing_as_a_table(spark):
+    listing = small_table(spark, [{"host": "spam-farm.example.com", "path": "", "verdict": "block", "is_rule": False}], "host string, path string, verdict string, is_rule boolean")
+    pages = spark.createDataFrame([(1, "http://spam-farm.example.com#x"), (2, "http://casino-win.example.com/"), (3, "http://a.spam-farm.example.com/en/1")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.url_report(pages, listing).collect()} == {1: "block", 2: "allow", 3: "block"}
