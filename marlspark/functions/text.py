@@ -64,7 +64,8 @@ def not_plain() -> str:
             ranges[-1][1] = point
         else:
             ranges.append([point, point])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+    # Most characters of Latin texts are passed over by the first class, which has few ranges.
+    return r"(?![\x00-\x9f\xc0-\u0131])[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 @F.pandas_udf(StringType())
