@@ -6,9 +6,11 @@ hash-joined with those of the benchmark. A document that holds at least `coverag
 is contaminated if the slots agree: each value of the item stands for one and the same value of the
 document nearly throughout (`consistency`), as in a copy or a question with new parameters.
 
-A bitmap of the benchmark's window hashes, of a fixed size whatever the benchmark's, lets the tasks send
-out only windows that can join; the join decides. Windows with fewer than two plain words are left out on
-both sides, as tables of numbers would match each other.
+Words and windows come from array operations over the characters of many texts at once; what a slot said is
+only looked up for windows that pass a bitmap of the benchmark's window hashes. The bitmap's size is fixed
+whatever the benchmark's; the join decides. Windows with fewer than two plain words are left out on both
+sides, as tables of numbers would match each other. The join asks for an item's rarest windows first, as many
+as no contaminated document can do without, so phrases common to items and corpus aren't paired out.
 
 Coverage and consistency are judged for each occurrence, not for the document as a whole. A hit puts the
 item's start at its own place less its place in the item. Hits that give one start are an occurrence, which
@@ -16,7 +18,8 @@ finds every copy whatever stands around it; so are hits whose starts lie in one
 or four times that, as words put in or left out move the start. Stretches overlap by half, so starts that
 differ by half a stretch always share one. The best occurrence is reported.
 
-Defined results: null and empty texts match nothing; a text of fewer than five tokens is one window;
+Defined results: null and empty texts match nothing; very long texts are taken whole, in pieces cut at white
+space; lower case is by character; a text of fewer than five tokens is one window;
 items with a null id or text are passed over; repeated rows count once for their doc_id; other texts under
 one id are judged each, and the best is reported; an empty table on either side gives an empty result; a null doc_id is never reported and stays in `clean`.
 """
@@ -25,10 +28,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspark.llm.common import written
@@ -38,7 +42,6 @@ COVERAGE = 0.5
 CONSISTENCY = 0.8
 BITMAP_BITS = 1 << 24
 BROADCAST_WINDOWS = 500_000
-KEEP_WORDS = 200_000
 
 #: Words that are units after a number.
 UNITS = set(
@@ -46,114 +49,226 @@ UNITS = set(
     "day days week weeks month months year years jahre tage stunden ans jours heures años días horas usd eur dollar dollars cent cents euro euros percent prozent % $ € £ c f k degrees hz khz mhz ghz kb mb gb tb w kw v a".split()
 )
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*(?:st|nd|rd|th|%|€|[a-z]{1,3})?", re.I)
-EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%€]+$")
+BLANK = re.compile(r"[ \n]")
 #: Odd multipliers of a window's positions, from a rule.
 POSITION = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
 
-class _Words(dict):
-    """What each raw word is: rows of `code` and of the flags, worked out when first seen."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.code = np.zeros(1024, dtype=np.uint64)
-        self.flags = np.zeros((1024, 5), dtype=bool)  # empty, number, unit, capital, ends a sentence
-        self.text: list[str] = []
-
-    def __missing__(self, raw: str) -> int:
-        import xxhash
-
-        at = len(self)
-        if at >= len(self.code):
-            self.code, self.flags = np.concatenate([self.code, np.zeros_like(self.code)]), np.concatenate([self.flags, np.zeros_like(self.flags)])
-        word = EDGE.sub("", raw)
-        low = word.lower()
-        self.code[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1)
-        self.flags[at] = (not word, bool(NUMBER.fullmatch(word)), low in UNITS, len(word) > 1 and word[0].isupper() and word[1:].islower(), raw.rstrip("\"')]}»”").endswith((".", "!", "?", ":")))
-        self.text.append(low)
-        self[raw] = at
-        return at
-
-
+#: Bits of a character's class.
+SPACE, LEFT, RIGHT, DIGIT, UPPER, LOWER, CLOSER, STOP = (1 << k for k in range(8))
+#: Characters that are worked on at once; a longer text goes in pieces cut at white space.
+PIECE = 1 << 18
+BASE = 0x9E3779B97F4A7C15
 #: Codes of the placeholders.
 NUM, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
 
 
-def template(text: str, words: _Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes, slots, values): the template's tokens, which of them are slots, and what each token said."""
-    lines = [np.fromiter(map(words.__getitem__, line.split()), dtype=np.int64) for line in text.split("\n")]
-    at = np.concatenate(lines) if lines else np.zeros(0, dtype=np.int64)
-    starts = np.zeros(len(at), dtype=bool)
-    firsts = np.cumsum([0, *map(len, lines[:-1])])
-    starts[firsts[firsts < len(at)]] = True
-    flags = words.flags[at]
-    opening = starts | np.concatenate([[True], flags[:-1, 4]])[: len(at)]
-    keep = ~flags[:, 0]
-    at, flags, opening = at[keep], flags[keep], opening[keep]
-    number = flags[:, 1]
-    unit = flags[:, 2] & ~number & np.concatenate([[False], number[:-1]])[: len(at)]
-    name = flags[:, 3] & ~opening & ~number & ~unit
-    codes = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, words.code[at])))
-    return codes, number | unit | name, [words.text[i] for i in at.tolist()] if len(at) else []
-
-
-def windows(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, usable) of each window; a short text is one window."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _class_of(point: int) -> tuple[int, int]:
+    """(class bits, lower-case code point) of a code point."""
+    c = chr(point)
+    word = c.isalnum() or c == "_"
+    bits = SPACE * c.isspace() | LEFT * (word or c in "$€£%+-") | RIGHT * (word or c in "%€") | DIGIT * c.isdecimal()
+    bits |= UPPER * c.isupper() | LOWER * c.islower() | CLOSER * (c in "\"')]}»”") | STOP * (c in ".!?:")
+    low = c.lower()
+    return bits, ord(low) if len(low) == 1 else point
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class bits, and a value of the lower-case form, for each code point of the basic plane."""
+    bits, low = zip(*map(_class_of, range(1 << 16)), strict=True)
+    return np.array(bits, dtype=np.uint8), _mixed(np.array(low, dtype=np.uint64) + np.uint64(BASE))
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of BASE and of its inverse, modulo 2^64."""
+    out = []
+    for factor in (BASE, pow(BASE, -1, 1 << 64)):
+        each = np.full(n, factor, dtype=np.uint64)
+        each[0] = 1
+        out.append(np.multiply.accumulate(each))
+    return out[0], out[1]
+
+
+@cache
+def _unit_codes() -> np.ndarray:
+    return np.sort(np.concatenate([_raw_words(u, True)[0] for u in UNITS]))
+
+
+def _raw_words(text: str, opens: bool) -> tuple[np.ndarray, ...]:
+    """(code, start, end, number, capital, opening) of the words of a text, all by array operations.
+
+    code hashes the lower-case word, character by character; start and end leave out punctuation at its
+    edges, and are equal if nothing else is there; opening: the word opens a line or a sentence, where a
+    capital says nothing. `opens`: whether the text begins a line or sentence; last comes whether what
+    follows it does.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bits, value = _classes()
+    kind, values = bits[points & 0xFFFF], value[points & 0xFFFF]
+    if (high := points > 0xFFFF).any():
+        each, back = np.unique(points[high], return_inverse=True)
+        found = np.array([_class_of(p) for p in each.tolist()], dtype=np.uint64)
+        kind[high], values[high] = found[back, 0].astype(np.uint8), _mixed(found[:, 1] + np.uint64(BASE))[back]
+    solid = np.zeros(len(points) + 2, dtype=np.int8)
+    solid[1:-1] = kind & SPACE == 0
+    edge = np.diff(solid)
+    first, after = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(first):
+        return (np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64),) * 2, *(np.zeros(0, dtype=bool),) * 3, opens or "\n" in text)
+    left, right = np.append(np.flatnonzero(kind & LEFT != 0), len(points)), np.append(-1, np.flatnonzero(kind & RIGHT != 0))
+    start = np.minimum(left[np.searchsorted(left, first)], after)
+    end = np.maximum(right[np.searchsorted(right, after) - 1] + 1, start)
+    up, down = _powers(1 << max(18, int(len(points)).bit_length()))
+    total = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(points)], out=total[1:])
+    code = _mixed((total[end] - total[start]) * down[start] + np.uint64(7))
+    # Numbers: only words with a digit near their start are looked at one by one.
+    near = np.zeros(len(first), dtype=bool)
+    for k in range(3):
+        near |= (start + k < end) & (kind[np.minimum(start + k, len(points) - 1)] & DIGIT != 0)
+    number = np.zeros(len(first), dtype=bool)
+    for i in np.flatnonzero(near).tolist():
+        number[i] = NUMBER.fullmatch(text, int(start[i]), int(end[i])) is not None
+    big = np.flatnonzero(kind & UPPER != 0)
+    small = np.flatnonzero(kind & LOWER != 0)
+    capital = (end - start > 1) & (kind[np.minimum(start, len(points) - 1)] & UPPER != 0)
+    at = np.flatnonzero(capital)
+    held = lambda places: np.searchsorted(places, end[at]) - np.searchsorted(places, start[at] + 1)
+    capital[at] = (held(big) == 0) & (held(small) > 0)
+    last = after - 1
+    while len(back := np.flatnonzero((last > first) & (kind[last] & CLOSER != 0))):
+        last[back] -= 1
+    line = np.searchsorted(np.flatnonzero(points == 10), np.append(first, len(points)))
+    opening = np.concatenate([[opens or line[0] > 0], (np.diff(line) > 0) | (kind[last] & STOP != 0)])
+    return code, start, end, number, capital, opening[:-1], bool(opening[-1])
+
+
+def _pieces(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, piece) of a text, each of about PIECE characters, cut behind white space."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = BLANK.search(text, at + PIECE)
+        if cut is None:
+            break
+        yield at, text[at : cut.end()]
+        at = cut.end()
+    yield at, text[at:]
+
+
+def templates(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(doc, code, slot, start, end) of the tokens of all texts' templates; start and end are places in the text."""
+    group: list[tuple[int, int, str]] = []
+    out: list[tuple[np.ndarray, ...]] = []
+    opens = True
+
+    def flush() -> None:
+        # Texts stand on lines of their own; a piece that goes on in the next group ends the group.
+        nonlocal opens
+        joined = "".join(piece if piece[-1:].isspace() else piece + "\n" for _, _, piece in group)
+        offset = np.cumsum([0, *(len(piece) + (not piece[-1:].isspace()) for _, _, piece in group)])
+        code, start, end, number, capital, opening, opens = _raw_words(joined, opens)
+        part = np.searchsorted(offset, start, side="right") - 1
+        starts_text = np.array([at == 0 for _, at, _ in group])[part] & (np.diff(part, prepend=-1) > 0)
+        shift = np.array([at for _, at, _ in group])[part] - offset[part]
+        out.append((np.array([doc for doc, _, _ in group])[part], code, start + shift, end + shift, number, capital, opening | starts_text))
+        group.clear()
+
+    size = 0
+    for doc, text in enumerate(texts):
+        for at, piece in _pieces(text):
+            group.append((doc, at, piece))
+            size += len(piece)
+            if size >= PIECE:
+                flush()
+                size = 0
+    if group:
+        flush()
+    if not out:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none.astype(bool), none, none
+    doc, code, start, end, number, capital, opening = map(np.concatenate, zip(*out, strict=True))
+    keep = end > start
+    doc, code, start, end, number, capital, opening = (x[keep] for x in (doc, code, start, end, number, capital, opening))
+    behind = np.zeros(len(doc), dtype=bool)
+    behind[1:] = number[:-1] & (doc[1:] == doc[:-1]) & ~number[1:]
+    unit = behind.copy()
+    unit[behind] = np.isin(code[behind], _unit_codes())
+    name = capital & ~opening & ~number & ~unit
+    codes = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, code)))
+    return doc, codes, number | unit | name, start, end
+
+
+def windows(doc: np.ndarray, codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, hash, usable) of the windows of all texts; a text of fewer than WINDOW tokens is one window."""
     n = len(codes)
-    if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    size = min(n, WINDOW)
-    out, plain = np.zeros(n - size + 1, dtype=np.uint64), np.zeros(n - size + 1, dtype=np.int64)
-    for k in range(size):
-        out += codes[k : n - size + 1 + k] * POSITION[k]
-        plain += ~slots[k : n - size + 1 + k]
-    return out ^ (out >> np.uint64(31)), plain >= min(2, size)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    length = np.diff(np.append(first, n))
+    held = np.repeat(length, length)
+    place = np.arange(n) - np.repeat(first, length)
+    starts = np.flatnonzero((place + WINDOW <= held) | ((held < WINDOW) & (place == 0)))
+    out, plain = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.int8)
+    size = np.minimum(held[starts], WINDOW)
+    for k in range(WINDOW):
+        at, inside = np.minimum(starts + k, n - 1), k < size
+        out += np.where(inside, codes[at] * POSITION[k], np.uint64(0))
+        plain += inside & ~slots[at]
+    return starts, out ^ (out >> np.uint64(31)), plain >= np.minimum(2, size)
 
 
 def _windows_of(df: DataFrame, key: str, bitmap: object = None) -> DataFrame:
     """(key, row, pos, hash, slots, n, size) of each usable window that may be in the bitmap; row: a hash of the text; n, size: its usable windows and its tokens."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(keys: list, texts: list[str], bits: np.ndarray | None) -> pa.RecordBatch | None:
         import xxhash
 
-        words = _Words()
+        doc, codes, slots, start, end = templates(texts)
+        first, hashes, usable = windows(doc, codes, slots)
+        first, hashes = first[usable], hashes[usable]
+        owner = doc[first]
+        hit = np.ones(len(first), dtype=bool) if bits is None else (bits[(hashes % np.uint64(BITMAP_BITS) >> np.uint64(3)).astype(np.int64)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        if not hit.any():
+            return None
+        n, size = np.bincount(owner, minlength=len(texts)), np.bincount(doc, minlength=len(texts))
+        begins = np.searchsorted(doc, np.arange(len(texts)))
+        first, hashes, owner = first[hit], hashes[hit], owner[hit]
+        rows = np.zeros(len(texts), dtype=np.uint64)
+        for d in np.unique(owner).tolist():
+            rows[d] = xxhash.xxh64_intdigest(texts[d].encode("utf-8", "surrogatepass"))
+        values = [[texts[d][start[j] : end[j]].lower() for j in range(i, min(i + WINDOW, begins[d] + size[d])) if slots[j]] for i, d in zip(first.tolist(), owner.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([keys[d] for d in owner.tolist()], pa.int64()),
+                pa.array(rows[owner].view(np.int64)),
+                pa.array((first - begins[owner]).astype(np.int32)),
+                pa.array(hashes.view(np.int64)),
+                pa.array(values, pa.list_(pa.string())),
+                pa.array(n[owner].astype(np.int32)),
+                pa.array(size[owner].astype(np.int32)),
+            ],
+            [key, "row", "pos", "hash", "slots", "n", "size"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                keys, rows, pos, found, values, count, size = [], [], [], [], [], [], []
-                for k, text in zip(part.column(key).to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    if len(words) > KEEP_WORDS:
-                        words = _Words()
-                    codes, slots, said = template(text, words)
-                    hashes, usable = windows(codes, slots)
-                    hit = usable if bits is None else usable & (bits[(hashes % np.uint64(BITMAP_BITS) >> np.uint64(3)).astype(np.int64)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                    where = np.flatnonzero(hit).tolist()
-                    n = int(usable.sum())
-                    if where:
-                        keys += [k] * len(where)
-                        rows += [xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))] * len(where)
-                        count += [n] * len(where)
-                        size += [len(codes)] * len(where)
-                    for i in where:
-                        pos.append(i)
-                        values.append([said[j] for j in range(i, min(i + WINDOW, len(said))) if slots[j]])
-                    found.append(hashes[hit].view(np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys, pa.int64()),
-                            pa.array(np.array(rows, dtype=np.uint64).view(np.int64)),
-                            pa.array(pos, pa.int32()),
-                            pa.array(np.concatenate(found)),
-                            pa.array(values, pa.list_(pa.string())),
-                            pa.array(count, pa.int32()),
-                            pa.array(size, pa.int32()),
-                        ],
-                        [key, "row", "pos", "hash", "slots", "n", "size"],
-                    )
+            keys, texts, held = [], [], 0
+            for i in range(batch.num_rows):
+                if text := batch.column("text")[i].as_py():
+                    keys.append(batch.column(key)[i].as_py())
+                    texts.append(text)
+                    held += len(text)
+                if texts and (held >= 4 * PIECE or i + 1 == batch.num_rows):
+                    if (out := batch_of(keys, texts, bits)) is not None:
+                        yield out
+                    keys, texts, held = [], [], 0
 
     return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, row long, pos int, hash long, slots array<string>, n int, size int")
 
@@ -165,21 +280,37 @@ def _places(start: Column, size: Column) -> Column:
     return F.array(exact, stretch(1, size, F.lit(0)), stretch(2, size, size / 2), stretch(3, 4 * size, F.lit(0)), stretch(4, 4 * size, 2 * size))
 
 
+def _bitmap(items: DataFrame) -> np.ndarray:
+    """The bitmap of all window hashes, as bytes; it reaches the driver as two columns of at most one row a byte."""
+    place = F.pmod("hash", F.lit(BITMAP_BITS))  # the same for signed and unsigned, as the size is a power of two
+    bit = F.expr(f"shiftleft(1, cast(pmod(hash, {BITMAP_BITS}) & 7 as int))")
+    byte = items.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    bitmap[byte.column("byte").to_numpy()] = byte.column("bits").to_numpy()
+    return bitmap
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """(doc_id, item_id, coverage, consistency, kind): kind is `copy`, or `template` where slots differ."""
     mine = ["item_id", F.col("row").alias("item_row"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "n", "size"]
     items = written(_windows_of(benchmark, "item_id").select(*mine).distinct(), "bench-windows")
-    place = F.pmod("hash", F.lit(BITMAP_BITS))  # the same for signed and unsigned, as the size is a power of two
-    byte = items.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(hash, {BITMAP_BITS}) & 7 as int))")).alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in byte.collect():  # at most one row a byte of the bitmap
-        bitmap[row["byte"]] = row["bits"]
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
     small = items.count() <= BROADCAST_WINDOWS
-    found = _windows_of(docs, "doc_id", sent).select("doc_id", "row", "pos", "hash", "slots")
+    sized = F.broadcast if small else (lambda df: df)
+    found = written(_windows_of(docs, "doc_id", sent).select("doc_id", "row", "pos", "hash", "slots"), "bench-found")
+    # A document with enough of an item's windows holds one of any n - needed + 1 of them, so the item's
+    # rarest are asked first; a phrase of very many items and documents is joined for their pairs only.
+    frequency = found.groupBy("hash").agg(F.count(F.lit(1)).alias("in_docs"))
+    by_item = Window.partitionBy("item_id", "item_row")
+    weighed = items.join(frequency, "hash").withColumn("common", F.col("in_docs") * F.count(F.lit(1)).over(Window.partitionBy("hash")))
+    missed = F.col("n") - F.count(F.lit(1)).over(by_item)
+    asked = F.col("n") - F.ceil(F.col("n") * coverage) + 1 - missed
+    rarest = weighed.withColumn("at", F.row_number().over(by_item.orderBy("common", "item_pos"))).withColumn("asked", asked).where(F.col("at") <= F.col("asked"))
     key = ["doc_id", "row", "item_id", "item_row"]
+    candidates = found.join(sized(rarest.select("hash", "item_id", "item_row")), "hash").select(*key).distinct()
     start = (F.col("pos") - F.col("item_pos")).alias("start")
-    hits = written(found.join(F.broadcast(items) if small else items, "hash").select(*key, "item_pos", start, "n", "size", "slots", "item_slots"), "bench-hits")
+    paired = candidates.join(sized(items), ["item_id", "item_row"]).join(found, ["doc_id", "row", "hash"])
+    hits = written(paired.select(*key, "item_pos", start, "n", "size", "slots", "item_slots"), "bench-hits")
     share = (F.count_distinct("item_pos") / F.first("n")).alias("coverage")
     # No occurrence holds more of an item than the whole text.
     possible = hits.groupBy(*key).agg(share).where(F.col("coverage") >= coverage)

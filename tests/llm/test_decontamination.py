@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter, defaultdict
+
 import pytest
 
 from marlspark.llm import decontamination as dec
@@ -74,24 +78,104 @@ def test_scattered_windows_are_no_hit(make, bench):
     assert found(make([(1, f" {filler} ".join(pieces)), (2, ITEM)]), bench) == {(2, 1): "copy"}
 
 
-def test_windows_against_brute_force(spark, make, bench):
-    """Hits through bitmap and join equal a direct comparison of templates."""
-    texts = {1: ITEM, 2: "x " + OTHER, 3: "no number here at all , just some words in a row"}
-    words = dec._Words()
-    items = {k: set(dec.windows(*dec.template(t, words)[:2])[0].tolist()) for k, t in ((1, ITEM), (2, OTHER))}
-    want = {}
-    for d, t in texts.items():
-        mine = set(dec.windows(*dec.template(t, words)[:2])[0].tolist())
-        for k, theirs in items.items():
-            if len(mine & theirs) / len(theirs) >= dec.COVERAGE:
-                want[d, k] = True
-    assert set(found(make(list(texts.items())), bench)) == set(want)
-
-
-def test_template():
-    codes, slots, said = dec.template("We saw John run 12.5 km in May.\nThen he won $5", dec._Words())
-    assert [w for w, s in zip(said, slots, strict=True) if s] == ["john", "12.5", "km", "may", "$5"]
-    assert codes[2] == dec.NAME and codes[4] == dec.NUM and codes[5] == dec.UNIT
+def plain_template(text):
+    """[(template token, what it said, is a slot)], word by word with string methods only."""
+    number = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*(?:st|nd|rd|th|%|€|[a-z]{1,3})?", re.I)
+    out, opening, after_number = [], True, False
+    for line in text.split("\n"):
+        opening = True
+        for raw in line.split():
+            word = re.sub(r"^[^\w$€£%+-]+|[^\w%€]+$", "", raw)
+            if word:
+                is_number = bool(number.fullmatch(word))
+                is_unit = not is_number and after_number and word.lower() in dec.UNITS
+                is_name = not (is_number or is_unit or opening) and len(word) > 1 and word[0].isupper() and word[1:].islower()
+                kind = "<num>" if is_number else "<unit>" if is_unit else "<name>" if is_name else word.lower()
+                out.append((kind, word.lower(), kind[0] == "<" and kind != word.lower()))
+                after_number = is_number
+            opening = raw.rstrip("\"')]}»”").endswith((".", "!", "?", ":"))
+    return out
+
+
+def plain_windows(tokens):
+    size = min(5, len(tokens))
+    for i in range(len(tokens) - size + 1) if size else ():
+        part = tokens[i : i + size]
+        if sum(not slot for *_, slot in part) >= min(2, size):
+            yield i, tuple(k for k, *_ in part), [said for _, said, slot in part if slot]
+
+
+def brute_force(texts, items, coverage=0.5, consistency=0.8):
+    found = {}
+    for d, text in texts:
+        mine = list(plain_windows(plain_template(text)))
+        for k, item in items:
+            tokens = plain_template(item)
+            theirs, size = list(plain_windows(tokens)), len(tokens)
+            places = defaultdict(list)
+            for pos, window, said in mine:
+                for at, other, values in theirs:
+                    if window == other:
+                        start = pos - at
+                        for place in ((0, start), (1, start // size), (2, (start + size / 2) // size), (3, start // (4 * size)), (4, (start + 2 * size) // (4 * size))):
+                            places[place].append((at, list(zip(values, said, strict=True))))
+            best = []
+            for hits in places.values():
+                share = len({at for at, _ in hits}) / len(theirs)
+                pairs = Counter(p for _, pairs in hits for p in pairs)
+                most = {v: max(c for (x, _), c in pairs.items() if x == v) for v, _ in pairs}
+                agree = sum(most.values()) / sum(pairs.values()) if pairs else 1.0
+                if share >= coverage and agree >= consistency:
+                    best.append((round(share, 9), round(agree, 9), -sum(c for (x, y), c in pairs.items() if x != y)))
+            if best:
+                found[d, k] = max(found.get((d, k), (0, 0, 0)), max(best))
+    return found
+
+
+def test_against_brute_force(spark, make):
+    """Templates, coverage and slot consistency worked out anew from the words, all pairs."""
+    draw = random.Random(3)
+    nouns = ["apples", "Boston", "Maria", "km", "hours", "12", "7.5", "$30", "the", "of", "gives", "train", "end.", "(So)", "“Why?”", "…", "Ünïcode", "3rd", "😀", "İstanbul"]
+    items = [(k, " ".join(draw.choice(nouns) for _ in range(draw.choice([2, 4, 8, 20, 40])))) for k in range(12)]
+    texts = []
+    for d in range(60):
+        parts = []
+        for _ in range(draw.randrange(4)):
+            words = draw.choice(items)[1].split()
+            cut = draw.randrange(len(words))
+            words = words[cut // 3 :] + words[: draw.randrange(3)]
+            swap = {w: draw.choice(["4", "99", "Paris", "Tom", "km", "miles"]) for w in draw.sample(nouns, 3)}
+            parts.append(" ".join(swap.get(w, w) if draw.random() < 0.9 else w for w in words))
+            parts.append(draw.choice([" ", "\n", " stray words here . "]))
+        texts.append((d, "".join(parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.coverage, 9), round(r.consistency, 9), r.kind) for r in dec.contaminated(make(texts), bench).collect()}
+    want = {k: (share, agree, "template" if same < 0 else "copy") for k, (share, agree, same) in brute_force(texts, items).items()}
+    assert got == want and len(want) > 20
+
+
+def test_templates_in_pieces(monkeypatch):
+    """Cut into pieces of a few characters, texts keep their templates."""
+    texts = ["We saw John run 12.5 km in May.\nThen he won $5", "", "x", "Then (he) said: Hello Tom. \n\n Bob \t met Ann 7\nkm  off ", "😀 Ünï 😀😀 Éa 1st"]
+    whole = [x.tolist() for x in dec.templates(texts)]
+    for size in (1, 2, 5, 17):
+        monkeypatch.setattr(dec, "PIECE", size)
+        assert [x.tolist() for x in dec.templates(texts)] == whole
+    doc, _, slots, start, end = whole
+    got = [(d, texts[d][s:e].lower(), slot) for d, slot, s, e in zip(doc, slots, start, end, strict=True)]
+    want = [(d, said, slot) for d, t in enumerate(texts) for _, said, slot in plain_template(t)]
+    assert got == want
+    assert [said for d, said, slot in got if slot and d == 0] == ["john", "12.5", "km", "may", "$5"]
+
+
+def test_a_phrase_of_all_items(spark, make):
+    """Items that share most of their windows are told apart, and none is lost by asking for rare windows first."""
+    phrase = "which of the following statements about this matter is true and why do you think so"
+    items = [(k, f"{phrase} when a{k} b{k} c{k} d{k}") for k in range(30)]
+    texts = [(k, f"{phrase} when a{k} b{k} c{k} d{k} indeed") for k in range(10)] + [(99, phrase)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(make(texts), bench).collect()}
+    assert got == set(brute_force(texts, items)) and len(got) == 11 * 30
 
 
 def test_empty_tables(edge, bench):
