@@ -6,13 +6,17 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: An odd number to hash with.
+BASE = 0x9E3779B97F4A7C15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,3 +72,26 @@ def lower_ascii(text: Column) -> Column:
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of a few literal rows that lives in the plan itself, not in a Python RDD."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of BASE and of its inverse, modulo 2^64."""
+    out = []
+    for factor in (BASE, pow(BASE, -1, 1 << 64)):
+        each = np.full(n, factor, dtype=np.uint64)
+        each[0] = 1
+        out.append(np.multiply.accumulate(each))
+    return out[0], out[1]
+
+
+def powers(least: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least so many powers of BASE and of its inverse, for hashes of all parts of an array by one running sum."""
+    return _powers(1 << max(18, least.bit_length()))

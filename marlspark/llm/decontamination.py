@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspark.llm.common import written
+from marlspark.llm.common import BASE, mixed, powers, written
 
 WINDOW = 5
 COVERAGE = 0.5
@@ -58,17 +58,10 @@ POSITION = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(
 SPACE, LEFT, RIGHT, DIGIT, UPPER, LOWER, CLOSER, STOP = (1 << k for k in range(8))
 #: Characters that are worked on at once; a longer text goes in pieces cut at white space.
 PIECE = 1 << 18
-BASE = 0x9E3779B97F4A7C15
 #: Codes of the placeholders.
 NUM, UNIT, NAME = (np.uint64(k) for k in (1, 2, 3))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _class_of(point: int) -> tuple[int, int]:
     """(class bits, lower-case code point) of a code point."""
     c = chr(point)
@@ -83,18 +76,7 @@ def _class_of(point: int) -> tuple[int, int]:
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """Class bits, and a value of the lower-case form, for each code point of the basic plane."""
     bits, low = zip(*map(_class_of, range(1 << 16)), strict=True)
-    return np.array(bits, dtype=np.uint8), _mixed(np.array(low, dtype=np.uint64) + np.uint64(BASE))
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of BASE and of its inverse, modulo 2^64."""
-    out = []
-    for factor in (BASE, pow(BASE, -1, 1 << 64)):
-        each = np.full(n, factor, dtype=np.uint64)
-        each[0] = 1
-        out.append(np.multiply.accumulate(each))
-    return out[0], out[1]
+    return np.array(bits, dtype=np.uint8), mixed(np.array(low, dtype=np.uint64) + np.uint64(BASE))
 
 
 @cache
@@ -116,7 +98,7 @@ def _raw_words(text: str, opens: bool) -> tuple[np.ndarray, ...]:
     if (high := points > 0xFFFF).any():
         each, back = np.unique(points[high], return_inverse=True)
         found = np.array([_class_of(p) for p in each.tolist()], dtype=np.uint64)
-        kind[high], values[high] = found[back, 0].astype(np.uint8), _mixed(found[:, 1] + np.uint64(BASE))[back]
+        kind[high], values[high] = found[back, 0].astype(np.uint8), mixed(found[:, 1] + np.uint64(BASE))[back]
     solid = np.zeros(len(points) + 2, dtype=np.int8)
     solid[1:-1] = kind & SPACE == 0
     edge = np.diff(solid)
@@ -126,10 +108,10 @@ def _raw_words(text: str, opens: bool) -> tuple[np.ndarray, ...]:
     left, right = np.append(np.flatnonzero(kind & LEFT != 0), len(points)), np.append(-1, np.flatnonzero(kind & RIGHT != 0))
     start = np.minimum(left[np.searchsorted(left, first)], after)
     end = np.maximum(right[np.searchsorted(right, after) - 1] + 1, start)
-    up, down = _powers(1 << max(18, int(len(points)).bit_length()))
+    up, down = powers(len(points))
     total = np.zeros(len(points) + 1, dtype=np.uint64)
     np.cumsum(values * up[: len(points)], out=total[1:])
-    code = _mixed((total[end] - total[start]) * down[start] + np.uint64(7))
+    code = mixed((total[end] - total[start]) * down[start] + np.uint64(7))
     # Numbers: only words with a digit near their start are looked at one by one.
     near = np.zeros(len(first), dtype=bool)
     for k in range(3):
