@@ -26,12 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is configured, as in tests."""
+    """The folder that all executors share; a local one only where there are no executors, as in tests.
+
+    What a run writes there stays for as long as its results are read; whoever owns the folder clears it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
         base = context.getCheckpointDir()
         if not base:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
             context.setCheckpointDir(base)
     elif not context.getCheckpointDir():
@@ -51,6 +56,22 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with a larger part of all rows than one in so many are joined by broadcast.
+FREQUENT = 1024
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` joined with `counted`, which says in n how many rows each key has; both are read twice.
+
+    Keys that hold more than one row in FREQUENT, fewer than that number of keys, go to every task, so no
+    task gets all rows of one; the rest is shuffled.
+    """
+    limit = rows.count() // FREQUENT
+    often = F.broadcast(counted.where(F.col("n") > limit))
+    seldom = rows.join(often.select(*keys), keys, "left_anti").join(counted.where(F.col("n") <= limit), keys)
+    return rows.join(often, keys).unionByName(seldom)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ level, so a batch meets a logarithmic number of runs and no run is rewritten mor
 A key (the line without white space at its ends, A-Z lower-cased) of at least `min_chars` code points
 that is in two documents or more keeps its lines in the smallest doc_id only.
 
-Defined results: a null or empty text is one empty line; a null doc_id ranks after all others; rows
+Defined results: a null or empty text is one empty line; very long texts and lines are taken whole; a null doc_id ranks after all others; rows
 that repeat a doc_id count as one document; short keys are never dropped; an empty table gives an empty
 result; extra columns pass through `dedup_lines` untouched.
 """
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspark.llm.common import ASCII_SPACE, let, lower_ascii, scratch, shuffle_partitions
+from marlspark.llm.common import ASCII_SPACE, let, lower_ascii, scratch, shuffle_partitions, written
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -43,6 +43,7 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
         self.buckets = shuffle_partitions(spark)
+        self.tables: list[str] = []
 
     def _run(self, keys: DataFrame) -> DataFrame:
         """Write keys as a run: each bucket is one file, sorted by hash."""
@@ -55,8 +56,15 @@ class LineRuns:
             .format("parquet")
             .saveAsTable(name)
         )
+        self.tables.append(name)
         return self.spark.table(name)
 
+    def close(self) -> None:
+        """Take the runs off the catalog; nothing read from them may be in use."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables, self.levels = [], []
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Take a batch of (h1, h2, id); gives its keys with `owner`, `last` and `known` (in an earlier batch)."""
         keys = batch.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
@@ -85,10 +93,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     shares = [i / batches for i in range(1, batches)]
-    cuts = sorted(set(docs.select(doc.alias("id")).approxQuantile("id", shares, 0.01))) if shares else []
+    found = docs.select(doc.alias("id")).approxQuantile("id", shares, 0.01) if shares else []
+    cuts = sorted({min(int(cut), LAST) for cut in found})  # as a double, the largest long is one too large
     batch = F.lit(0)
     for cut in cuts:
-        batch = batch + (F.col("id") > F.lit(int(cut))).cast("int")
+        batch = batch + (F.col("id") > F.lit(cut)).cast("int")
     exploded = docs.select(doc.alias("id"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keyed = exploded.select("id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     # The second hash starts from another seed, so the pair is a 128-bit hash of the key.
@@ -103,6 +112,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     losing = found[0]
     for other in found[1:]:
         losing = losing.unionAll(other)
+    losing = written(losing, "line-losing")
+    runs.close()
     gone = lines.join(losing, ["batch", "h1", "h2"]).where(F.col("owner").isNull() | (F.col("id") > F.col("owner")))
     return gone.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("drops"))
 

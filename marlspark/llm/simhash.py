@@ -12,7 +12,8 @@ links. Each node leaves the walk when reached.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer than
 four words have one shingle; a row without a doc_id links to nothing and has no component;
-repeated rows share their fingerprint; an empty table gives an empty result; extra columns pass through
+very long texts are taken whole; repeated rows share their fingerprint; rows with one doc_id and unlike texts are
+linked each by its own text; an empty table gives an empty result; extra columns pass through
 `keep_one_of_each`.
 """
 
@@ -55,14 +56,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each document; fp is the unsigned value's bits as a long."""
+    """(doc_id, fp, hash) of each document; fp is the unsigned value's bits as a long, hash one of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), batch.column("hash")], ["doc_id", "fp", "hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, fp long, hash long")
 
 
 def _tree(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -134,19 +135,32 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of each document."""
+    """(doc_id, fp, hash, cluster, component_id) of each document.
+
+    Clusters are of fingerprints, so that unlike texts with one doc_id don't link what is like either;
+    cluster is one of its fingerprints, component_id its smallest doc_id.
+    """
     fps = written(fingerprints(docs), "simhash")
-    nodes = written(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    edges = links(nodes.select("fp"), radius)
-    edges = edges.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
-    found = nodes.join(components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    nodes = written(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    edges = links(nodes.select("fp"), radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    placed = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("cluster"))
+    smallest = placed.groupBy("cluster").agg(F.min("least").alias("component_id"))
+    found = placed.join(smallest, "cluster").select("fp", "cluster", "component_id")
+    known = F.col("doc_id").isNotNull()
+    return fps.join(found, "fp", "left").select("doc_id", "fp", "hash", F.when(known, F.col("cluster")).alias("cluster"), F.when(known, F.col("component_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """`docs` with the smallest doc_id of each component; rows without a doc_id stay."""
-    stay = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionAll(docs.where(F.col("doc_id").isNull()))
+    """`docs` with one row of each cluster, that of the smallest doc_id; rows without a doc_id stay.
+
+    Where rows of the cluster share that doc_id, the text with the smallest hash stays, and one of rows that
+    repeat doc_id and text. Unlike texts under one doc_id are of different clusters and all stay.
+    """
+    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius)
+    stay = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "hash")).alias("best")).select(F.col("best.doc_id").alias("doc_id"), F.col("best.hash").alias("_simhash_text")).distinct()
+    told = docs.withColumn("_simhash_text", F.xxhash64("text"))
+    kept = told.join(stay, ["doc_id", "_simhash_text"], "left_semi").dropDuplicates(["doc_id", "_simhash_text"]).drop("_simhash_text")
+    return kept.unionAll(docs.where(F.col("doc_id").isNull()))
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspark.llm.common import BASE, mixed, powers, written
+from marlspark.llm.common import BASE, join_counted, mixed, powers, written
 
 LENGTH, WINDOW = 400, 256
 PASSAGE_WORDS, WORD_WINDOW = 50, 32
@@ -289,13 +289,11 @@ def _hot_spans(heated: DataFrame, kinds: list[Kind]) -> DataFrame:
         yield from _batches(rows(), STARTS[0])
 
     steps = written(heated.mapInArrow(cut_steps, STEPS[1]), "suffix-steps")
-    shared = steps.groupBy("step").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("step")
-    again = steps.join(shared, "step").groupBy("d", "h").agg(F.collect_set("step").alias("again"))
+    shared = written(steps.groupBy("step").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-shared")
+    again = join_counted(steps, shared, ["step"]).groupBy("d", "h").agg(F.collect_set("step").alias("again"))
     starts = written(heated.join(again, ["d", "h"], "left").select("d", "h", "text", "reps", "again").mapInArrow(cut_starts, STARTS[1]), "suffix-starts")
-    # Both sides are written, so that each comes to the join by a shuffle of its own and adaptive
-    # execution can split a string that very many rows hold.
-    twice = written(starts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"), "suffix-twice")
-    hit = written(starts.join(twice, ["k1", "k2"]).select("d", "h", "kind", "j"), "suffix-hot")
+    twice = written(starts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-twice")
+    hit = written(join_counted(starts, twice, ["k1", "k2"]).select("d", "h", "kind", "j"), "suffix-hot")
     return hit.select("d", "h", "kind", F.col("j").alias("s"), (F.col("j") + _length_of(kinds)).alias("e"))
 
 
@@ -351,16 +349,16 @@ def repeated_spans(docs: DataFrame, kinds: list[Kind], bucket_rows: int = BUCKET
         yield from _batches(rows(), MARKS[0])
 
     found = written(texts.select("d", "h", "text").mapInArrow(find, FOUND[1]).join(one_each.select("d", "h"), ["d", "h"], "left_semi"), "suffix-anchors")
-    shared = found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
-    wanted = found.join(shared, "head").groupBy("d", "h").agg(F.collect_set("head").alias("wanted"))
+    shared = written(found.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-heads")
+    wanted = join_counted(found, shared, ["head"]).groupBy("d", "h").agg(F.collect_set("head").alias("wanted"))
     marks = written(texts.select("d", "h", "text").join(wanted, ["d", "h"]).mapInArrow(mark, MARKS[1]), "suffix-marks")
 
     pick = F.xxhash64("d", "h", "x")
     contexts = written(marks.groupBy("k", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(pick).alias("pick")), "suffix-contexts")
     heads = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
     state = F.when(F.col("m") == 1, 0).when(F.col("m") <= hot, COLD).otherwise(WARM)
-    told = contexts.join(heads, "k").select("k", "c1", "c2", "n", "pick", state.alias("state")).where("n > 1 OR state > 0")
-    marked = written(marks.join(told, ["k", "c1", "c2"]).select("d", "h", "kind", "x", "lo", "hi", "k", "state", (F.col("n") == 1).alias("single"), (pick == F.col("pick")).alias("picked")), "suffix-marked")
+    told = written(contexts.join(heads, "k").select("k", "c1", "c2", "n", "pick", state.alias("state")).where("n > 1 OR state > 0"), "suffix-told")
+    marked = written(join_counted(marks, told, ["k", "c1", "c2"]).select("d", "h", "kind", "x", "lo", "hi", "k", "state", (F.col("n") == 1).alias("single"), (pick == F.col("pick")).alias("picked")), "suffix-marked")
     alike = marked.where(~F.col("single")).select("d", "h", "kind", F.col("lo").alias("s"), (F.col("hi") + _length_of(kinds)).alias("e"))
     reps = marked.where("picked AND state > 0")
     sums = reps.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()  # two numbers

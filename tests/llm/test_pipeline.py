@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import numpy as np
 
@@ -30,3 +32,24 @@ def test_stages_one_by_one(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_edge_cases(spark, make, edge, tmp_path):
+    """Nulls, empty texts, repeated ids with equal and unlike texts, clashing extra columns, an empty table."""
+    spark.createDataFrame([(1, "a benchmark question that none of these texts holds in any form whatever")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("aeioubcdlmnrst") for _ in range(draw.randint(2, 8)))
+    one, two = ("\n".join(" ".join(word() for _ in range(12)) for _ in range(6)) for _ in range(2))
+    unlike = "some other words stand in this text, which shares its number with an older one but nothing else\nand its second line is short"
+    docs = make([(1, one), (1, unlike), (1, one), (2, one), (3, two), (None, two + "with an end"), (4, None), (5, ""), (6, " \n\t")]).unionAll(edge)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, str(tmp_path)).persist()
+        assert docs.columns == before.columns
+        if "n_chars" in docs.columns and name == "line_dedup":
+            assert docs.where("n_chars <> length(text)").count() == 0
+        rows = docs.collect()
+        assert stage(spark, before.where("false"), str(tmp_path)).count() == 0, name
+    kept = {(r.doc_id, r.text) for r in rows}
+    assert {unlike} < {t for d, t in kept if d == 1} and len([t for d, t in kept if d == 1]) == 2
+    assert not {2, 4, 5, 6} & {d for d, _ in kept} and {r.kept for r in rows} == {"extra"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)

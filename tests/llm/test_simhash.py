@@ -46,6 +46,20 @@ def test_edge_cases(edge):
     assert len(ids) == len(set(ids)) and {1, 8, None} <= set(ids) and not {2, 3, 9} & set(ids)
 
 
+def test_unlike_texts_of_one_id_all_stay(make):
+    other = "quite another text with words of its own that nobody else has written anywhere before today"
+    near = "the first of all texts about a brown fox that jumps over every lazy dog it meets on its way"
+    rows = [(5, near), (5, other), (5, other), (6, other), (7, near), (4, near + " home"), (None, near)]
+    left = simhash.keep_one_of_each(make(rows))
+    texts = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    fps = {t: simhash.fingerprint(t) for _, t in rows}
+    close = int(fps[near] ^ fps[near + " home"]).bit_count() <= 4
+    want = [(0, near), (5, other)] + ([(4, near + " home")] if close else [(4, near + " home"), (5, near)])
+    assert texts == sorted(want)
+    ids = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_report(make(rows)).collect()}
+    assert ids[6, f"{fps[other]:016x}"] == 5 and ids[7, f"{fps[near]:016x}"] == (4 if close else 5)
+
+
 def test_links_of_planted_neighbours(spark):
     draw = np.random.default_rng(5)
     seeds = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
