@@ -1,162 +1,187 @@
 """Documents into headings, sections and chunks.
 
-These are sequential by nature (a cursor, a level stack, a packing state), so each document is folded by
-a small Python function inside `mapInPandas`; Spark deals out the documents.
+Lines are rows: what a line looks like is a matter of patterns, what stands around it of lag and lead, and
+its level and path of running values within the document, so all of it is window expressions. Only cutting
+and packing, whose next step depends on the last, are small functions on one section's text, in Arrow
+batches. `doc_id` is taken to be unique; null and empty texts have no chunks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
-from itertools import pairwise
+from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from marlspark.operators.layout import HEADING_CHARS, heading_paths
 
 SIZE, OVERLAP, MIN_CHARS, PERCENTILE = 1200, 180, 300, 80.0
 #: The shapes of headings, and warnings that look like one.
-MARKDOWN = re.compile(r"(#{1,6})\s+(.+?)\s*")
-ROMAN = re.compile(r"([IVXLCDM]+)[.)]\s+(.+)")
-DECIMAL = re.compile(r"(\d+(?:\.\d+)+)[.)]?\s+(.+)")
-LETTER = re.compile(r"([a-zđ])[.)]\s+(.+)")
-WARNING = re.compile(r"(?:LƯU Ý|CHÚ Ý|CẢNH BÁO|KHÔNG ĐƯỢC|NGHIÊM CẤM)\b")
+MARKDOWN = r"(?U)^(#{1,6})\s+(.+)$"
+ROMAN = r"(?U)^([IVXLCDM]+)[.)]\s+(.+)$"
+DECIMAL = r"(?U)^(\d+(?:\.\d+)+)[.)]?\s+(.+)$"
+LETTER = r"(?U)^([a-zđ])[.)]\s+(.+)$"
+WARNING = r"(?U)^(?:LƯU Ý|CHÚ Ý|CẢNH BÁO|KHÔNG ĐƯỢC|NGHIÊM CẤM)\b"
 PDF_TABLE = "Bảng, trang PDF "
+PARAGRAPH = r"\n\s*\n+"
 SENTENCE = r"(?<=[.!?])\s+(?=\S)"
 #: Where to cut, safest first, and what to join pieces with.
-CUTS = ((r"\n\s*\n+", "\n\n"), (r"\n+", "\n"), (SENTENCE, " "), (r"(?<=[;:])\s+", " "), (r"\s+", " "))
+CUTS = ((PARAGRAPH, "\n\n"), (r"\n+", "\n"), (SENTENCE, " "), (r"(?<=[;:])\s+", " "), (r"\s+", " "))
+#: The longest label, in characters and words, and the fewest letters of one in capitals.
+LABEL_CHARS, LABEL_WORDS, CAPITAL_LETTERS = 120, 16, 4
+#: Dotted numbers may nest deeper than Markdown; deeper levels count as this one.
+LEVELS = 12
+
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
+#: A text in which no line looks like this has no headings.
+MAYBE = r"(?mU)^\s*(?:#{1,6}\s|[IVXLCDM]+[.)]\s|\d+(?:\.\d+)+[.)]?\s|[^\p{Ll}\n]*\p{Lu}[^\p{Ll}\n]*$)"
 
 
-@dataclass(frozen=True)
-class Line:
-    text: str
-    level: int = 0  # 0: body
-    reason: str = "body"
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
 
 
-def is_label(value: str) -> bool:
+def is_label(value: Column) -> Column:
     """Short, starts with a letter, doesn't end like a sentence, holds no inline `label: body`."""
-    if not value or not value[0].isalpha() or len(value) > 120 or len(value.split()) > 16:
-        return False
-    return value[-1] not in ".!?;" and ":" not in value.rstrip(":")
+    short = (F.length(value) <= LABEL_CHARS) & (F.size(F.split(stripped(value), r"(?U)\s+")) <= LABEL_WORDS)
+    return short & value.rlike(r"^\p{L}") & ~value.rlike(r"[.!?;]$") & ~value.rlike(":.*[^:]")
 
 
-def headings(text: str, natural: bool = True) -> list[Line]:
-    """Each line with its heading level.
+def outline(docs: DataFrame, natural: bool = True) -> DataFrame:
+    """(doc_id, line, raw, level, reason, title) of each line; level is 0 for body lines.
 
-    Markdown headings, if there are any, are the only ones. Else a line alone between blanks in capitals
-    opens level 1, if a second one or a numbered outline supports it; Roman, dotted and lettered numbers
-    nest below it and each other.
+    If a text has Markdown headings, they are its only ones. Else a line in capitals alone between blank
+    lines opens level 1, where a second one or a numbered line behind it supports it; Roman, dotted and
+    lettered numbers nest below it and each other.
     """
-    raw = text.replace("\r\n", "\n").replace("\r", "\n").splitlines()
-    bare = [x.strip() for x in raw]
-    marks = [MARKDOWN.fullmatch(x) for x in bare]
-    if not natural or any(marks):
-        return [Line(m[2][:500], len(m[1]), "markdown") if m else Line(r) for m, r in zip(marks, raw, strict=True)]
-    blank_before = [i == 0 or not bare[i - 1] for i in range(len(bare))]
-    blank_after = [i + 1 == len(bare) or not bare[i + 1] for i in range(len(bare))]
-    upcoming, seen = [""] * len(bare), ""
-    for i in reversed(range(len(bare))):
-        upcoming[i], seen = seen, bare[i] or seen
-
-    def capital(i: int) -> bool:
-        x = bare[i]
-        alone = blank_before[i] and blank_after[i] and bool(upcoming[i])
-        return alone and x.isupper() and sum(map(str.isalpha, x)) >= 4 and is_label(x) and not WARNING.match(x) and not ROMAN.fullmatch(x)
-
-    capitals = {i for i in range(len(bare)) if capital(i)}
-    if len(capitals) == 1:
-        capitals = {i for i in capitals if ROMAN.fullmatch(upcoming[i]) or DECIMAL.fullmatch(upcoming[i])}
-    out, under_capital, under_roman, depth = [], 0, 0, 0
-    for i, x in enumerate(bare):
-        level, reason = 0, "body"
-        if i in capitals:
-            level, reason = 1, "uppercase_section"
-            under_capital, under_roman, depth = 1, 0, 0
-        elif (m := ROMAN.fullmatch(x)) and is_label(m[2]):
-            level, reason, under_roman = 1 + under_capital, "roman_number", 1
-            depth = level
-        elif (m := DECIMAL.fullmatch(x)) and is_label(m[2]):
-            level, reason = m[1].count(".") + under_capital + under_roman, "section_number"
-            depth = level
-        elif depth and (m := LETTER.fullmatch(x)) and is_label(m[2]):
-            level, reason = depth + 1, "letter_section"
-        out.append(Line(x, level, reason) if level else Line(raw[i]))
-    return out
-
-
-def sections(text: str, natural: bool = True) -> list[tuple[tuple[str, ...], str]]:
-    """(path, body) of each section, in order; a heading closes all of its level and below."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    path: list[Line] = []
-    body: list[str] = []
-    for line in [*headings(text, natural), None]:
-        if line is not None and not line.level:
-            body.append(line.text)
-            continue
-        out.append((tuple(p.text for p in path), "\n".join(body).strip()))
-        body = []
-        if line is not None:
-            path = [*[p for p in path if p.level < line.level], Line(line.text[:500], line.level)]
-    return out
-
-
-def fixed_windows(body: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[str]:
-    """Windows of `size` that overlap, cut at the last line or word end if that isn't too early."""
-    if size < 200 or not 0 <= overlap < size:
-        raise ValueError("size must be 200 or more, and overlap less than it")
-    start = 0
-    while start < len(body):
+    document = Window.partitionBy("doc_id")
+    order = document.orderBy("line")
+    ahead = order.rowsBetween(1, Window.unboundedFollowing)
+    lines = docs.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("line", "raw")).withColumn("bare", stripped(F.col("raw")))
+    bare, behind = F.col("bare"), F.col("behind")
+    numbered = lambda pattern: bare.rlike(pattern) & is_label(F.regexp_extract(bare, pattern, 2))
+    blank = lambda x: F.coalesce(x, F.lit("")) == ""
+    seen = lines.select(
+        "*",
+        bare.rlike(MARKDOWN).alias("markdown"),
+        numbered(ROMAN).alias("roman"),
+        numbered(DECIMAL).alias("decimal"),
+        numbered(LETTER).alias("letter"),
+        F.first(F.nullif(bare, F.lit("")), ignorenulls=True).over(ahead).alias("behind"),
+        (blank(F.lag("bare").over(order)) & blank(F.lead("bare").over(order))).alias("alone"),
+    )
+    letters = F.length(F.regexp_replace(bare, r"\P{L}", ""))
+    loud = F.col("alone") & behind.isNotNull() & (F.upper(bare) == bare) & (F.lower(bare) != bare) & (letters >= CAPITAL_LETTERS) & is_label(bare) & ~bare.rlike(WARNING) & ~bare.rlike(ROMAN)
+    counted = seen.withColumn("loud", loud).withColumn("marked", F.max("markdown").over(document)).withColumn("n", F.count_if("loud").over(document))
+    supported = (F.col("n") > 1) | behind.rlike(ROMAN) | behind.rlike(DECIMAL)
+    capital = (F.col("loud") & supported & ~F.col("marked")).alias("capital")
+    parts = counted.select("*", capital).withColumn("part", F.count_if("capital").over(order))
+    in_part = Window.partitionBy("doc_id", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    below = (F.col("part") > 0).cast("int")
+    dots = F.length(F.regexp_replace(F.regexp_extract(bare, DECIMAL, 1), r"[^.]", ""))
+    after_roman = F.coalesce(F.max(F.col("roman").cast("int")).over(in_part), F.lit(0))
+    own = F.when(F.col("capital"), 0).when(F.col("roman"), 1 + below).when(F.col("decimal"), dots + below + after_roman).otherwise(0)
+    levelled = parts.withColumn("own", own).withColumn("above", F.coalesce(F.last(F.when(F.col("own") > 0, F.col("own")), ignorenulls=True).over(in_part), F.lit(0)))
+    kinds = [  # first that holds: condition, level, reason, title
+        (F.col("markdown"), F.length(F.regexp_extract(bare, MARKDOWN, 1)), "markdown", F.regexp_extract(bare, MARKDOWN, 2)),
+        (F.col("marked") | ~F.lit(natural), F.lit(0), "body", bare),
+        (F.col("capital"), F.lit(1), "uppercase_section", bare),
+        (F.col("roman"), F.col("own"), "roman_number", bare),
+        (F.col("decimal"), F.col("own"), "section_number", bare),
+        (F.col("letter") & (F.col("above") > 0), F.col("above") + 1, "letter_section", bare),
+    ]
+    kind = None
+    for holds, level, reason, title in kinds:
+        found = F.struct(level.cast("int").alias("level"), F.lit(reason).alias("reason"), F.substring(title, 1, HEADING_CHARS).alias("title"))
+        kind = F.when(holds, found) if kind is None else kind.when(holds, found)
+    none = F.struct(F.lit(0).alias("level"), F.lit("body").alias("reason"), bare.alias("title"))
+    return levelled.select("doc_id", "line", "raw", kind.otherwise(none).alias("k")).select("doc_id", "line", "raw", "k.*")
+
+
+def heading_rows(docs: DataFrame, natural: bool = True) -> DataFrame:
+    """(doc_id, line, level, reason, text) of each heading."""
+    return outline(docs.where(F.col("text").rlike(MAYBE)), natural).where("level > 0").select("doc_id", "line", "level", "reason", F.col("title").alias("text"))
+
+
+def sections(docs: DataFrame, natural: bool = True) -> DataFrame:
+    """(doc_id, section, path, body), in order; a heading closes all of its level and below.
+
+    Texts without a line that may be a heading are one section each and aren't taken apart.
+    """
+    maybe = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
+    whole = stripped(F.regexp_replace("text", BREAK, "\n"))
+    plain = docs.where(~maybe).select("doc_id", F.lit(0).cast("long").alias("section"), F.array().cast("array<string>").alias("path"), F.coalesce(whole, F.lit("")).alias("body"))
+    lines = outline(docs.where(maybe), natural).withColumn("level", F.least("level", F.lit(LEVELS)))
+    pathed = heading_paths(lines, "doc_id", ["line"], "level", "title", LEVELS)
+    numbered = pathed.withColumn("section", F.count_if(F.col("level") > 0).over(Window.partitionBy("doc_id").orderBy("line")))
+    body = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("line", "raw"))))
+    joined = numbered.groupBy("doc_id", "section").agg(F.min_by("path", "line").alias("path"), body.alias("lines"))
+    return plain.unionAll(joined.select("doc_id", "section", "path", stripped(F.array_join(F.transform("lines", lambda x: x["raw"]), "\n")).alias("body")))
+
+
+def cut_windows(body: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+    """Windows of `size` that overlap; each ends at its last line or word end, if that isn't too early."""
+    breaks = [m.start() for m in re.finditer("[ \n]", body)]
+    found, start, end = [], 0, 0
+    while end < len(body):
         end = start + size
-        if end >= len(body):
-            end = len(body)
-        else:
-            at = max(body.rfind("\n", start, end), body.rfind(" ", start, end))
-            if at > start + max(overlap, size // 2):
-                end = at
-        if part := body[start:end].strip():
-            yield part
-        if end == len(body):
-            return
+        if end < len(body):
+            last = bisect_left(breaks, end) - 1
+            if last >= 0 and breaks[last] > start + max(overlap, size // 2):
+                end = breaks[last]
+        found.append(body[start:end].strip())
         start = max(start + 1, end - overlap)
+    return [x for x in found if x]
 
 
-def pack(parts: Iterable[str], joint: str, limit: int) -> list[str]:
-    """Join neighbours while they fit."""
-    out: list[str] = []
-    for part in filter(None, map(str.strip, parts)):
-        if out and len(out[-1]) + len(joint) + len(part) <= limit:
-            out[-1] += joint + part
-        else:
-            out.append(part)
-    return out
-
-
-def bounded(value: str, limit: int, cuts: tuple = CUTS) -> list[str]:
-    """Pieces of at most `limit` characters, cut at the safest place that does."""
-    value = value.strip()
-    if len(value) <= limit:
-        return [value] if value else []
-    if not cuts:
-        return [value[i : i + limit] for i in range(0, len(value), limit)]
-    (pattern, joint), rest = cuts[0], cuts[1:]
-    parts = [p for p in re.split(pattern, value) if p.strip()]
-    if len(parts) == 1:
-        return bounded(value, limit, rest)
-    return pack((piece for p in parts for piece in bounded(p, limit, rest)), joint, limit)
-
-
-def units(value: str, limit: int) -> list[str]:
-    """Paragraphs, or their sentences where they are too long, never over the limit."""
-    out: list[str] = []
-    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n+", value.replace("\r\n", "\n").replace("\r", "\n")))):
-        if len(paragraph) <= limit:
-            out.append(paragraph)
-        else:
-            for sentence in filter(None, map(str.strip, re.split(SENTENCE, paragraph))):
-                out += bounded(sentence, limit)
-    return out
+def cut_pieces(value: str, limit: int) -> list[str]:
+    """Pieces of at most `limit` characters.
+
+    Pieces that are too long are cut at the safest kind of place, then the next; each piece knows the kind
+    of cut before it. Then neighbours are put together again while they fit, across the finest cuts first.
+    """
+    pieces = [(0, value.strip())]
+    for rank, (pattern, _) in enumerate(CUTS, 1):
+        finer = []
+        for before, text in pieces:
+            parts = [text] if len(text) <= limit else [p.strip() for p in re.split(pattern, text) if p.strip()]
+            finer += [(rank if i else before, part) for i, part in enumerate(parts)]
+        pieces = finer
+    pieces = [(len(CUTS) + 1 if i else before, text[i : i + limit]) for before, text in pieces for i in range(0, len(text), limit)]
+    for rank in range(len(CUTS), 0, -1):
+        joint, packed = CUTS[rank - 1][1], []
+        for before, text in pieces:
+            if packed and before >= rank and len(packed[-1][1]) + len(joint) + len(text) <= limit:
+                packed[-1] = (packed[-1][0], packed[-1][1] + joint + text)
+            else:
+                packed.append((before, text))
+        pieces = packed
+    return [text for _, text in pieces]
+
+
+def _cut(column: Column, cut: Callable[[str], list[str]]) -> Column:
+    """`cut` of each text, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else cut(x))
+
+    return run(column)
+
+
+def paragraphs(body: Column) -> Column:
+    return F.filter(F.transform(F.split(body, "(?U)" + PARAGRAPH), stripped), lambda x: F.length(x) > 0)
+
+
+def units(body: Column, limit: int = SIZE) -> Column:
+    """Paragraphs, or their sentences where they are too long."""
+    sentences = lambda p: F.filter(F.transform(F.split(p, "(?U)" + SENTENCE), stripped), lambda x: F.length(x) > 0)
+    return F.flatten(F.transform(paragraphs(body), lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(sentences(p))))
 
 
 def hashing_embedder(texts: list[str], dimension: int = 64) -> np.ndarray:
@@ -172,67 +197,63 @@ def hashing_embedder(texts: list[str], dimension: int = 64) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def semantic_chunks(body: str, embed: Callable[[list[str]], np.ndarray], limit: int = SIZE, least: int = MIN_CHARS, percentile: float = PERCENTILE) -> list[str]:
-    """Units packed up to the limit, with a break where neighbouring windows differ most."""
-    parts = units(body, limit)
-    if len(parts) < 2:
-        return parts
-    vectors = embed(["\n\n".join(parts[max(0, i - 1) : i + 2]) for i in range(len(parts))])
-    distance = 1 - np.clip((vectors[:-1] * vectors[1:]).sum(axis=1), -1, 1)
-    threshold = float(np.percentile(distance, percentile))
-    groups = [parts[0]]
-    for part, gap in zip(parts[1:], distance.tolist(), strict=True):
-        far = threshold > 0 and gap >= threshold and len(groups[-1]) >= least
-        if far or len(groups[-1]) + 2 + len(part) > limit:
+def pack_units(parts: list[str], gaps: list[float], threshold: float, limit: int, least: int) -> list[str]:
+    """Units put together up to the limit, but not across a gap that reaches the threshold once there are `least` characters."""
+    groups: list[str] = []
+    for part, gap in zip(parts, [0.0, *gaps][: len(parts)], strict=True):
+        full = not groups or len(groups[-1]) + 2 + len(part) > limit
+        if full or (0 < threshold <= gap and len(groups[-1]) >= least):
             groups.append(part)
         else:
-            groups[-1] += "\n\n" + part
+            groups[-1] = f"{groups[-1]}\n\n{part}"
     if len(groups) > 1 and len(groups[-1]) < least and len(groups[-2]) + 2 + len(groups[-1]) <= limit:
-        groups[-2:] = ["\n\n".join(groups[-2:])]
+        tail = groups.pop()
+        groups[-1] = f"{groups[-1]}\n\n{tail}"
     return groups
 
 
-def adaptive(text: str, embed: Callable[[list[str]], np.ndarray] = hashing_embedder, limit: int = SIZE, least: int = MIN_CHARS, percentile: float = PERCENTILE) -> list[tuple[tuple[str, ...], str]]:
-    """(path, chunk): sections that fit stay whole, table chunks always do, others break by meaning."""
-    out = []
-    for path, body in sections(text):
-        whole = len(body) <= limit or body.startswith(PDF_TABLE)
-        out += [(path, x.strip()) for x in ([body] if whole else semantic_chunks(body, embed, limit, least, percentile)) if x.strip()]
-    return out
+def by_meaning(bodies: DataFrame, embed: Callable[[list[str]], np.ndarray], limit: int, least: int, share: float) -> DataFrame:
+    """`bodies` with `parts`: the body's units, packed, with a break where neighbouring windows of three differ most."""
 
+    @F.pandas_udf("array<string>")
+    def packed(rows: pd.Series) -> pd.Series:
+        split = [[piece for x in row for piece in cut_pieces(x, limit)] for row in rows]
+        vectors = embed(["\n\n".join(row[max(0, i - 1) : i + 2]) for row in split for i in range(len(row))])
+        close = np.clip((vectors[:-1] * vectors[1:]).sum(axis=1), -1, 1)
+        out, start = [], 0
+        for row in split:
+            gaps = 1 - close[start : start + len(row) - 1] if row else close[:0]
+            out.append(pack_units(row, gaps.tolist(), float(np.percentile(gaps, share)) if len(gaps) else 0.0, limit, least))
+            start += len(row)
+        return pd.Series(out, dtype=object)
 
-CHUNK_SCHEMA = "doc_id long, chunk_index int, heading string, section_path array<string>, content string"
+    return bodies.withColumn("parts", packed(units(F.col("body"), limit)))
 
 
-def chunk_documents(docs: DataFrame, split: Callable[[str], Iterable[tuple[tuple[str, ...], str]]]) -> DataFrame:
-    """Chunks of each (doc_id, text), numbered in order; `split` gives (path, content)."""
+def _chunks(pieces: DataFrame) -> DataFrame:
+    """Chunks of (doc_id, section, path, parts), numbered in order."""
+    listed = pieces.select("doc_id", "section", "path", F.posexplode("parts").alias("part", "content"))
+    order = Window.partitionBy("doc_id").orderBy("section", "part")
+    heading = F.get("path", F.size("path") - 1)
+    return listed.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), heading.alias("heading"), F.col("path").alias("section_path"), "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (doc, i, path[-1] if path else None, list(path), content)
-                for doc, text in zip(batch["doc_id"], batch["text"], strict=True)
-                for i, (path, content) in enumerate(split(text or ""))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "heading", "section_path", "content"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNK_SCHEMA)
-
-
-def fixed_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[tuple[str, ...], str]]:
-    return ((path, part) for path, body in sections(text) for part in fixed_windows(body, size, overlap))
-
-
-def heading_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, level, reason, text) of each heading."""
+def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Overlapping windows within sections: doc_id, chunk_index, heading, section_path, content."""
+    if size < 200 or not 0 <= overlap < size:
+        raise ValueError("size must be 200 or more, and overlap less than it")
+    return _chunks(sections(docs).withColumn("parts", _cut(F.col("body"), lambda x: cut_windows(x, size, overlap))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(doc, i, x.level, x.reason, x.text) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for i, x in enumerate(headings(text or "")) if x.level]
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "level", "reason", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, line int, level int, reason string, text string")
+def recursive_chunks(docs: DataFrame, limit: int = SIZE) -> DataFrame:
+    """Pieces of the whole text, cut at the safest places."""
+    whole = docs.select("doc_id", F.lit(0).alias("section"), F.array().cast("array<string>").alias("path"), F.coalesce("text", F.lit("")).alias("body"))
+    return _chunks(whole.withColumn("parts", _cut(F.col("body"), lambda x: cut_pieces(x, limit))))
 
 
-def distances(vectors: np.ndarray) -> list[float]:
-    return [1 - float(np.clip(a @ b, -1, 1)) for a, b in pairwise(vectors)]
+def adaptive_chunks(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashing_embedder, limit: int = SIZE, least: int = MIN_CHARS, share: float = PERCENTILE) -> DataFrame:
+    """Sections that fit stay whole, those of a table always do, others break by meaning."""
+    found = sections(docs).where(F.length("body") > 0)
+    stays = (F.length("body") <= limit) | F.startswith("body", F.lit(PDF_TABLE))
+    whole = found.where(stays).withColumn("parts", F.array("body"))
+    return _chunks(whole.unionByName(by_meaning(found.where(~stays), embed, limit, least, share)))

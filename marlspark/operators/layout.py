@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 6
+#: Titles in a path are cut to so many characters.
+HEADING_CHARS = 500
 #: An image on so many pages is decoration; a line is bold from this share on.
 DECORATION_PAGES, BOLD_SHARE = 3, 0.6
 
@@ -44,20 +46,20 @@ def outside_tables(items: DataFrame, tables: DataFrame) -> DataFrame:
     return items.alias("i").join(tables.alias("t"), same & inside, "left_anti")
 
 
-def heading_paths(rows: DataFrame, key: str, order: list[str], level: str, title: str) -> DataFrame:
+def heading_paths(rows: DataFrame, key: str, order: list[str], level: str, title: str, levels: int = LEVELS, chars: int = HEADING_CHARS) -> DataFrame:
     """`rows` with `path`: the headings that each row stands under, itself included if it is one.
 
-    The last heading of a level counts while no heading of a higher level came after it. level: 1 to 6,
-    null or 0 for body rows.
+    The last heading of a level counts while no heading of a higher level came after it. level: 1 to
+    `levels`, null or 0 for body rows. Titles are cut to `chars` characters.
     """
     window = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    last = [F.last(F.when(F.col(level) == k, F.struct("_at", F.col(title).alias("title"))), ignorenulls=True).over(window).alias(f"_l{k}") for k in range(1, LEVELS + 1)]
+    last = [F.last(F.when(F.col(level) == k, F.struct("_at", F.col(title).alias("title"))), ignorenulls=True).over(window).alias(f"_l{k}") for k in range(1, levels + 1)]
     seen = numbered.select("*", *last)
     entries = []
-    for k in range(1, LEVELS + 1):
+    for k in range(1, levels + 1):
         higher = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_l{j}._at") < F.col(f"_l{k}._at"), F.lit(True)) for j in range(1, k)], F.lit(True))
-        entries.append(F.when(higher, F.substring(F.col(f"_l{k}.title"), 1, 500)))
+        entries.append(F.when(higher, F.substring(F.col(f"_l{k}.title"), 1, chars)))
     return seen.select(*rows.columns, F.filter(F.array(*entries), lambda x: x.isNotNull()).alias("path"))
 
 

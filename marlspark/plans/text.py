@@ -71,19 +71,19 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping windows within sections."""
-    return chunking.chunk_documents(_docs(spark, sf_dir), chunking.fixed_chunks)
+    return chunking.fixed_chunks(_docs(spark, sf_dir))
 
 
 @query()
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 1,200 characters, cut at the safest place."""
-    return chunking.chunk_documents(_docs(spark, sf_dir), lambda t: (((), x) for x in chunking.bounded(t, chunking.SIZE)))
+    return chunking.recursive_chunks(_docs(spark, sf_dir))
 
 
 @query()
 def chunk_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections, broken by meaning where they are too long."""
-    return chunking.chunk_documents(_docs(spark, sf_dir), chunking.adaptive)
+    return chunking.adaptive_chunks(_docs(spark, sf_dir))
 
 
 @query(
@@ -92,8 +92,7 @@ def chunk_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def paragraph_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of each document and the length of the longest."""
-    parts = F.filter(F.transform(F.split("text", r"\n\s*\n+"), lambda x: F.btrim(x, F.lit("\t\n\x0b\x0c\r "))), lambda x: F.length(x) > 0)
-    return _docs(spark, sf_dir).select("doc_id", F.explode(parts).alias("p")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("p")).alias("longest"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(chunking.paragraphs(F.col("text"))).alias("p")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("p")).alias("longest"))
 
 
 @query(

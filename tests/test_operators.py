@@ -100,33 +100,75 @@ def test_section_scope(spark):
     assert one(spark, text.section_scope(F.array(F.lit("x"), F.lit("y")))) == ["x", "y"]
 
 
-def test_headings_nest():
-    lines = chunking.headings("I. Quy định chung\n1.1. Thời gian làm việc\na. Nhân viên chính thức\nNội dung.")
-    assert [x.level for x in lines] == [1, 2, 3, 0]
-    assert chunking.sections("I. Quy định chung\n1.1. Thời gian làm việc\na. Nhân viên chính thức\nNội dung.")[-1] == (
-        ("I. Quy định chung", "1.1. Thời gian làm việc", "a. Nhân viên chính thức"),
-        "Nội dung.",
-    )
-    assert [x.level for x in chunking.headings("# A\nI. B\n## C")] == [1, 0, 2]
-    assert [x.level for x in chunking.headings("THÔNG BÁO\n\nNội dung")] == [0, 0, 0]
-    assert [x.level for x in chunking.headings("THÔNG BÁO\n\nI. Mục\n\nx")] == [1, 0, 2, 0, 0]
-
-
-def test_fixed_windows():
-    assert [len(x) for x in chunking.fixed_windows("x" * 450, 200, 50)] == [200, 200, 150]
+def outlined(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {i: [] for i in range(len(texts))}
+    for r in chunking.outline(docs).orderBy("doc_id", "line").collect():
+        found[r.doc_id].append(r.level)
+    return [found[i] for i in range(len(texts))]
+
+
+OUTLINE = "I. Quy định chung\n1.1. Thời gian làm việc\na. Nhân viên chính thức\nNội dung."
+
+
+def test_headings_nest(spark):
+    texts = [
+        OUTLINE,
+        "# A\nI. B\n## C",
+        "THÔNG BÁO\n\nNội dung",
+        "THÔNG BÁO\n\nI. Mục\n\nx",
+        "PHẦN MỘT\r\n\r\nx\n\nPHẦN HAI\n\n1.1 Mục\nII. Mục\n1.2. Con\n1.2.3 Cháu\nb) Chữ\n\nLƯU Ý CHUNG\n\ny",
+        "a. no number before it\nI. ends like a sentence.\nI. label: body\n1.1 " + "w " * 17,
+        "",
+        None,
+    ]
+    assert outlined(spark, *texts) == [[1, 2, 3, 0], [1, 0, 2], [0, 0, 0], [1, 0, 2, 0, 0], [1, 0, 0, 0, 1, 0, 2, 2, 3, 4, 5, 0, 0, 0, 0], [0, 0, 0, 0], [0], []]
+    docs = spark.createDataFrame([(1, OUTLINE), (2, "# A\nx\n ## B \ny\n# C\n\n z \n"), (3, " plain \r\n text "), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.section): (r.path, r.body) for r in chunking.sections(docs).collect()}
+    assert got[1, 3] == (["I. Quy định chung", "1.1. Thời gian làm việc", "a. Nhân viên chính thức"], "Nội dung.")
+    assert got[2, 1] == (["A"], "x") and got[2, 2] == (["A", "B"], "y") and got[2, 3] == (["C"], "z") and got[3, 0] == ([], "plain \n text") and got[4, 0] == ([], "")
+    assert {(r.line, r.level, r.reason) for r in chunking.heading_rows(docs).where("doc_id = 1").collect()} == {(0, 1, "roman_number"), (1, 2, "section_number"), (2, 3, "letter_section")}
+
+
+def test_fixed_windows(spark):
+    assert [len(x) for x in chunking.cut_windows("x" * 450, 200, 50)] == [200, 200, 150]
+    assert chunking.cut_windows("", 200, 50) == [] == chunking.cut_windows("  \n", 200, 50)
+    text = "word " * 100
+    windows = chunking.cut_windows(text, 200, 50)
+    assert all(len(w) <= 200 and w.startswith(("word", "ord", "rd", "d")) and w.endswith("word") for w in windows)
     with pytest.raises(ValueError):
-        list(chunking.fixed_windows("x", 100, 0))
+        chunking.fixed_chunks(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 100, 0)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .;\n", max_size=3000))
-def test_chunks_are_bounded_and_whole(value):
-    for part in chunking.bounded(value, 100):
-        assert 0 < len(part) <= 100
-    joined = "".join("".join(chunking.bounded(value, 100)).split())
-    assert joined == "".join(value.split())
-    for _, part in chunking.adaptive(value, limit=200, least=50):
-        assert len(part) <= 200
+def test_pieces_are_bounded_and_whole(value):
+    pieces = chunking.cut_pieces(value, 100)
+    assert all(0 < len(x) <= 100 for x in pieces)
+    assert "".join("".join(pieces).split()) == "".join(value.split())
+    assert all(len(a) + 1 + len(b) > 100 or "\n" in value or ". " in value or ";" in value for a, b in zip(pieces, pieces[1:], strict=False))
+
+
+def test_chunks(spark):
+    """Adaptive chunks are within the limit, lose nothing and keep tables whole."""
+    draw = np.random.default_rng(1)
+    texts = ["".join(draw.choice(list("ab .;\n"), 900)) for _ in range(30)] + ["# H\n" + chunking.PDF_TABLE + "1\n" + "row " * 200, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in chunking.adaptive_chunks(docs, limit=200, least=50).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts[:30]):
+        assert all(0 < len(r.content) <= 200 for r in found[i]) and [r.chunk_index for r in found[i]] == list(range(len(found[i])))
+        assert "".join("".join(r.content for r in found[i]).split()) == "".join(t.split())
+    assert len(found[30]) == 1 and found[30][0].section_path == ["H"] and found[30][0].heading == "H" and 31 not in found and 32 not in found
+    fixed = chunking.fixed_chunks(docs, 200, 50).where("doc_id = 0").orderBy("chunk_index").collect()
+    assert [r.content for r in fixed] == chunking.cut_windows(texts[0].strip(), 200, 50)
+
+
+def test_breaks_by_meaning():
+    parts = ["a" * 40, "b" * 40, "c" * 40, "d" * 5]
+    assert chunking.pack_units(parts, [0.1, 0.9, 0.2], 0.9, 200, 50) == ["\n\n".join(parts[:2]) + "\n\n" + "\n\n".join(parts[2:])]
+    assert chunking.pack_units(parts, [0.1, 0.9, 0.2], 0.9, 100, 50) == ["\n\n".join(parts[:2]), "\n\n".join(parts[2:])]
 
 
 def test_percentile_of_distances():
