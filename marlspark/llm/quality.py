@@ -1,8 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule says when a text is to be rejected. A bounded sample gives every rule's cost (seconds a row)
+Each rule says when a text is to be rejected. A bounded sample gives every rule's cost (steps a row)
 and selectivity (share rejected); rules are put in order of rejection per cost and become one CASE
-expression, of which Spark evaluates no branch after the first that holds. The verdict is the OR of all
+expression, of which Spark evaluates no branch after the first that holds. A rule's cost is the mean of its
+steps on the sample's texts, which each rule states by the sizes of a text; clock times of single jobs vary
+more than rules do, and would give another order each time. Rules that reject nothing in the sample keep
+their given order, last. The verdict is the OR of all
 rules and so doesn't depend on the order; only the work does.
 
 Defined results: a null or empty text has no words and is rejected; long texts are taken whole; repeated
@@ -12,7 +15,6 @@ extra columns don't matter, as nothing is added to the input's columns.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 from collections.abc import Callable
 
@@ -25,7 +27,6 @@ from marlspark.llm.common import UPPER, let, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SAMPLE_ROWS = 1000
-LEAST_SECONDS = 1e-3
 
 
 def n_symbols(text: Column) -> Column:
@@ -74,47 +75,48 @@ def n_stutters(tokens: Column) -> Column:
     return let(tokens, lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False)))))
 
 
+#: A count by its name, which is worked out only if it isn't at hand.
+Known = Callable[[str, Callable[[], Column]], Column]
+
+
+def anew(name: str, count: Callable[[], Column]) -> Column:
+    return count()
+
+
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` takes the text and its words and gives a boolean column, never null."""
+    """`rejects` takes the text, its words and what is known of them, and gives a boolean column, never null.
+
+    `steps` takes text and words and says how much work that is, in characters read once.
+    """
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Column, Column, Known], Column]
+    steps: Callable[[Column, Column], Column] = lambda t, w: F.length(t)
 
 
-#: The thresholds of the default rules.
+#: The thresholds of the default rules, and their steps: a hash of a word or an array's
+#: element made anew costs some thirty characters, a comparison of two words ten.
 RULES = (
-    Rule("few_words", lambda t, w: F.size(w) < 10),
-    Rule("repeated_windows", lambda t, w: n_repeat_words(w) * 100 > F.size(w) * 20),
-    Rule("symbols", lambda t, w: n_symbols(t) * 10 > F.size(w)),
-    Rule("duplicate_lines", lambda t, w: n_dup_lines(t) * 100 > F.size(lines_with_words(t)) * 40),
-    Rule("stutter", lambda t, w: n_stutters(w) * 100 > F.size(w) * 40),
-    Rule("capitals", lambda t, w: (F.length(t) - F.length(F.translate(t, UPPER, ""))) * 100 > F.length(t) * 30),
-    Rule("word_length", lambda t, w: (F.length(F.array_join(w, "")) < F.size(w) * 2) | (F.length(F.array_join(w, "")) > F.size(w) * 40)),
+    Rule("few_words", lambda t, w, k: F.size(w) < 10, lambda t, w: F.lit(1)),
+    Rule("repeated_windows", lambda t, w, k: k("n_repeat_words", lambda: n_repeat_words(w)) * 100 > F.size(w) * 20, lambda t, w: F.size(w) * 120),
+    Rule("symbols", lambda t, w, k: k("n_symbols", lambda: n_symbols(t)) * 10 > F.size(w), lambda t, w: F.length(t)),
+    Rule("duplicate_lines", lambda t, w, k: k("n_dup_lines", lambda: n_dup_lines(t)) * 100 > F.size(lines_with_words(t)) * 40, lambda t, w: F.length(t) * 4),
+    Rule("stutter", lambda t, w, k: n_stutters(w) * 100 > F.size(w) * 40, lambda t, w: F.size(w) * 40),
+    Rule("capitals", lambda t, w, k: (F.length(t) - F.length(F.translate(t, UPPER, ""))) * 100 > F.length(t) * 30),
+    Rule("word_length", lambda t, w, k: let(k("word_chars", lambda: F.length(F.array_join(w, ""))), lambda n: (n < F.size(w) * 2) | (n > F.size(w) * 40)), lambda t, w: F.length(t) + F.size(w) * 10),
 )
 
 
 @dataclass(frozen=True)
 class RuleCost:
     rule: Rule
-    seconds: float
+    cost: float
     rejected: float
 
     @property
     def rejection_per_cost(self) -> float:
-        return self.rejected / max(self.seconds, 1e-9)
-
-
-def _timed(sample: DataFrame, rejects: Callable[[Column, Column], Column]) -> tuple[float, int]:
-    """Seconds of a run over the sample, after one that compiles, and the rows rejected."""
-    seconds, hits = 0.0, 0
-    for _ in range(2):
-        # A plan of its own each time, as a plan that has run keeps its shuffle and wouldn't run again.
-        probe = sample.agg(F.count_if(rejects(F.col("t"), words(F.col("t")))).alias("n"))
-        began = time.perf_counter()
-        hits = probe.collect()[0]["n"]
-        seconds = time.perf_counter() - began
-    return seconds, hits
+        return self.rejected / max(self.cost, 1e-9)
 
 
 def measure(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[RuleCost]:
@@ -123,26 +125,20 @@ def measure(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     The sample's bound is the parameter; it decides the order of work only, never a verdict.
     """
     total = df.count()
-    if not total:
+    if not total or not rules:
         return [RuleCost(r, 1.0, 0.0) for r in rules]
-    sample = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(False, min(1.0, sample_rows / total), seed=11).persist()
-    try:
-        rows = max(1, sample.count())
-        timed = [_timed(sample, rule.rejects) for rule in rules]
-        # What any rule pays, the job itself and splitting into words, is taken off each rule's time; it
-        # is measured last, when all code is compiled.
-        base, _ = _timed(sample, lambda t, w: F.size(w) < 0)
-        found = [RuleCost(rule, max(seconds - base, LEAST_SECONDS) / rows, hits / rows) for rule, (seconds, hits) in zip(rules, timed, strict=True)]
-    finally:
-        sample.unpersist()
-    return sorted(found, key=lambda x: -x.rejection_per_cost)
-
-
-def rejected(text: Column, tokens: Column, rules: list[Rule] | tuple[Rule, ...]) -> Column:
+    sample = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).sample(False, min(1.0, sample_rows / total), seed=11).select("t", words(F.col("t")).alias("w"))
+    t, w = F.col("t"), F.col("w")
+    each = [x for i, r in enumerate(rules) for x in (F.avg(r.rejects(t, w, anew).cast("int")).alias(f"rejected_{i}"), F.avg(r.steps(t, w)).alias(f"cost_{i}"))]
+    found = sample.agg(*each).collect()[0]
+    return sorted((RuleCost(r, float(found[f"cost_{i}"] or 1), float(found[f"rejected_{i}"] or 0)) for i, r in enumerate(rules)), key=lambda x: -x.rejection_per_cost)
+
+
+def rejected(text: Column, tokens: Column, rules: list[Rule] | tuple[Rule, ...], known: Known = anew) -> Column:
     """True where some rule rejects; rules after the first that holds aren't evaluated."""
     case = None
     for rule in rules:
-        hit = rule.rejects(text, tokens)
+        hit = rule.rejects(text, tokens, known)
         case = F.when(hit, True) if case is None else case.when(hit, True)
     return F.lit(False) if case is None else case.otherwise(False)
 
@@ -174,7 +170,7 @@ def quality_report(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     base = counted.withColumn("base_failed", failed)
     return base.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(~rejected(t, w, order)).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(~rejected(t, w, order, lambda name, _: F.col(name))).alias("kept")
     )
 
 

@@ -34,8 +34,14 @@ def test_order_changes_no_verdict(edge):
 
 def test_costly_rules_that_reject_little_come_late(make):
     docs = make([(i, f"one two three {i} five six seven eight nine ten eleven") for i in range(300)])
-    rules = (quality.Rule("never", lambda t, w: quality.n_repeat_words(w) < 0), quality.Rule("half", lambda t, w: F.length(t) % 2 == 0))
-    assert [x.rule.name for x in quality.measure(docs, rules)] == ["half", "never"]
+    rules = (quality.Rule("never", lambda t, w, k: quality.n_repeat_words(w) < 0), quality.Rule("dear", lambda t, w, k: F.length(t) % 2 == 0, lambda t, w: F.size(w) * 100), quality.Rule("half", lambda t, w, k: F.length(t) % 2 == 0))
+    assert [x.rule.name for x in quality.measure(docs, rules)] == ["half", "dear", "never"]
+
+
+def test_the_order_is_the_same_each_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    orders = [[x.rule.name for x in quality.measure(docs)] for _ in range(10)]
+    assert all(order == orders[0] for order in orders)
 
 
 def test_each_rule(make):
