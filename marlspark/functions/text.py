@@ -169,6 +169,7 @@ def heading_overlap(query_terms: Column, heading_terms: Column) -> Column:
     return (F.size(query_terms) >= 3) & (shared >= 3) & ((shared / F.size(query_terms) >= 0.5) | (shared / F.greatest(F.size(heading_terms), F.lit(1)) >= 0.6))
 
 
+#: Fixed value: the shape of a numbered heading.
 NUMBERED = r"^(?:\d+(?:\.\d+)*[.)]?|[IVXLCDM]+[.)])\s+"
 
 

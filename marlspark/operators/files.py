@@ -17,16 +17,16 @@ CODE = r"^[A-Z][A-Z0-9_]{0,49}$"
 def parse_name(name: Column, expected: Column) -> Column:
     """A struct of a file name's parts, with `error` null if all is well; the first failing check names it."""
     value = F.trim(F.coalesce(name, F.lit("")))
-    parts = F.struct(value.alias("value"), *[F.regexp_extract(value, SHAPE, i).alias(f"g{i}") for i in range(1, 7)], expected.alias("expected"))
-    return text.let(parts, _checked)
+    groups = [F.regexp_extract(value, SHAPE, i).alias(f"g{i}") for i in range(1, 7)]
+    parts = text.let(F.struct(value.alias("value"), *groups), lambda x: F.struct(x.alias("x"), text.department_code(x["g1"]).alias("department"), F.lower(x["g6"]).alias("extension")))
+    return text.let(text.let(parts, lambda x: F.struct(x["x"].alias("x"), x["department"].alias("department"), x["extension"].alias("extension"), _error(x, expected).alias("error"))), _listed)
 
 
-def _checked(parts: Column) -> Column:
-    value, expected = parts["value"], parts["expected"]
-    group = lambda i: parts[f"g{i}"]
-    department = text.department_code(group(1))
-    extension = F.lower(group(6))
-    error = (
+def _error(parts: Column, expected: Column) -> Column:
+    """The first thing wrong with a file name; null if there is none."""
+    group = lambda i: parts["x"][f"g{i}"]
+    value, department, extension = parts["x"]["value"], parts["department"], parts["extension"]
+    return (
         F.when((value == "") | F.contains(value, F.lit("/")) | F.contains(value, F.lit("\\")), "INVALID_FILENAME")
         .when(group(1) == "", "INVALID_FILENAME_FORMAT")
         .when(~department.rlike(CODE), "UNKNOWN_DEPARTMENT")
@@ -35,6 +35,11 @@ def _checked(parts: Column) -> Column:
         .when(group(3) == "000", "INVALID_SEQUENCE")
         .when(~extension.isin(*EXTENSIONS), "UNSUPPORTED_EXTENSION")
     )
+
+
+def _listed(parts: Column) -> Column:
+    group = lambda i: parts["x"][f"g{i}"]
+    department, extension, error = parts["department"], parts["extension"], parts["error"]
     ok = lambda c: F.when(error.isNull(), c)
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     return F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspark.functions import numeric, text
@@ -41,9 +41,11 @@ def top_per_query(scored: DataFrame, k: int, score: str, tie: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_scores(points: DataFrame, queries: DataFrame) -> DataFrame:
+def vector_scores(points: DataFrame, queries: DataFrame, on: Column | None = None) -> DataFrame:
     """(query_id, id, ..., similarity) of all queries against all points, in blocks of queries.
 
+    With `on`, an equality of a point's column and a query's, only pairs that agree in it are scored.
+
     Each block, of about `QUERY_BATCH` query vectors at most, is sent to every task and meets each point
     once; the blocks' results are put together. points: id, embedding and more; queries: query_id, vector.
     """
@@ -51,7 +53,8 @@ def vector_scores(points: DataFrame, queries: DataFrame) -> DataFrame:
     found = None
     for i in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        part = points.crossJoin(F.broadcast(block)).withColumn("similarity", F.round(numeric.cosine(F.col("embedding"), F.col("vector")), 6)).drop("embedding", "vector")
+        met = points.crossJoin(F.broadcast(block)) if on is None else points.join(F.broadcast(block), on)
+        part = met.withColumn("similarity", F.round(numeric.cosine(F.col("embedding"), F.col("vector")), 6)).drop("embedding", "vector")
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -96,11 +99,37 @@ def expand_sections(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
     return prefixes.join(scopes, ["document_id", "scope"]).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("scope_rank"))
 
 
-def drop_prefix_scopes(scopes: DataFrame) -> DataFrame:
-    """Scopes that aren't a strict prefix of another scope of the same document."""
+def drop_prefix_scopes(scopes: DataFrame, key: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """Scopes that aren't a strict prefix of another scope of the same document (and of what else is in the key)."""
     shorter = F.transform(F.sequence(F.lit(1), F.size("scope") - 1), lambda n: F.slice("scope", 1, n))
-    longer = scopes.where(F.size("scope") > 1).select("document_id", F.explode(shorter).alias("scope"))
-    return scopes.join(longer.distinct(), ["document_id", "scope"], "left_anti")
+    longer = scopes.where(F.size("scope") > 1).select(*key, F.explode(shorter).alias("scope"))
+    return scopes.join(longer.distinct(), [*key, "scope"], "left_anti")
+
+
+def select_scopes(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, document_id, scope, rank): the sections that a query's hits stand for.
+
+    hits: query_id, document_id, path, rank; queries: query_id, query. A broad query, by its words or by a
+    heading that it repeats, takes the ancestor that shares most of its terms, two at least, else the numbered
+    section's parent; other queries take the numbered section. Scopes that lead to another one go; where the
+    last headings share two terms or more with the query, those that share most stay.
+    """
+    form = text.query_form(F.col("query"))
+    asked = queries.select("query_id", form.alias("form"), text.key_terms(form).alias("terms"))
+    heading = lambda h: text.key_terms(text.query_form(h))
+    rows = hits.where(F.col("document_id").isNotNull() & (F.size("path") > 0)).join(asked, "query_id").withColumn("heads", F.transform("path", heading))
+    repeated = F.exists("heads", lambda h: text.heading_overlap(F.col("terms"), h))
+    broad = F.max(text.needs_section(F.col("form")) | repeated).over(Window.partitionBy("query_id"))
+    scored = rows.withColumn("broad", broad).withColumn("scores", F.transform("heads", lambda h: F.size(F.array_intersect("terms", h))))
+    best = F.array_max("scores")
+    wide = F.slice("path", F.lit(1), F.array_position("scores", best).cast("int"))
+    scope = F.when(F.col("broad") & (best >= 2), wide).otherwise(text.section_scope(F.col("path"), F.col("broad")))
+    scopes = scored.groupBy("query_id", "document_id", "terms", scope.alias("scope")).agg(F.min("rank").alias("rank"))
+    left = drop_prefix_scopes(scopes, ("query_id", "document_id"))
+    last = F.size(F.array_intersect("terms", heading(F.element_at("scope", -1))))
+    strongest = F.max("last").over(Window.partitionBy("query_id"))
+    told = left.withColumn("last", last).withColumn("strongest", strongest)
+    return told.where((F.col("strongest") < 2) | (F.col("last") == F.col("strongest"))).select("query_id", "document_id", "scope", "rank")
 
 
 def direct_children(chunks: DataFrame, scopes: DataFrame) -> DataFrame:

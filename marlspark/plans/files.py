@@ -17,7 +17,7 @@ p AS (SELECT o_orderkey, name, m, replace(m.d, 'Đ', 'D') AS dep, CASE WHEN name
 
 
 def named(orders: DataFrame) -> DataFrame:
-    """Orders with a file name and its parts."""
+    """Orders with a file name and its parts, which a generator works out once a row, however many are used."""
     key = F.col("o_orderkey")
     pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
     quarter, sixteenth = F.floor(key / 4), F.floor(key / 16)
@@ -27,7 +27,7 @@ def named(orders: DataFrame) -> DataFrame:
         F.lit("_"), slug, F.lit("_V"), key % 5, F.lit("."), pick(["pdf", "DOCX", "md", "pptx"], sixteenth % 4),
     )
     rows = orders.select(key, "o_custkey", "o_orderstatus", name.alias("name"), F.when(key % 7 == 0, "HR").alias("expected"))
-    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "name", files.parse_name(F.col("name"), F.col("expected")).alias("p"))
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "name", F.explode(F.array(files.parse_name(F.col("name"), F.col("expected")))).alias("p"))
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:

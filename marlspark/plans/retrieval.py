@@ -96,7 +96,7 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, asked = _points(spark, sf_dir)
     state = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     active = points.join(state, "id", "left").where(F.coalesce("quality", F.lit(1)) == 1).drop("quality")
-    found = search.vector_scores(active, asked).where(F.col("label") == F.col("query_label"))
+    found = search.vector_scores(active, asked, F.col("label") == F.col("query_label"))
     return search.top_per_query(found.select("query_id", "id", "similarity"), search.CANDIDATES, "similarity", "id")
 
 
@@ -227,6 +227,43 @@ def heading_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "doc_id", F.size(F.array_intersect("a", "b")).alias("shared"), text.heading_overlap(F.col("a"), F.col("b")).alias("strong"))
 
 
+def _form(value: str) -> str:
+    return f"trim(regexp_replace(replace(strip_accents(lower({value})), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _terms(value: str) -> str:
+    return f"list_distinct(list_filter(string_split({_form(value)}, ' '), lambda x: NOT list_contains({STOP}, x)))"
+
+
+SHARED = "len(list_intersect(terms, h))"
+
+
+@query(
+    rf"""WITH {BM25}, g AS (SELECT doc_id, source AS document_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')[1:12] AS w FROM documents),
+    p2 AS (SELECT doc_id, document_id, list_concat(['1. ' || array_to_string(w[1:4], ' '), '1.' || (doc_id % 3 + 1) || ' ' || array_to_string(w[5:8], ' ')],
+             CASE WHEN doc_id % 2 = 1 THEN [array_to_string(w[9:12], ' ')] ELSE [] END) AS path FROM g),
+    q2 AS (SELECT item_id AS query_id, {_form("text")} AS form, {_terms("text")} AS terms FROM benchmark),
+    r2 AS (SELECT k.query_id, document_id, path, rank, terms, form, list_transform(path, lambda v: {_terms("v")}) AS heads FROM k JOIN p2 USING (doc_id) JOIN q2 USING (query_id) WHERE rank <= 5),
+    s2 AS (SELECT *, list_transform(heads, lambda h: {SHARED}) AS scores,
+             len(list_filter(heads, lambda h: len(terms) >= 3 AND {SHARED} >= 3 AND ({SHARED}::DOUBLE / len(terms) >= 0.5 OR {SHARED}::DOUBLE / greatest(len(h), 1) >= 0.6))) > 0
+             OR regexp_matches(form, '{text.POLICY}') OR regexp_matches(form, '{text.SECTION}') AS wide FROM r2),
+    t2 AS (SELECT *, bool_or(wide) OVER (PARTITION BY query_id) AS broad FROM s2),
+    u2 AS (SELECT query_id, document_id, terms, CASE WHEN broad AND list_max(scores) >= 2 THEN path[1:list_position(scores, list_max(scores))] WHEN broad THEN path[1:1] ELSE path[1:2] END AS scope, min(rank) AS rank FROM t2 GROUP BY ALL),
+    v2 AS (SELECT *, len(list_intersect(terms, {_terms("scope[len(scope)]")})) AS last FROM u2 x WHERE NOT EXISTS
+            (SELECT 1 FROM u2 y WHERE x.query_id = y.query_id AND x.document_id = y.document_id AND len(y.scope) > len(x.scope) AND y.scope[1:len(x.scope)] = x.scope)),
+    w2 AS (SELECT *, max(last) OVER (PARTITION BY query_id) AS strongest FROM v2)
+    SELECT query_id, document_id, array_to_string(scope, '/') AS scope, CAST(rank AS INTEGER) AS rank FROM w2 WHERE strongest < 2 OR last = strongest"""
+)
+def section_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections that the best hits stand for; a document's path is made of its first words, numbered as in an outline."""
+    w = F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 12)
+    part = lambda i: F.array_join(F.slice("w", i, 4), " ")
+    path = F.array(F.concat(F.lit("1. "), part(1)), F.concat(F.lit("1."), (F.col("doc_id") % 3 + 1).cast("string"), F.lit(" "), part(5)))
+    paths = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("document_id"), w.alias("w")).select("doc_id", "document_id", F.when(F.col("doc_id") % 2 == 1, F.concat(path, F.array(part(9)))).otherwise(path).alias("path"))
+    hits = _lexical(spark, sf_dir, 5).select("query_id", "doc_id", "rank").join(paths, "doc_id")
+    return search.select_scopes(hits, _questions(spark, sf_dir)).select("query_id", "document_id", F.array_join("scope", "/").alias("scope"), "rank")
+
+
 @query()
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each query: its best chunks in order, within 6,000 characters."""
