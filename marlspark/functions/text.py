@@ -129,6 +129,17 @@ def present(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(v.cast("string")), F.lit("")) for v in values])
 
 
+def clean(value: Column) -> Column:
+    """The value as text without white space at its ends; null is empty."""
+    return F.btrim(F.coalesce(value.cast("string"), F.lit("")), F.lit(" \t\n\r\f\v"))
+
+
+def number(value: Column) -> Column:
+    """Text that is a whole or decimal number as a double; else null."""
+    text = clean(value)
+    return F.when(text.rlike(r"^[+-]?(?:[0-9]+|(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)$"), text.try_cast("double"))
+
+
 def contains_all_terms(haystack: Column, query: Column) -> Column:
     """Every white-space-separated term of a normalised query occurs in the normalised haystack."""
     return F.forall(F.split(query, " "), lambda t: F.contains(haystack, t))
@@ -201,6 +212,16 @@ def citations(text: Column, ids: Column) -> Column:
     return F.concat_ws(" ", F.trim(text), F.array_join(F.transform(F.array_distinct(ids), lambda i: F.concat(F.lit("[S"), i.cast("string"), F.lit("]"))), " "))
 
 
+def citation_state(ids: Column, answer: Column, sources: Column | int, max_statements: int, max_chars: int) -> Column:
+    """Whether an answer may go out: `ok`, `statements`, `citations` or `length`, by the first check that fails.
+
+    ids: an array for each statement, of the source numbers that it cites, which run from 1 to `sources`.
+    """
+    cited = F.flatten(ids)
+    bad = (F.size(cited) == 0) | F.exists(cited, lambda i: (i < 1) | (i > sources))
+    return F.when(F.size(ids) > max_statements, "statements").when(bad, "citations").when(F.length(answer) > max_chars, "length").otherwise("ok")
+
+
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
     """Put values into `{{name}}` places."""
     out = template

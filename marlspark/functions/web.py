@@ -56,3 +56,38 @@ def parse_box(box: Column) -> Column:
 
 def asset_name(page: Column, number: Column, checksum: Column) -> Column:
     return F.format_string("p%04d-%03d-%s.png", page, number, F.substring(checksum, 1, 12))
+
+
+def escape_search(value: Column) -> Column:
+    """Text to go between quotation marks in a shop search."""
+    return F.regexp_replace(F.coalesce(value, F.lit("")), r'(["\\])', r"\\$1")
+
+
+#: The shape of a delay in seconds.
+DELAY = "[0-9]{1,8}(?:[.][0-9]{1,9})?"
+QUOTA = "array<struct<retryDelay: string, violations: array<struct<quotaId: string, quotaValue: string>>>>"
+
+
+def retry_after(details: Column, header: Column) -> Column:
+    """The longest delay, in seconds, that an error's details (QUOTA) or its header ask for; null if none does."""
+    given = F.transform(details, lambda d: F.regexp_extract(d["retryDelay"], f"^({DELAY})s$", 1))
+    asked = F.concat(F.coalesce(given, F.array()), F.array(F.regexp_extract(F.coalesce(header, F.lit("")), f"^{DELAY}$", 0)))
+    return F.array_max(F.transform(asked, lambda x: F.nullif(x, F.lit("")).cast("double")))
+
+
+def quota_windows(details: Column) -> Column:
+    """Which of day, minute and month the quotas' names speak of, sorted."""
+    names = F.transform(F.flatten(F.transform(details, lambda d: F.coalesce(d["violations"], F.array()))), lambda v: F.lower(v["quotaId"]))
+    return F.filter(F.array(*map(F.lit, ("day", "minute", "month"))), lambda w: F.exists(names, lambda n: F.contains(n, w)))
+
+
+def next_run(now: Column, requested: Column, running: Column, retry_at: Column, enabled: Column, last_success: Column, hours: Column) -> Column:
+    """When a scheduled job runs next: now if asked for, never while it runs, after a pending retry, else an interval after its last success."""
+    usual = F.coalesce(last_success + F.make_dt_interval(hours=hours), now)
+    return F.when(requested, now).when(running, None).when(retry_at > now, retry_at).when(enabled, usual)
+
+
+def daily_key(now: Column, zone: Column, at: Column, mode: Column) -> Column:
+    """The key of today's run where the zone's clock has reached `at` (HH:mm:ss); else null. now: a timestamp."""
+    local = F.from_utc_timestamp(F.to_utc_timestamp(now, F.current_timezone()), zone)
+    return F.when(F.date_format(local, "HH:mm:ss") >= at, F.concat(F.lit("daily:"), F.date_format(local, "yyyy-MM-dd"), F.lit(":"), mode))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlspark.functions import text
+
 #: Status by precedence; anything else is INACTIVE.
 STATUSES = ("ACTIVE", "UNLISTED", "DRAFT", "ARCHIVED")
 
@@ -71,8 +73,11 @@ def match_variants(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Local variants with their remote one: by external id, else by legacy id, else by (sku, color, size) if that is unique.
 
     local and remote: external_id, legacy_id, sku, color, size; local also local_id, remote remote_id.
-    Ids that several remote rows share go to the smallest remote_id.
+    Ids that several remote rows share go to the smallest remote_id. Color and size are compared case, accents and
+    punctuation aside; null is blank.
     """
+    compared = {"sku": text.clean(F.col("sku")), "color": text.slug(F.col("color")), "size": text.slug(F.col("size"))}
+    local, remote = local.withColumns(compared), remote.withColumns(compared)
     one = lambda *keys: remote.where(F.col(keys[0]).isNotNull()).groupBy(*keys)
     external = one("external_id").agg(F.min("remote_id").alias("by_external"))
     legacy = one("legacy_id").agg(F.min("remote_id").alias("by_legacy"))

@@ -43,3 +43,10 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def violations(rows: DataFrame, keys: list[str], condition: Column) -> DataFrame:
     """Keys with more than one row for which the condition holds; none if a partial unique index would stand."""
     return rows.where(condition).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def deletable(rows: DataFrame, key: str, **uses: DataFrame) -> DataFrame:
+    """Rows with `refused`: the first of `uses` that holds the row's key (column `key`) and keeps it from being deleted; null if none."""
+    for name, use in uses.items():
+        rows = rows.join(use.select(key).distinct().withColumn(f"in_{name}", F.lit(name)), key, "left")
+    return rows.withColumn("refused", F.coalesce(*[F.col(f"in_{n}") for n in uses])).drop(*[f"in_{n}" for n in uses])

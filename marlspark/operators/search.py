@@ -12,6 +12,16 @@ K1, B, RRF_K, CANDIDATES, TOP_K, MIN_SIMILARITY = 1.5, 0.75, 60, 20, 5, 0.45
 QUERY_BATCH = 10_000
 
 
+def compatible(provider: Column, model: Column, dimension: Column, active: Column, like: tuple[str, str, int]) -> Column:
+    """Whether a vector comes from the same provider and model with the same length, and isn't put out of use; null is in use."""
+    return (provider == like[0]) & (model == like[1]) & (dimension == like[2]) & F.coalesce(active, F.lit(True))
+
+
+def in_group(group: Column, category: Column, wanted: Column | int, categories: list[str]) -> Column:
+    """Whether a row is of a group: by its number, however it is written, or by category where it has none; never null."""
+    return F.coalesce(F.when(group.isNull(), category.isin(categories)).otherwise(text.clean(group).try_cast("long") == wanted), F.lit(False))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, keep: object = None) -> DataFrame:
     """Top `k` (query_id, doc_id, score, rank); docs: doc_id, text; queries: query_id, query.
 

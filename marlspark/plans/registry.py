@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspark.plans import base, catalog, files, images, metadata, requests, retrieval, streams, text  # noqa: F401  the modules register their queries
+from marlspark.plans import base, catalog, files, images, metadata, reconcile, requests, retrieval, streams, text  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
