@@ -16,7 +16,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))
 
 
-def unit(v: Column, dimension: int) -> Column:
+def unit(v: Column, dimension: Column | int) -> Column:
     """The vector at norm 1; null for a wrong size, a value that isn't finite or a zero norm."""
     norm = F.sqrt(dot(v, v))
     bad = (F.size(v) != dimension) | F.exists(v, lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf"))) | (norm == 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlspark.functions.text import clean
+
 #: Media types by extension, markers where the public part of a description ends, labels of specifications.
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "html": "text/html", "pdf": "application/pdf"}
 MARKERS = ("- Mã sản phẩm:", "- Mã SP:", "- Loại sản phẩm:", "- Màu sắc:", "- Chất liệu:")
@@ -36,15 +38,15 @@ def iso_seconds(stamp: Column) -> Column:
 
 def specification(description: Column, kind: str) -> Column:
     """The value behind a label, up to the line's end or the next ` - Label:`; null if there is none."""
-    found = F.trim(F.regexp_extract(F.trim(description), rf"(?i)(?:^|\n|[-•]\s*)(?:{SPECS[kind]})\s*:\s*([^\n\r]+)", 1))
+    found = clean(F.regexp_extract(clean(description), rf"(?iu)(?:^|\n|[-•]\s*)(?:{SPECS[kind]})\s*:\s*([^\n\r]+)", 1))
     return F.nullif(F.trim(F.get(F.split(found, r"\s+-\s+[A-Za-zÀ-ỹĐđ][^:]{0,40}:", 2), F.lit(0))), F.lit(""))
 
 
 def public_description(description: Column) -> Column:
     """The description up to the first marker."""
-    text = F.trim(F.coalesce(description, F.lit("")))
+    text = clean(description)
     cut = F.least(*[F.nullif(F.instr(text, m), F.lit(0)) for m in MARKERS])
-    return F.trim(F.when(cut.isNotNull(), F.substr(text, F.lit(1), cut - 1)).otherwise(text))
+    return clean(F.when(cut.isNotNull(), F.substr(text, F.lit(1), cut - 1)).otherwise(text))
 
 
 def parse_box(box: Column) -> Column:

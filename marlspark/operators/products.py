@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspark.functions import text
+from marlspark.functions import text, web
 from marlspark.operators import catalog
 
 
@@ -34,3 +34,19 @@ def results(variants: DataFrame, queries: DataFrame) -> DataFrame:
     return chosen.groupBy("product", "asked").agg(
         F.count(F.lit(1)).alias("n"), F.min("price").alias("least"), F.max("price").alias("most"), catalog.stock(F.col("quantity")).alias("stock"), F.count_if(free).alias("available"), state.alias("state")
     )
+
+
+def details(matches: DataFrame, products: DataFrame) -> DataFrame:
+    """Matched products that are in use: product, similarity, color, matched_url, and urls with that one in front, once.
+
+    matches: product, checksum, color, similarity; products, once each: product, status, urls, images (array of
+    checksum, color, url). The first picture with the match's checksum or color, case aside, and a safe url is the
+    matched one; null if there is none. Products whose status is blank are in use.
+    """
+    checksum, color = text.clean(F.col("checksum")), text.casefold(text.clean(F.col("color")))
+    wanted = lambda i: ((checksum != "") & (i["checksum"] == checksum)) | ((color != "") & (text.casefold(text.clean(i["color"])) == color))
+    urls = F.transform(F.filter("images", lambda i: F.coalesce(wanted(i), F.lit(False)) & web.safe_url(i["url"]).isNotNull()), lambda i: web.safe_url(i["url"]))
+    used = products.where(F.upper(text.clean(F.col("status"))).isin("", "ACTIVE")).drop("checksum", "color", "similarity")
+    rows = matches.join(used, "product").withColumn("matched_url", F.get(urls, F.lit(0)))
+    moved = F.when(F.col("matched_url").isNotNull(), F.concat(F.array("matched_url"), F.array_remove("urls", F.col("matched_url")))).otherwise(F.col("urls"))
+    return rows.select("product", "similarity", "color", "matched_url", moved.alias("urls"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlspark.functions import text, web
-from marlspark.operators import audit, merge, reconcile, search
+from marlspark.operators import audit, merge, products, reconcile, search
 
 STORED = "product string, point_id int, checksum string, color string, source_kind string"
 
@@ -107,3 +107,21 @@ def test_groups_and_deletions(spark):
     assert [r.i for r in rows.where(search.in_group(F.col("g"), F.col("c"), 3, ["x"])).orderBy("i").collect()] == [1, 2, 3]
     got = merge.deletable(rows.select("i"), "i", children=rows.where("i < 3").select("i"), documents=rows.where("i IN (2, 5)").select("i")).collect()
     assert {r.i: r.refused for r in got} == {1: "children", 2: "children", 3: None, 4: None, 5: "documents", 6: None}
+
+
+def test_descriptions_end_at_markers_and_labels_match_in_any_case(spark):
+    d = F.lit(" Giày\n- Mã SP: 1\nĐẾ: cao su - Màu: đỏ\nchất  liệu : da\n")
+    assert [one(spark, x) for x in (web.public_description(d), web.specification(d, "sole"), web.specification(d, "material"), web.specification(d, "height"))] == ["Giày", "cao su", "da", None]
+    assert one(spark, web.public_description(F.lit(None).cast("string"))) == ""
+
+
+def test_product_details(spark):
+    image = "array<struct<checksum: string, color: string, url: string>>"
+    pictures = [(None, "red", "ftp://a"), ("x", None, "http://b"), ("y", "Red ", "http://c")]
+    known = spark.createDataFrame([("p", None, ["http://c", "http://d"], pictures), ("q", "Active", ["u"], None), ("r", "DRAFT", [], []), ("s", "", None, pictures)], f"product string, status string, urls array<string>, images {image}")
+    found = spark.createDataFrame([("p", "x", "RED", 0.9), ("p", None, "red", 0.8), ("p", " ", None, 0.7), ("q", "x", "red", 0.6), ("r", "x", "red", 0.5), ("s", "z", "blue", 0.4), ("t", "x", "red", 0.3)], "product string, checksum string, color string, similarity double")
+    got = {r.similarity: (r["product"], r.matched_url, r.urls) for r in products.details(found, known).collect()}
+    assert got == {
+        0.9: ("p", "http://b", ["http://b", "http://c", "http://d"]), 0.8: ("p", "http://c", ["http://c", "http://d"]), 0.7: ("p", None, ["http://c", "http://d"]),
+        0.6: ("q", None, ["u"]), 0.4: ("s", None, None),
+    }
