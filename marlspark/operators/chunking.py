@@ -213,21 +213,24 @@ def pack_units(parts: list[str], gaps: list[float], threshold: float, limit: int
 
 
 def by_meaning(bodies: DataFrame, embed: Callable[[list[str]], np.ndarray], limit: int, least: int, share: float) -> DataFrame:
-    """`bodies` with `parts`: the body's units, packed, with a break where neighbouring windows of three differ most."""
+    """`bodies` with `packing`: the body's units as packed `parts`, with a break where neighbouring windows of three
+    differ most; the number of `units` and of those as long as the limit (`splits`); the `threshold`, null for one unit."""
 
-    @F.pandas_udf("array<string>")
-    def packed(rows: pd.Series) -> pd.Series:
+    @F.pandas_udf("parts array<string>, units int, splits int, threshold double")
+    def packed(rows: pd.Series) -> pd.DataFrame:
         split = [[piece for x in row for piece in cut_pieces(x, limit)] for row in rows]
         vectors = embed(["\n\n".join(row[max(0, i - 1) : i + 2]) for row in split for i in range(len(row))])
         close = np.clip((vectors[:-1] * vectors[1:]).sum(axis=1), -1, 1)
         out, start = [], 0
         for row in split:
             gaps = 1 - close[start : start + len(row) - 1] if row else close[:0]
-            out.append(pack_units(row, gaps.tolist(), float(np.percentile(gaps, share)) if len(gaps) else 0.0, limit, least))
+            threshold = float(np.percentile(gaps, share)) if len(gaps) else None
+            splits = sum(len(x) >= limit for x in row) if len(row) > 1 else len(row)
+            out.append((pack_units(row, gaps.tolist(), threshold or 0.0, limit, least), len(row), splits, threshold))
             start += len(row)
-        return pd.Series(out, dtype=object)
+        return pd.DataFrame(out, columns=["parts", "units", "splits", "threshold"])
 
-    return bodies.withColumn("parts", packed(units(F.col("body"), limit)))
+    return bodies.withColumn("packing", packed(units(F.col("body"), limit)))
 
 
 def _chunks(pieces: DataFrame) -> DataFrame:
@@ -253,7 +256,24 @@ def recursive_chunks(docs: DataFrame, limit: int = SIZE) -> DataFrame:
 
 def adaptive_chunks(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashing_embedder, limit: int = SIZE, least: int = MIN_CHARS, share: float = PERCENTILE) -> DataFrame:
     """Sections that fit stay whole, those of a table always do, others break by meaning."""
+    whole, broken = _adaptive(docs, embed, limit, least, share)
+    return _chunks(whole.withColumn("parts", F.array("body")).unionByName(broken.withColumn("parts", F.col("packing.parts")).drop("packing")))
+
+
+def adaptive_stats(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashing_embedder, limit: int = SIZE, least: int = MIN_CHARS, share: float = PERCENTILE) -> DataFrame:
+    """What `adaptive_chunks` meets in each document: sections, units, sections of several units, their mean threshold
+    (null if there are none) and units as long as the limit. Documents without a section have zeros."""
+    whole, broken = _adaptive(docs, embed, limit, least, share)
+    rows = whole.select("doc_id", F.lit(1).alias("units"), F.lit(0).alias("splits"), F.lit(None).cast("double").alias("threshold"))
+    rows = rows.unionAll(broken.select("doc_id", "packing.units", "packing.splits", "packing.threshold"))
+    sums = rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("sections"), F.sum("units").alias("units"), F.count_if(F.col("units") > 1).alias("semantic_sections"), F.avg("threshold").alias("average_threshold"), F.sum("splits").alias("splits")
+    )
+    return docs.select("doc_id").distinct().join(sums, "doc_id", "left").fillna(0, ["sections", "units", "semantic_sections", "splits"])
+
+
+def _adaptive(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], limit: int, least: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """Sections that stay whole, and the others with their packing."""
     found = sections(docs).where(F.length("body") > 0)
     stays = (F.length("body") <= limit) | F.startswith("body", F.lit(PDF_TABLE))
-    whole = found.where(stays).withColumn("parts", F.array("body"))
-    return _chunks(whole.unionByName(by_meaning(found.where(~stays), embed, limit, least, share)))
+    return found.where(stays), by_meaning(found.where(~stays), embed, limit, least, share)

@@ -54,6 +54,17 @@ def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("product").agg(F.max_by("code", "changes").alias("code"), F.max("changes").alias("changes"))
 
 
+@query("SELECT product, code FROM (SELECT user_id AS product, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS code FROM events GROUP BY user_id) WHERE code <> 'error'")
+def stream_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with their last code; an error removes its product until it comes again."""
+    code = F.when(F.col("event_type") != "error", F.col("event_type"))
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("product"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("event"), code.alias("code"))
+    path, write = changes.append_to(spark, "current-codes")
+    changes.run_to_end(changes.current_codes(rows), write, "current-codes", "update")
+    found = spark.read.schema("product long, at long, event long, code string").parquet(f"{path}/batch=*")
+    return found.groupBy("product").agg(F.max_by(F.struct("code"), F.struct("at", "event")).alias("last")).select("product", "last.code").where("code IS NOT NULL")
+
+
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
 

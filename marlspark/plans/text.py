@@ -86,6 +86,12 @@ def chunk_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.adaptive_chunks(_docs(spark, sf_dir))
 
 
+@query()
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections, units and thresholds that breaking by meaning meets in each document."""
+    return chunking.adaptive_stats(_docs(spark, sf_dir))
+
+
 @query(
     r"""WITH u AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n+'), lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda x: length(x) > 0)) AS p FROM documents)
     SELECT doc_id, count(*) AS n, CAST(max(length(p)) AS INTEGER) AS longest FROM u GROUP BY doc_id"""

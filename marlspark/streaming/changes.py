@@ -78,3 +78,25 @@ def last_codes(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([(int(key[0]), code, changes)], columns=["product", "code", "changes"])
 
     return events.groupBy("product").applyInPandasWithState(update, "product long, code string, changes long", "at long, code string, changes long", "update", GroupStateTimeout.NoTimeout)
+
+
+def current_codes(events: DataFrame) -> DataFrame:
+    """(product, at, event, code) of a stream of the same, where a null code removes the product and its state.
+
+    Emits what a batch makes of each product that it touches. A late event that is older than a removal finds no
+    state and is emitted too, so the row with the greatest (at, event) tells what holds.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get if state.exists else None
+        for rows in batches:
+            last = rows.sort_values(["at", "event"]).iloc[-1]
+            found = (int(last["at"]), int(last["event"]), None if pd.isna(last["code"]) else str(last["code"]))
+            best = found if best is None or found[:2] >= tuple(best[:2]) else best
+        if best[2] is not None:
+            state.update(tuple(best))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(int(key[0]), *best)], columns=["product", "at", "event", "code"])
+
+    return events.groupBy("product").applyInPandasWithState(update, "product long, at long, event long, code string", "at long, event long, code string", "update", GroupStateTimeout.NoTimeout)

@@ -297,3 +297,23 @@ def test_keyed_table_is_idempotent(spark):
     for n, batch in enumerate((a, b, b, a)):
         table.upsert(batch, n)
     assert {(r.k, r.v) for r in table.read().collect()} == {(1, "z"), (2, "y")}
+
+
+def test_chunk_statistics(spark):
+    long = "\n\n".join(f"Đoạn {i} nói về chủ đề {i % 2} và nhiều việc khác nữa ở đây." for i in range(8))
+    docs = spark.createDataFrame([(1, long), (2, "ngắn"), (3, ""), (4, None), (5, "x" * 450)], "doc_id int, text string")
+    got = {r.doc_id: r for r in chunking.adaptive_stats(docs, limit=200, least=50).collect()}
+    assert [tuple(got[i])[1:] for i in (2, 3, 4)] == [(1, 1, 0, None, 0), (0, 0, 0, None, 0), (0, 0, 0, None, 0)]
+    assert (got[1].sections, got[1].units, got[1].semantic_sections, got[1].splits) == (1, 8, 1, 0) and 0 < got[1].average_threshold <= 2
+    assert (got[5].sections, got[5].units, got[5].splits) == (1, 3, 2)
+
+
+def test_removed_products_come_again(spark, tmp_path):
+    batches = [[(1, 1, 1, "a"), (2, 1, 2, "b")], [(1, 2, 3, None), (2, 3, 4, None)], [(1, 3, 5, "c"), (2, 2, 6, "late")]]
+    path, write = changes.append_to(spark, "removal-test")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "product long, at long, event long, code string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema("product long, at long, event long, code string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "b=*"))
+    changes.run_to_end(changes.current_codes(stream), write, "removal-test", "update")
+    found = spark.read.parquet(f"{path}/batch=*").groupBy("product").agg(F.max_by(F.struct("code"), F.struct("at", "event")).alias("last"))
+    assert {r["product"]: r["last"]["code"] for r in found.collect()} == {1: "c", 2: None}
