@@ -32,6 +32,11 @@ def utc(value: Column) -> Column:
     return F.try_to_timestamp(fixed)
 
 
+def zoned(value: Column) -> Column:
+    """A stamp as a timestamp if it says its zone; else null."""
+    return F.when(clean(value).rlike(r"\d{2}:\d{2}.*(?:[Zz]|[+\- ]\d{2}:?\d{2})$"), utc(value))
+
+
 def iso_seconds(stamp: Column) -> Column:
     return F.date_format(F.date_trunc("second", stamp), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

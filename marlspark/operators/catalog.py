@@ -98,3 +98,18 @@ def delta_action(known: Column, status: Column, old_status: Column, same_product
         .when(same_images, "CATALOG_ONLY")
         .otherwise("FULL_RECONCILE")
     )
+
+
+def numbered_page(rows: DataFrame, number: int, size: int, *order: Column, clamp: bool = True) -> DataFrame:
+    """A page of the ordered rows with total, page and total_pages. The rows are counted first, as one number.
+
+    With `clamp` there is at least one page, and numbers beyond the last mean the last; without it such a page is
+    empty and no rows make no pages.
+    """
+    total = rows.count()
+    pages = -(-total // size)
+    if clamp:
+        pages = max(1, pages)
+        number = min(max(1, number), pages)
+    long = lambda n: F.lit(n).cast("long")
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).select("*", long(total).alias("total"), long(number).alias("page"), long(pages).alias("total_pages"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspark.functions import numeric, text, web
-from marlspark.operators import layout, merge, products
+from marlspark.operators import catalog, layout, merge, products
 from marlspark.plans.base import query, read
 
 
@@ -138,3 +138,30 @@ def product_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.get(F.array(F.lit("active"), F.lit(None), F.lit(" "), F.lit("DRAFT")), (F.col("last") % 4).cast("int"))
     rows = products.details(matches, groups.select("product", status.alias("status"), "images", F.transform("images", lambda i: i["url"]).alias("urls")))
     return rows.select("product", "similarity", F.initcap(F.trim("color")).alias("color"), "matched_url", F.sha2(F.array_join("urls", ","), 256).alias("urls"))
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 30.0) AS BIGINT)) AS pages FROM part WHERE p_size > 10), r AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS k FROM part WHERE p_size > 10)
+    SELECT p_partkey, p_name, total, pages AS page, pages AS total_pages FROM r, n WHERE k > (pages - 1) * 30"""
+)
+def catalog_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page of products, by a number beyond it."""
+    rows = read(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", "p_name")
+    return catalog.numbered_page(rows, 10**6, 30, F.col("p_name"), F.col("p_partkey"))
+
+
+@query("SELECT p_name AS code, max(p_partkey) AS id, arg_max(p_brand, p_partkey) AS vendor, arg_max(p_size, p_partkey) AS size FROM part WHERE p_name <> '' GROUP BY p_name")
+def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalog by code; of rows that share a code the last counts."""
+    rows = read(spark, sf_dir, "part").where("p_name <> ''").select(F.col("p_name").alias("code"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("vendor"), F.col("p_size").alias("size"))
+    return merge.latest(rows, ["code"], F.desc("id"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts - INTERVAL 7 HOUR, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts - INTERVAL 7 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS stamp FROM events"""
+)
+def zoned_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps out of urls in UTC: with Z, with an offset, with an offset that lost its plus sign; naive ones are refused."""
+    end = F.get(F.array(*map(F.lit, ("Z", "+07:00", " 07:00", ""))), (F.col("event_id") % 4).cast("int"))
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), end)
+    return read(spark, sf_dir, "events").select("event_id", web.iso_seconds(web.zoned(raw)).alias("stamp"))

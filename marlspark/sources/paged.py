@@ -20,13 +20,28 @@ from pyspark.sql.types import StructType
 ATTEMPTS, FIRST_WAIT = 4, 0.5
 
 
+class FeedError(Exception):
+    """What a feed answered instead of a page: its HTTP status, and the codes of errors within an answer."""
+
+    def __init__(self, status: int | None = None, codes: tuple[str, ...] = ()) -> None:
+        super().__init__(f"status {status}, codes {codes}")
+        self.status, self.codes = status, codes
+
+
+def may_pass(error: Exception) -> bool:
+    """Whether a later call may go well: errors of transport, status 429 or 500 and above, answers that say THROTTLED."""
+    status = getattr(error, "status", None) or getattr(error, "code", None)
+    busy = isinstance(status, int) and (status == 429 or status >= 500)
+    return busy or "THROTTLED" in getattr(error, "codes", ()) or (status is None and isinstance(error, (ConnectionError, TimeoutError)))
+
+
 def patient(call: Callable, *args: object, attempts: int = ATTEMPTS, wait: float = FIRST_WAIT) -> object:
-    """The call's result; errors of transport are tried again after waits that double."""
+    """The call's result; errors that may pass are tried again after waits that double."""
     for attempt in range(attempts):
         try:
             return call(*args)
-        except (ConnectionError, TimeoutError):
-            if attempt + 1 == attempts:
+        except Exception as error:
+            if attempt + 1 == attempts or not may_pass(error):
                 raise
             time.sleep(wait * 2**attempt)
     raise AssertionError("attempts must be 1 or more")

@@ -20,6 +20,22 @@ def test_patience_ends():
         paged.patient(fail, wait=0)
 
 
+@pytest.mark.parametrize(
+    ("error", "calls"),
+    [(paged.FeedError(429), 4), (paged.FeedError(503), 4), (paged.FeedError(404), 1), (paged.FeedError(200, ("THROTTLED",)), 4), (paged.FeedError(200, ("ACCESS_DENIED",)), 1), (ConnectionError(), 4), (ValueError("bad page"), 1)],
+)
+def test_only_errors_that_may_pass_are_tried_again(error, calls):
+    seen = []
+
+    def fail():
+        seen.append(1)
+        raise error
+
+    with pytest.raises(type(error)):
+        paged.patient(fail, wait=0)
+    assert len(seen) == calls
+
+
 def test_checkpoints(spark):
     table, t = Checkpoints(spark), dt.datetime(2024, 1, 5)
     assert table.get("a") is None and table.window("a", t) == (None, t)

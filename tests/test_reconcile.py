@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlspark.functions import text, web
-from marlspark.operators import audit, merge, products, reconcile, search
+from marlspark.operators import audit, catalog, merge, products, reconcile, search
 
 STORED = "product string, point_id int, checksum string, color string, source_kind string"
 
@@ -125,3 +125,14 @@ def test_product_details(spark):
         0.9: ("p", "http://b", ["http://b", "http://c", "http://d"]), 0.8: ("p", "http://c", ["http://c", "http://d"]), 0.7: ("p", None, ["http://c", "http://d"]),
         0.6: ("q", None, ["u"]), 0.4: ("s", None, None),
     }
+
+
+@pytest.mark.parametrize(("n", "number", "clamp", "expected"), [(5, 9, True, ([4], 3, 3)), (5, 0, True, ([0, 1], 1, 3)), (5, 9, False, ([], 9, 3)), (5, 2, False, ([2, 3], 2, 3)), (0, 1, True, ([], 1, 1))])
+def test_numbered_pages(spark, n, number, clamp, expected):
+    rows = catalog.numbered_page(spark.range(n), number, 2, F.col("id"), clamp=clamp).collect()
+    assert [r.id for r in rows] == expected[0] and all((r.page, r.total_pages, r.total) == (*expected[1:], n) for r in rows)
+
+
+@pytest.mark.parametrize(("raw", "expected"), [("2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z"), ("2024-01-01T07:00:00 07:00", "2024-01-01T00:00:00Z"), ("2024-01-01T00:00:00", None), ("2024-01-01 07:00", None), ("2024-01-01", None), ("", None), (None, None)])
+def test_zoned(spark, raw, expected):
+    assert one(spark, web.iso_seconds(web.zoned(F.lit(raw).cast("string")))) == expected
