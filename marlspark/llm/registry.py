@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspark.llm import decontamination, html_text, language, line_dedup, pieces, quality, sharding, simhash, suffix_dedup, urls
+from marlspark.llm import decontamination, fill_middle, html_text, language, line_dedup, pieces, quality, sharding, simhash, suffix_dedup, urls
 from marlspark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -69,8 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL, "op7_url_filters": urls.SQL}
+    return {"op1_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL, "op7_url_filters": urls.SQL, "op13_fill_middle": fill_middle.SQL}
