@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspark.llm import conversation_trie, decontamination, fill_middle, html_text, language, line_dedup, pieces, quality, sharding, simhash, suffix_dedup, urls
+from marlspark.llm import conversation_trie, decontamination, fill_middle, html_text, language, line_dedup, pieces, quality, sharding, simhash, substring_dedup, suffix_dedup, urls
 from marlspark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -77,10 +81,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
+        "op11_substring_dedup": op11_substring_dedup,
         "op12_conversation_trie": op12_conversation_trie,
         "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL, "op7_url_filters": urls.SQL, "op12_conversation_trie": conversation_trie.SQL, "op13_fill_middle": fill_middle.SQL}
+    return {
+        "op1_quality_rules": quality.SQL,
+        "op6_line_dedup": line_dedup.SQL,
+        "op7_url_filters": urls.SQL,
+        "op11_substring_dedup": substring_dedup.SQL,
+        "op12_conversation_trie": conversation_trie.SQL,
+        "op13_fill_middle": fill_middle.SQL,
+    }
