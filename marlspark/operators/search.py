@@ -56,8 +56,8 @@ def vector_scores(points: DataFrame, queries: DataFrame, on: Column | None = Non
 
     With `on`, an equality of a point's column and a query's, only pairs that agree in it are scored.
 
-    Each block, of about `QUERY_BATCH` query vectors at most, is sent to every task and meets each point
-    once; the blocks' results are put together. points: id, embedding and more; queries: query_id, vector.
+    Each block, of about `QUERY_BATCH` query vectors at most (so a block's bytes grow with their length), is
+    sent to every task and meets each point once; the blocks' results are put together. points: id, embedding and more; queries: query_id, vector.
     """
     blocks = -(-queries.count() // QUERY_BATCH) or 1
     found = None
@@ -70,10 +70,10 @@ def vector_scores(points: DataFrame, queries: DataFrame, on: Column | None = Non
 
 
 def vector_search(points: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    found = vector_scores(points, queries)
-    if least is not None:
-        found = found.where(F.col("similarity") >= least)
-    return top_per_query(found, k, "similarity", "id")
+    """(query_id, id, similarity, rank) of the `k` points (id, embedding) most like each query (query_id, vector), exactly, through cells."""
+    from marlspark.operators import vector_cells
+
+    return vector_cells.nearest(points.select("id", "embedding"), queries.select("query_id", "vector"), k, least)
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:

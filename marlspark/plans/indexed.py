@@ -1,13 +1,15 @@
-"""Queries over stored structures: the versioned BM25 index."""
+"""Queries over stored structures: the versioned BM25 index, and cells of vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspark.operators.search import CANDIDATES
 from marlspark.operators.search_index import SearchIndex
+from marlspark.operators.vector_cells import Cells
 from marlspark.plans.base import query
-from marlspark.plans.retrieval import BM25, _docs, _questions
+from marlspark.plans.retrieval import BM25, _docs, _points, _questions
 
 
 def _built(spark: SparkSession, sf_dir: str) -> SearchIndex:
@@ -47,3 +49,12 @@ def bm25_indexed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.apply(docs.where(third == 2), docs.where("doc_id % 10 = 7").select("doc_id"))
     index.apply(docs.where(F.lit(False)), docs.where("doc_id % 10 = 7").select("doc_id"))
     return index.snapshot().search(_questions(spark, sf_dir), 10).hits
+
+
+@query()
+def vector_cells_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points each query vector is compared with, of all."""
+    points, asked = _points(spark, sf_dir)
+    cells = Cells.build(points.select("id", "embedding"), 64)
+    every = int(cells.rings[:, 2].sum()) if len(cells.rings) else 0
+    return cells.search(asked.select("query_id", "vector"), CANDIDATES)[1].withColumn("points", F.lit(every).cast("long"))
