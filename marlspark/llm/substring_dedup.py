@@ -14,6 +14,9 @@ string, so a word is sent about three times, not once for each of the windows th
    hashes and counted by a shuffle with map-side sums instead.
 5. Each occurrence of a content is held against the smallest doc_ids of its windows.
 
+Texts are shuffled once: they are written in buckets by a row id, and what is found of a row comes to its
+bucket, so no later join moves a text.
+
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows of one
 doc_id never remove each other's words; a null doc_id comes after all others; very long texts are taken
 whole, in slices that share a window less a word; an empty table gives an empty result; extra columns
@@ -23,6 +26,7 @@ don't matter.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspark.llm.common import BASE, join_counted, mixed, powers, written
+from marlspark.llm.common import BASE, join_counted, mixed, powers, scratch, shuffle_partitions, written
 
 WINDOW, GRAM = 13, 4
 #: Different contents of one minimiser that a bucket takes at most.
@@ -130,57 +134,70 @@ def _before(unit: list[tuple[tuple, int, list[bytes]]], part: np.ndarray) -> np.
     return (begins - np.array([first for _, first, _ in unit]))[part]
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(d, h, spans): the spans (s, e) of words of each row that an earlier doc_id holds; spans may overlap.
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Written in buckets by `key` and read again, so that joins on it leave the rows where they are; the files stay when the table's name goes."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = shuffle_partitions(spark)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def texts_by_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, d, r, text): d is the doc_id (nulls as the largest long), r a number of its own for each row."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    return bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), d.alias("d"), F.monotonically_increasing_id().alias("r"), F.coalesce("text", F.lit("")).alias("text")), "r", "window_texts")
 
-    d is the doc_id (nulls as the largest long), h a hash of the text; e is WHOLE for a text that an earlier
-    document has as a whole.
+
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(r, spans): the spans (s, e) of words of each row that an earlier doc_id holds; spans may overlap. texts: as `texts_by_row` gives them.
+
+    e is WHOLE for a text that an earlier document has as a whole.
     """
     if not 1 <= gram <= window:
         raise ValueError("a gram is a part of a window")
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    texts = docs.where(F.octet_length("text") >= 2 * window - 1).select(d.alias("d"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    rows = written(texts.drop("text"), "window-rows")
+    texts = texts.where(F.octet_length("text") >= 2 * window - 1)
+    rows = written(texts.select("r", "d", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2")), "window-rows")
     groups = written(rows.groupBy("h", "h2").agg(F.min("d").alias("d0"), F.count(F.lit(1)).alias("n")).where("n > 1"), "window-groups")
-    copies = written(join_counted(rows, groups, ["h", "h2"]).where("d > d0").select("d", "h").distinct(), "window-copies")
+    copies = written(join_counted(rows, groups, ["h", "h2"]).where("d > d0").select("r"), "window-copies")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for unit in units(_rows(batch, "h"), window):
+            for unit in units(_rows(batch, "r"), window):
                 _, part, _, _, g, _ = runs(unit, window, gram)
-                h = np.array([key[0] for key, _, _ in unit], dtype=np.int64)[part]
-                order = np.lexsort((g, h))  # a text's repeats of its own count once
-                order = order[np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)])]
-                yield pa.RecordBatch.from_arrays([pa.array(g[order]), pa.array(h[order])], ["g", "h"])
+                r = np.array([key[0] for key, _, _ in unit], dtype=np.int64)[part]
+                order = np.lexsort((g, r))  # a text's repeats of its own count once
+                order = order[np.concatenate([[True], (np.diff(r[order]) != 0) | (np.diff(g[order]) != 0)])]
+                yield pa.RecordBatch.from_arrays([pa.array(g[order]), pa.array(r[order])], ["g", "r"])
 
-    found = written(texts.select("h", "text").mapInArrow(find, "g long, h long"), "window-found")
+    found = written(texts.select("r", "text").mapInArrow(find, "g long, r long"), "window-found")
     shared = written(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "window-shared")
-    wanted = join_counted(found, shared, ["g"]).groupBy("h").agg(F.collect_set("g").alias("wanted"))
-    asked = rows.select("d", "h").distinct().join(copies, ["d", "h"], "left_anti").join(wanted, "h")
-    chosen = written(texts.select("d", "h", "text").join(asked, ["d", "h"]).select("d", "h", "text", "wanted"), "window-texts", "zstd")
+    wanted = join_counted(found, shared, ["g"]).groupBy("r").agg(F.collect_set("g").alias("wanted")).join(copies, "r", "left_anti")
+    chosen = texts.select("r", "d", "text").join(wanted, "r").select("r", "d", "text", "wanted")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for unit in units(_rows(batch, "d", "h", "wanted"), window):
+            for unit in units(_rows(batch, "r", "d", "wanted"), window):
                 _, part, lo, hi, g, content = runs(unit, window, gram)
                 kept = np.isin(g, np.unique(np.concatenate([key[2] for key, _, _ in unit])))
                 part, lo, hi, g, content = (v[kept] for v in (part, lo, hi, g, content))
-                d, h = (np.array([key[i] for key, _, _ in unit], dtype=np.int64)[part] for i in (0, 1))
+                r, d = (np.array([key[i] for key, _, _ in unit], dtype=np.int64)[part] for i in (0, 1))
                 lo_in_text = (lo - _before(unit, part)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, content, d, h, lo_in_text, (hi - lo + 1).astype(np.int32))], ["g", "c", "d", "h", "lo", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g, content, r, d, lo_in_text, (hi - lo + 1).astype(np.int32))], ["g", "c", "r", "d", "lo", "size"])
 
-    marks = written(chosen.mapInArrow(mark, "g long, c long, d long, h long, lo int, size int"), "window-marks")
-    pick = F.xxhash64("d", "h", "lo")
-    contents = written(marks.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.min(pick).alias("pick")), "window-contents")
+    marks = written(chosen.mapInArrow(mark, "g long, c long, r long, d long, lo int, size int"), "window-marks")
+    pick = F.xxhash64("r", "lo")
+    contents = written(marks.groupBy("g", "c").agg(F.count(F.lit(1)).alias("held"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.min(pick).alias("pick")), "window-contents")
     heads = contents.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("d0").alias("g0"), F.max("d1").alias("g1")).where("g0 < g1")
-    told = written(join_counted(contents.drop("n"), heads.select("g", "n"), ["g"]).withColumnRenamed("n", "k").join(contents.select("g", "c", "n"), ["g", "c"]), "window-told")
-    marked = written(join_counted(marks, told, ["g", "c"]).select("g", "c", "d", "h", "lo", "size", "k", "d0", "d1", (pick == F.col("pick")).alias("picked")), "window-marked")
-    plain = marked.where("k = 1 AND d > d0").select("d", "h", F.col("lo").alias("s"), (F.col("lo") + F.col("size") + window - 1).alias("e"))
+    told = written(join_counted(contents, heads.select("g", "n"), ["g"]).select("g", "c", "d0", "d1", "pick", F.col("n").alias("k"), F.col("held").alias("n")), "window-told")
+    marked = written(join_counted(marks, told, ["g", "c"]).select("g", "c", "r", "d", "lo", "size", "k", "d0", "d1", "n", (pick == F.col("pick")).alias("picked")), "window-marked")
+    plain = marked.where("k = 1 AND d > d0").select("r", F.col("lo").alias("s"), (F.col("lo") + F.col("size") + window - 1).alias("e"))
 
     reps = marked.where("picked AND k > 1")
     sums = {r["hot"]: r["n"] for r in reps.groupBy((F.col("k") > hot).alias("hot")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two numbers
-    listed = reps.groupBy("d", "h").agg(F.collect_list(F.struct("g", "c", "lo", "size", "d0", "d1", (F.col("k") > hot).alias("hot"))).alias("reps"))
-    asked_for = chosen.select("d", "h", "text").join(listed, ["d", "h"])
+    listed = reps.groupBy("r").agg(F.collect_list(F.struct("g", "c", "lo", "size", "d0", "d1", "n", (F.col("k") > hot).alias("hot"))).alias("reps"))
+    asked_for = texts.select("r", "text").join(listed, "r").select("text", "reps")
 
     def packed(batches: Iterator[pa.RecordBatch], wants: bool) -> Iterator[tuple[dict, list[bytes]]]:
         """Each representative that is wanted, and its words."""
@@ -198,12 +215,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for rep, found in packed(batches, False):
-            rows.append((rep["g"], rep["c"], rep["d0"], rep["d1"], b" ".join(found)))
+            rows.append((rep["g"], rep["c"], rep["d0"], rep["d1"], rep["n"], b" ".join(found)))
             if len(rows) == 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["g", "c", "d0", "d1", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["g", "c", "d0", "d1", "n", "packed"])
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["g", "c", "d0", "d1", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["g", "c", "d0", "d1", "n", "packed"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(table: pa.Table) -> pa.RecordBatch:
@@ -221,11 +238,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             least = least[rank]
             begins = np.cumsum(sizes) - sizes
             told = np.flatnonzero(np.minimum.reduceat(least, begins) < table.column("d1").to_numpy())
-            g, c = (table.column(n).to_numpy()[told] for n in ("g", "c"))
+            g, c, n = (table.column(name).to_numpy()[told] for name in ("g", "c", "n"))
             offsets = np.concatenate([[0], np.cumsum(sizes[told])]).astype(np.int32)
             inner = least[np.repeat(np.isin(np.arange(len(sizes)), told), sizes)]
             mins = pa.ListArray.from_arrays(pa.array(offsets), pa.array(inner))
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(np.zeros(len(told), dtype=np.int32)), mins], ["g", "c", "i", "mins"])
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(n), pa.array(np.zeros(len(told), dtype=np.int32)), mins], ["g", "c", "n", "i", "mins"])
 
         held, count = [], 0
         for batch in batches:
@@ -243,9 +260,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             yield work(pa.Table.from_batches(held))
 
     verdicts = []
-    kinds = "g long, c long, i int, mins array<long>"
+    kinds = "g long, c long, n long, i int, mins array<long>"
     if sums.get(False):
-        strings = written(asked_for.mapInArrow(cut, "g long, c long, d0 long, d1 long, packed binary"), "window-strings", "zstd")
+        strings = written(asked_for.mapInArrow(cut, "g long, c long, d0 long, d1 long, n long, packed binary"), "window-strings", "zstd")
         buckets = strings.repartition(-(-sums[False] // bucket_rows), "g").sortWithinPartitions("g")
         verdicts.append(buckets.mapInArrow(compare, kinds))
     if sums.get(True):
@@ -257,17 +274,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             for rep, found in packed(batches, True):
                 for i in range(rep["size"]):
                     name = xxhash.xxh3_128_digest(b" ".join(found[i : i + window]))
-                    rows.append((rep["g"], rep["c"], i, rep["d0"], rep["d1"], int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)))
+                    rows.append((rep["g"], rep["c"], rep["n"], i, rep["d0"], rep["d1"], int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)))
                 if len(rows) >= 8192:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        names, types = ["g", "c", "i", "d0", "d1", "k1", "k2"], [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
-        single = written(asked_for.mapInArrow(each, "g long, c long, i int, d0 long, d1 long, k1 long, k2 long"), "window-hot")
+        names, types = ["g", "c", "n", "i", "d0", "d1", "k1", "k2"], [*[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 4]
+        single = written(asked_for.mapInArrow(each, "g long, c long, n long, i int, d0 long, d1 long, k1 long, k2 long"), "window-hot")
         least = written(single.groupBy("k1", "k2").agg(F.min("d0").alias("least"), F.count(F.lit(1)).alias("n")), "window-least")
-        verdicts.append(join_counted(single, least, ["k1", "k2"]).where("least < d1").select("g", "c", "i", F.array("least").alias("mins")))
+        verdicts.append(join_counted(single.withColumnRenamed("n", "held"), least, ["k1", "k2"]).where("least < d1").select("g", "c", F.col("held").alias("n"), "i", F.array("least").alias("mins")))
 
     def held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of an occurrence's windows that a smaller doc_id holds."""
@@ -283,22 +300,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
             a, b = gone[np.concatenate([[0], cut])], gone[np.concatenate([cut - 1, [len(gone) - 1]])]
             row = owner[a]
             begin = batch.column("lo").to_numpy()[row] + batch.column("i").to_numpy()[row]
-            d, h = (batch.column(n).to_numpy()[row] for n in ("d", "h"))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array((begin + place[a]).astype(np.int32)), pa.array((begin + place[b] + window).astype(np.int32))], ["d", "h", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("r").to_numpy()[row]), pa.array((begin + place[a]).astype(np.int32)), pa.array((begin + place[b] + window).astype(np.int32))], ["r", "s", "e"])
 
     spans = plain
+    occurring = marked.where("k > 1").select("g", "c", "r", "d", "lo")
     for verdict in verdicts:
-        verdict = written(verdict, "window-verdicts")
-        counted = verdict.join(told.select("g", "c", "n"), ["g", "c"])
-        spans = spans.unionAll(join_counted(marked.where("k > 1").select("g", "c", "d", "h", "lo"), counted, ["g", "c"]).select("d", "h", "lo", "i", "mins").mapInArrow(held_against, "d long, h long, s int, e int"))
-    whole = copies.select("d", "h", F.lit(0).alias("s"), F.lit(WHOLE).alias("e"))
-    return written(spans.unionAll(whole).groupBy("d", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "window-spans")
+        met = join_counted(occurring, written(verdict, "window-verdicts"), ["g", "c"])
+        spans = spans.unionAll(met.select("r", "d", "lo", "i", "mins").mapInArrow(held_against, "r long, s int, e int"))
+    whole = copies.select("r", F.lit(0).alias("s"), F.lit(WHOLE).alias("e"))
+    return written(spans.unionAll(whole).groupBy("r").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "window-spans")
 
 
 def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **options: int) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept has the words that stay, joined by one space."""
-    spans = repeated_spans(docs.select("doc_id", "text"), window, gram, **options)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("h"))
+    texts = texts_by_row(docs)
+    spans = repeated_spans(texts, window, gram, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,10 +329,10 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **o
                 n_words.append(len(found))
                 n_removed.append(len(found) - len(left))
                 kept.append(b" ".join(left))
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
-    return keyed.join(spans, ["d", "h"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(spans, "r", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
