@@ -8,8 +8,8 @@ sidebars, notices, adverts, forms and reader comments are told by their element,
 that is such a name as a whole or in its last part; what is in them isn't seen by the scan, so adverts
 between paragraphs don't break a run. A box of such a name that holds most of the page's words isn't one.
 
-Where a page says itself where its content is, words inside score full and words outside count against;
-elsewhere words in links, which menus are made of, score by themselves.
+Words in links, which menus are made of, score by themselves. Where a page says itself where its content is,
+that a word or tag lies inside or outside of it is part of its kind, whose score is learned like any other.
 
 Defined results: a null or empty page gives an empty text, as does one without a word that counts; very
 long pages are taken whole; a page cut off in the middle is read as far as it goes; of runs with equal sums
@@ -48,10 +48,11 @@ COMMENT_NAMES = {"comment", "comments", "commentlist", "replies", "reply"}
 #: First parts of names that say what a box has, not what it is; and names that a title may have inside content.
 MODIFIERS = {"has", "with", "no", "without", "is", "not", "js", "hide", "show"}
 HEADER_NAMES = {"header", "masthead", "banner"}
-#: Bounds of a score by kind: words, words in links, tags.
-BOUNDS = {"#": (0.5, 3.0), "#a": (-1.0, 0.5)}
-TAG_BOUNDS = (-1.5, -0.1)
-INSIDE, OUTSIDE = (3.0, -0.01), (-8.0, -0.1)  # scores of a word and a tag where the page says where its content is
+#: Where the page says where its content is: a mark behind a kind.
+INSIDE, OUTSIDE = "+", "-"
+#: Bounds of a score by kind: words, words in links, tags; inside and outside of what the page says is its content.
+BOUNDS = {"#": (0.5, 3.0), "#a": (-1.0, 0.5), "#+": (0.5, 3.0), "#a+": (0.5, 3.0), "#-": (-8.0, -0.5), "#a-": (-8.0, -0.5)}
+TAG_BOUNDS = {"": (-1.5, -0.1), INSIDE: (-1.5, -0.01), OUTSIDE: (-1.5, -0.1)}
 
 TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)")
 NAMES = re.compile(r"(?i)(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -147,13 +148,21 @@ def _kind(name: str) -> str:
     return name if name[0] == "#" or name in BLOCK or name in INLINE else "other"
 
 
+def _side(declared: bool, within: bool) -> str:
+    return "" if not declared else INSIDE if within else OUTSIDE
+
+
 def count_labelled(source: str) -> Counter:
-    """(kind, inside) counts of a page that says where its content is; nothing for others."""
+    """(kind, inside) counts of a page that says where its content is; nothing for others.
+
+    Each token counts as what it is, for pages that don't say, and as what it is inside or outside.
+    """
     page, found = Page(source), Counter()
     if page.declared:
         for name, text, aside, within in page.tokens:
             if name not in CONTENT:
-                found[_kind(name), within and not aside] += len(text.split()) if name[0] == "#" else 1
+                for side in ("", _side(True, within)):
+                    found[_kind(name) + side, within and not aside] += len(text.split()) if name[0] == "#" else 1
     return found
 
 
@@ -172,13 +181,16 @@ def learn_weights(pages: DataFrame, rows: int = LABELLED_ROWS) -> dict[str, floa
 
     counts = sample.mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
     table = {(r["kind"], r["inside"]): r["n"] for r in counts}
-    inside, outside = (sum(n for (_, i), n in table.items() if i == side) + 1 for side in (True, False))
+    plain = [(k, i, n) for (k, i), n in table.items() if k[-1] not in INSIDE + OUTSIDE]
+    inside, outside = (sum(n for _, i, n in plain if i == at) + 1 for at in (True, False))
     prior = PRIOR / (inside + outside)
     weights = {}
     for kind in {"#", "#a", "other"} | BLOCK | INLINE:
-        odds = math.log(table.get((kind, True), 0) / inside + prior) - math.log(table.get((kind, False), 0) / outside + prior)
-        low, high = BOUNDS.get(kind, TAG_BOUNDS)
-        weights[kind] = min(high, max(low, odds))
+        for side, bounds in TAG_BOUNDS.items():
+            name = kind + side
+            odds = math.log(table.get((name, True), 0) / inside + prior) - math.log(table.get((name, False), 0) / outside + prior)
+            low, high = BOUNDS.get(name, bounds)
+            weights[name] = min(high, max(low, odds))
     return weights
 
 
@@ -198,13 +210,10 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     page = Page(source or "")
     items = [(name, text, within) for name, text, aside, within in page.tokens if not aside]
-    other, scores = weights["other"], []
+    scores = []
     for name, text, within in items:
-        if page.declared:
-            word, tag = INSIDE if within else OUTSIDE
-            scores.append(word * len(text.split()) if name[0] == "#" else tag)
-        else:
-            scores.append(weights[name] * len(text.split()) if name[0] == "#" else weights.get(name, other))
+        score = weights[_kind(name) + _side(page.declared, within)]
+        scores.append(score * len(text.split()) if name[0] == "#" else score)
     start, end = best_run(scores)
     blocks, held = [], []
     for name, text, _ in items[start:end]:

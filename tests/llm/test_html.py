@@ -38,6 +38,7 @@ def test_text_of_pages(pages):
 def test_weights_have_their_signs(pages):
     weights = html_text.learn_weights(pages)
     assert weights["#"] > 0 and all(w < 0 for k, w in weights.items() if k[0] != "#")
+    assert weights["#+"] > 0 > weights["#-"]
     assert weights["li"] <= weights["p"] and weights["#a"] < weights["#"]
 
 
@@ -105,6 +106,19 @@ def test_given_pages_against_their_markup(spark):
         assert got[r.page_id] == "\n".join(x for x in want if x), r.page_id
 
 
+def test_given_pages_change_with_the_weights(spark):
+    """The learned scores decide on pages with an article too."""
+    given = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(30)
+    weights = html_text.learn_weights(given)
+    texts = [r.html for r in given.collect()]
+    learned = [html_text.extract(t, weights) for t in texts]
+    assert all(learned)
+    assert not any(html_text.extract(t, dict.fromkeys(weights, 0.0)) for t in texts)
+    assert not any(html_text.extract(t, weights | {"#+": -1.0, "#a+": -1.0}) for t in texts)
+    single = [html_text.extract(t, weights | {"p+": -1000.0}) for t in texts]
+    assert sum(len(a) < len(b) for a, b in zip(single, learned, strict=True)) > 5
+
+
 def test_best_run_against_all_runs():
     scores = [1.0, -2, 3, -1, 2, -5, 4, 0, -1]
     best = max(sum(scores[i:j]) for i in range(9) for j in range(i, 10))
