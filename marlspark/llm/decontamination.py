@@ -8,8 +8,9 @@ document nearly throughout (`consistency`), as in a copy or a question with new
 
 Words and windows come from array operations over the characters of many texts at once; what a slot said is
 only looked up for windows that pass a bitmap of the benchmark's window hashes. The bitmap's size is fixed
-whatever the benchmark's; the join decides. Windows with fewer than two plain words are left out on both
-sides, as tables of numbers would match each other. The join asks for an item's rarest windows first, as many
+whatever the benchmark's; the join decides. Windows with fewer than two plain words aren't taken as templates,
+as tables of numbers would match each other; they stand for their own words. An item that is mostly made of
+such (arithmetic, lists of names) is asked for by these too, which finds its copies. The join asks for an item's rarest windows first, as many
 as no contaminated document can do without, so phrases common to items and corpus aren't paired out.
 
 Coverage and consistency are judged for each occurrence, not for the document as a whole. A hit puts the
@@ -146,7 +147,7 @@ def _pieces(text: str) -> Iterator[tuple[int, str]]:
 
 
 def templates(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """(doc, code, slot, start, end) of the tokens of all texts' templates; start and end are places in the text."""
+    """(doc, code, slot, start, end, raw) of the tokens of all texts' templates; start and end are places in the text, raw is the word's own code."""
     group: list[tuple[int, int, str]] = []
     out: list[tuple[np.ndarray, ...]] = []
     opens = True
@@ -175,7 +176,7 @@ def templates(texts: list[str]) -> tuple[np.ndarray, ...]:
         flush()
     if not out:
         none = np.zeros(0, dtype=np.int64)
-        return none, none.astype(np.uint64), none.astype(bool), none, none
+        return none, none.astype(np.uint64), none.astype(bool), none, none, none.astype(np.uint64)
     doc, code, start, end, number, capital, opening = map(np.concatenate, zip(*out, strict=True))
     keep = end > start
     doc, code, start, end, number, capital, opening = (x[keep] for x in (doc, code, start, end, number, capital, opening))
@@ -185,54 +186,69 @@ def templates(texts: list[str]) -> tuple[np.ndarray, ...]:
     unit[behind] = np.isin(code[behind], _unit_codes())
     name = capital & ~opening & ~number & ~unit
     codes = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, code)))
-    return doc, codes, number | unit | name, start, end
+    return doc, codes, number | unit | name, start, end, code
 
 
-def windows(doc: np.ndarray, codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, hash, usable) of the windows of all texts; a text of fewer than WINDOW tokens is one window."""
+def windows(doc: np.ndarray, codes: np.ndarray, slots: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, template's hash, hash of the words as they are, plain) of the windows of all texts; a text of fewer than WINDOW tokens is one window.
+
+    A window of fewer than two plain words would match too much as a template; it isn't plain.
+    """
     n = len(codes)
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     length = np.diff(np.append(first, n))
     held = np.repeat(length, length)
     place = np.arange(n) - np.repeat(first, length)
     starts = np.flatnonzero((place + WINDOW <= held) | ((held < WINDOW) & (place == 0)))
-    out, plain = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.int8)
+    out, own, words = np.zeros(len(starts), dtype=np.uint64), np.full(len(starts), BASE, dtype=np.uint64), np.zeros(len(starts), dtype=np.int8)
     size = np.minimum(held[starts], WINDOW)
     for k in range(WINDOW):
         at, inside = np.minimum(starts + k, n - 1), k < size
         out += np.where(inside, codes[at] * POSITION[k], np.uint64(0))
-        plain += inside & ~slots[at]
-    return starts, out ^ (out >> np.uint64(31)), plain >= np.minimum(2, size)
+        own += np.where(inside, raw[at] * POSITION[k], np.uint64(0))
+        words += inside & ~slots[at]
+    return starts, out ^ (out >> np.uint64(31)), own ^ (own >> np.uint64(31)), words >= np.minimum(2, size)
 
 
 def _windows_of(df: DataFrame, key: str, bitmap: object = None) -> DataFrame:
-    """(key, row, pos, hash, slots, n, size) of each usable window that may be in the bitmap; row: a hash of the text; n, size: its usable windows and its tokens."""
+    """(key, row, pos, hash, slots, n, size) of each window that may be in the bitmap; row: a hash of the text; n, size: its windows and its tokens.
+
+    Without a bitmap the texts are items: one with fewer plain windows than others is asked for in its own words
+    too, as a row by itself that holds the others.
+    """
 
     def batch_of(keys: list, texts: list[str], bits: np.ndarray | None) -> pa.RecordBatch | None:
         import xxhash
 
-        doc, codes, slots, start, end = templates(texts)
-        first, hashes, usable = windows(doc, codes, slots)
-        first, hashes = first[usable], hashes[usable]
-        owner = doc[first]
-        hit = np.ones(len(first), dtype=bool) if bits is None else (bits[(hashes % np.uint64(BITMAP_BITS) >> np.uint64(3)).astype(np.int64)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        if not hit.any():
+        doc, codes, slots, start, end, raw = templates(texts)
+        first, templated, worded, plain = windows(doc, codes, slots, raw)
+        counts = [np.bincount(doc[first[side]], minlength=len(texts)) for side in (plain, ~plain)]
+        if bits is None:
+            others = ~plain & (counts[1] > counts[0])[doc[first]]
+        else:
+            held = lambda hashes: (bits[(hashes % np.uint64(BITMAP_BITS) >> np.uint64(3)).astype(np.int64)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            plain, others = plain & held(templated), held(worded)
+        if not plain.any() and not others.any():
             return None
-        n, size = np.bincount(owner, minlength=len(texts)), np.bincount(doc, minlength=len(texts))
+        hashes = np.concatenate([templated[plain], worded[others]])
+        first, plain = np.concatenate([first[plain], first[others]]), np.arange(len(hashes)) < plain.sum()
+        owner = doc[first]
+        size = np.bincount(doc, minlength=len(texts))
         begins = np.searchsorted(doc, np.arange(len(texts)))
-        first, hashes, owner = first[hit], hashes[hit], owner[hit]
+        n = np.where(plain, counts[0][owner], counts[1][owner])
         rows = np.zeros(len(texts), dtype=np.uint64)
         for d in np.unique(owner).tolist():
             rows[d] = xxhash.xxh64_intdigest(texts[d].encode("utf-8", "surrogatepass"))
-        values = [[texts[d][start[j] : end[j]].lower() for j in range(i, min(i + WINDOW, begins[d] + size[d])) if slots[j]] for i, d in zip(first.tolist(), owner.tolist(), strict=True)]
+        values = [[texts[d][start[j] : end[j]].lower() for j in range(i, min(i + WINDOW, begins[d] + size[d])) if slots[j]] if p else [] for i, d, p in zip(first.tolist(), owner.tolist(), plain.tolist(), strict=True)]
+        named = rows[owner] ^ np.where(plain, 0, 1).astype(np.uint64) if bits is None else rows[owner]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([keys[d] for d in owner.tolist()], pa.int64()),
-                pa.array(rows[owner].view(np.int64)),
+                pa.array(named.view(np.int64)),
                 pa.array((first - begins[owner]).astype(np.int32)),
                 pa.array(hashes.view(np.int64)),
                 pa.array(values, pa.list_(pa.string())),
-                pa.array(n[owner].astype(np.int32)),
+                pa.array(n.astype(np.int32)),
                 pa.array(size[owner].astype(np.int32)),
             ],
             [key, "row", "pos", "hash", "slots", "n", "size"],

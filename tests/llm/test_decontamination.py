@@ -102,16 +102,23 @@ def plain_windows(tokens):
     for i in range(len(tokens) - size + 1) if size else ():
         part = tokens[i : i + size]
         if sum(not slot for *_, slot in part) >= min(2, size):
-            yield i, tuple(k for k, *_ in part), [said for _, said, slot in part if slot]
+            yield i, ("template", *(k for k, *_ in part)), [said for _, said, slot in part if slot]
+        yield i, ("words", *(said for _, said, _ in part)), []
+
+
+def item_rows(tokens):
+    """An item's template windows, and its others where they are more."""
+    every = list(plain_windows(tokens))
+    templated = [w for w in every if w[1][0] == "template"]
+    others = [w for w in every if w[1][0] == "words" and w[0] not in {at for at, *_ in templated}]
+    return [rows for rows in (templated, others if len(others) > len(templated) else []) if rows]
 
 
 def brute_force(texts, items, coverage=0.5, consistency=0.8):
     found = {}
     for d, text in texts:
         mine = list(plain_windows(plain_template(text)))
-        for k, item in items:
-            tokens = plain_template(item)
-            theirs, size = list(plain_windows(tokens)), len(tokens)
+        for k, theirs, size in ((k, rows, len(tokens)) for k, tokens in ((k, plain_template(item)) for k, item in items) for rows in item_rows(tokens)):
             places = defaultdict(list)
             for pos, window, said in mine:
                 for at, other, values in theirs:
@@ -154,6 +161,18 @@ def test_against_brute_force(spark, make):
     assert got == want and len(want) > 20
 
 
+def test_copies_of_numbers_and_names(spark, make):
+    """Items without a window of two plain words are found in their own words, and only so."""
+    items = [(1, "17 23 42 99 108 12 77"), (2, "12 + 30 = 42"), (3, "Anna Paris London Rome Berlin Madrid"), (4, "Boston"), (5, "Sum : 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 gives what total ?")]
+    texts = [(k, text) for k, text in items] + [(11, f"the list was {items[0][1]} as it says"), (13, f"we met anna paris london rome berlin madrid there")]
+    texts += [(21, "18 24 43 100 109 13 78"), (22, "13 + 31 = 44"), (23, "Tom Oslo Bern Wien Prag Bonn"), (24, "Denver"), (25, "1 2 3 4 and nothing else but a clean text of plain words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in dec.contaminated(make(texts), bench).collect()}
+    assert got == {(k, k): "copy" for k, _ in items} | {(11, 1): "copy", (13, 3): "copy"}
+    assert set(got) == set(brute_force(texts, items))
+    assert {r.doc_id for r in dec.clean(make(texts), bench).collect()} == {21, 22, 23, 24, 25}
+
+
 def test_templates_in_pieces(monkeypatch):
     """Cut into pieces of a few characters, texts keep their templates."""
     texts = ["We saw John run 12.5 km in May.\nThen he won $5", "", "x", "Then (he) said: Hello Tom. \n\n Bob \t met Ann 7\nkm  off ", "😀 Ünï 😀😀 Éa 1st"]
@@ -161,7 +180,7 @@ def test_templates_in_pieces(monkeypatch):
     for size in (1, 2, 5, 17):
         monkeypatch.setattr(dec, "PIECE", size)
         assert [x.tolist() for x in dec.templates(texts)] == whole
-    doc, _, slots, start, end = whole
+    doc, _, slots, start, end, _ = whole
     got = [(d, texts[d][s:e].lower(), slot) for d, slot, s, e in zip(doc, slots, start, end, strict=True)]
     want = [(d, said, slot) for d, t in enumerate(texts) for _, said, slot in plain_template(t)]
     assert got == want
