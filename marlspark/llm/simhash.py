@@ -10,6 +10,11 @@ Equal fingerprints are one node, so copies never multiply. Inside a variant's bu
 walk over the true links gives a spanning tree of each cluster, not its pairs: a cluster of n costs n
 links. Each node leaves the walk when reached.
 
+Four bits are strict: of pairs that share 0.8 of their shingles few are as near. So `keep_one_of_each` links
+texts of a Jaccard similarity of at least 0.8 in five-word shingles besides. These meet in bands of least
+shingle hashes, one for each band and text; a walk over a bucket's sketches gives a spanning tree, whose
+links count if the exact similarity of the two texts says so.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer than
 four words have one shingle; a row without a doc_id links to nothing and has no component;
 very long texts are taken whole; repeated rows share their fingerprint; rows with one doc_id and unlike texts are
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspark.llm.common import shuffle_partitions, written
+from marlspark.llm.common import mixed, shuffle_partitions, written
 from marlspark.llm.graph import components
 
 SHINGLE = 4
@@ -150,15 +155,129 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(found, "fp", "left").select("doc_id", "fp", "hash", F.when(known, F.col("cluster")).alias("cluster"), F.when(known, F.col("component_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+SIMILAR, WORDS = 0.8, 5
+#: Bands of least hashes, each of so many; and one-byte samples of least hashes that a bucket compares.
+BANDS, BAND_SIZE, SKETCH = 12, 3, 96
+#: Texts may look so much less alike in their sketches than they are; the exact check follows.
+SKETCH_MARGIN = 0.15
+#: Rows of a bucket that are held at once.
+WALK_ROWS = 8192
+MULTIPLIER = mixed(np.arange(1, max(BANDS * BAND_SIZE, SKETCH) + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles of so many words, A-Z as a-z; a text of fewer words is one shingle."""
+    import xxhash
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    grams = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), dtype=np.uint64))
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    """The least of all hashes under each multiplier, worked out in blocks."""
+    out = np.full(len(MULTIPLIER), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] * MULTIPLIER
+        np.minimum(out, (x ^ (x >> np.uint64(29))).min(axis=0), out=out)
+    return out
+
+
+def similar_links(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(u, v): links between texts (h, text; h distinct) of at least this Jaccard similarity of shingles, enough to connect those that meet."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            names, keys, sketches = [], [], []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
+                hashes = shingle_hashes(text.as_py())
+                if len(hashes):
+                    found = _least(hashes)
+                    sketch = (found[:SKETCH] >> np.uint64(40)).astype(np.uint8).tobytes()
+                    for i in range(BANDS):
+                        names.append(h)
+                        keys.append(xxhash.xxh3_64_intdigest(found[i * BAND_SIZE : (i + 1) * BAND_SIZE].tobytes(), i) >> 1)
+                        sketches.append(sketch)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())], ["key", "h", "sketch"])
+
+    bands = written(texts.mapInArrow(banded, "key long, h long, sketch binary"), "bands")
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands-shared")
+    meeting = bands.join(shared.select("key"), "key", "left_semi")
+    dealt = meeting.repartition(max(shuffle_partitions(texts.sparkSession), 12), "key").sortWithinPartitions("key", "h")
+    alike = int(SKETCH * (least - SKETCH_MARGIN))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tree(names: list[int], sketches: list[bytes], out: list[tuple[int, int]]) -> list[int]:
+            """Add the links of a walk to `out`; the rows that a walk began at."""
+            table = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(names), SKETCH)
+            rest, roots = np.arange(len(names)), []
+            while len(rest):
+                front, rest = [int(rest[0])], rest[1:]
+                roots.append(front[0])
+                while front and len(rest):
+                    node = front.pop()
+                    near = (table[rest] == table[node]).sum(axis=1) >= alike
+                    out += [(names[node], names[i]) for i in rest[near].tolist()]
+                    front += rest[near].tolist()
+                    rest = rest[~near]
+            return roots
+
+        key, names, sketches, out = None, [], [], []
+        for batch in batches:
+            for k, h, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "sketch")), strict=True):
+                if k != key or len(names) >= WALK_ROWS:
+                    roots = tree(names, sketches, out) if len(names) > 1 else []
+                    # A bucket too large to hold goes on with one text of each cluster so far.
+                    names, sketches = ([], []) if k != key else ([names[i] for i in roots], [sketches[i] for i in roots])
+                    key = k
+                names.append(h)
+                sketches.append(sketch)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
+                out = []
+        if len(names) > 1:
+            tree(names, sketches, out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
+
+    pairs = written(dealt.mapInArrow(walk, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "band-pairs")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = shingle_hashes(a.as_py()), shingle_hashes(b.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    paired = pairs.join(texts.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
+    return paired.select("u", "v", "a", "b").mapInArrow(judged, "u long, v long")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float | None = SIMILAR) -> DataFrame:
     """`docs` with one row of each cluster, that of the smallest doc_id; rows without a doc_id stay.
 
+    Clusters are of fingerprints within `radius` and, unless `similarity` is None, of texts at least as alike.
     Where rows of the cluster share that doc_id, the text with the smallest hash stays, and one of rows that
     repeat doc_id and text. Unlike texts under one doc_id are of different clusters and all stay.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius)
-    stay = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "hash")).alias("best")).select(F.col("best.doc_id").alias("doc_id"), F.col("best.hash").alias("_simhash_text")).distinct()
     told = docs.withColumn("_simhash_text", F.xxhash64("text"))
+    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), radius).select("doc_id", "hash", F.col("cluster").alias("group"))
+    if similarity is not None:
+        found = written(found, "simhash-found")
+        texts = written(told.where(F.col("doc_id").isNotNull() & (F.trim("text") != "")).select(F.col("_simhash_text").alias("h"), "text").dropDuplicates(["h"]), "simhash-texts", "zstd")
+        edges = written(similar_links(texts, similarity), "simhash-similar")
+        # Texts and fingerprints are nodes of one graph: a text hangs on its fingerprint's cluster.
+        cluster_of = written(found.groupBy(F.col("hash").alias("h")).agg(F.min("group").alias("group")), "simhash-groups")
+        sides = edges.join(cluster_of.select(F.col("h").alias("u"), F.col("group").alias("a")), "u").join(cluster_of.select(F.col("h").alias("v"), F.col("group").alias("b")), "v")
+        joined = components(sides.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        found = found.join(joined.withColumnRenamed("node", "group"), "group", "left").select("doc_id", "hash", F.coalesce("component", "group").alias("group"))
+    stay = found.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("best")).select(F.col("best.doc_id").alias("doc_id"), F.col("best.hash").alias("_simhash_text")).distinct()
     kept = told.join(stay, ["doc_id", "_simhash_text"], "left_semi").dropDuplicates(["doc_id", "_simhash_text"]).drop("_simhash_text")
     return kept.unionAll(docs.where(F.col("doc_id").isNull()))
 

@@ -100,3 +100,44 @@ def test_definition():
     want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > 3)
     assert simhash.fingerprint("The QUICK\tbrown  fox\njumps over") == want
     assert simhash.fingerprint("one") == xxhash.xxh64_intdigest("one", 42) and simhash.fingerprint(" \n") == 0
+
+
+def jaccard(a, b):
+    x, y = set(simhash.shingle_hashes(a).tolist()), set(simhash.shingle_hashes(b).tolist())
+    return len(x & y) / max(1, len(x | y))
+
+
+def planted(draw, changes, n):
+    """Texts of about 200 words, each with a copy in which so many words are others."""
+    rows = []
+    for i in range(n):
+        words = [f"w{x}" for x in draw.integers(0, 4000, 200)]
+        other = list(words)
+        for k in range(changes):
+            other[(k + 1) * 190 // changes] = f"changed{i}x{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    return rows
+
+
+def test_recall_of_planted_near_copies(spark, make):
+    """One of each pair stays, at a similarity of about 0.8 and 0.9; others stay all."""
+    draw = np.random.default_rng(2)
+    for changes, low, high in ((4, 0.8, 0.83), (2, 0.89, 0.92)):
+        rows = planted(draw, changes, 60)
+        assert all(low <= jaccard(rows[i][1], rows[i + 1][1]) <= high for i in range(0, 120, 2))
+        left = {r.doc_id for r in simhash.keep_one_of_each(make(rows)).collect()}
+        assert left >= set(range(0, 120, 2))
+        assert sum(i not in left for i in range(1, 120, 2)) >= 0.95 * 60
+    apart = planted(draw, 6, 40)  # about 0.73
+    assert max(jaccard(apart[i][1], apart[i + 1][1]) for i in range(0, 80, 2)) < 0.8
+    alone = {r.doc_id for r in simhash.keep_one_of_each(make(apart), similarity=None).collect()}
+    assert {r.doc_id for r in simhash.keep_one_of_each(make(apart)).collect()} == alone
+
+
+def test_large_buckets_and_edge_cases(spark, make, edge, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[: 3 * (i % 90)], f"x{i}", *words[3 * (i % 90) :]])) for i in range(120)]
+    assert [r.doc_id for r in simhash.keep_one_of_each(make(rows)).collect()] == [0]
+    left = simhash.keep_one_of_each(edge)
+    assert left.columns == edge.columns and {r.doc_id for r in left.collect()} >= {1, None, 5, 8, 11, 12, 13, 14}
+    assert simhash.keep_one_of_each(edge.where("false")).count() == 0
