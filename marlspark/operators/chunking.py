@@ -61,7 +61,8 @@ def outline(docs: DataFrame, natural: bool = True) -> DataFrame:
     """
     document = Window.partitionBy("doc_id")
     order = document.orderBy("line")
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
+    # From the last line backwards, so that the frame grows row by row.
+    ahead = document.orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     lines = docs.select("doc_id", F.posexplode(F.split("text", BREAK)).alias("line", "raw")).withColumn("bare", stripped(F.col("raw")))
     bare, behind = F.col("bare"), F.col("behind")
     numbered = lambda pattern: bare.rlike(pattern) & is_label(F.regexp_extract(bare, pattern, 2))
@@ -72,7 +73,7 @@ def outline(docs: DataFrame, natural: bool = True) -> DataFrame:
         numbered(ROMAN).alias("roman"),
         numbered(DECIMAL).alias("decimal"),
         numbered(LETTER).alias("letter"),
-        F.first(F.nullif(bare, F.lit("")), ignorenulls=True).over(ahead).alias("behind"),
+        F.last(F.nullif(bare, F.lit("")), ignorenulls=True).over(ahead).alias("behind"),
         (blank(F.lag("bare").over(order)) & blank(F.lead("bare").over(order))).alias("alone"),
     )
     letters = F.length(F.regexp_replace(bare, r"\P{L}", ""))

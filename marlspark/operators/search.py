@@ -93,9 +93,14 @@ def ordered_distinct(rows: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def expand_documents(chunks: DataFrame, selected: DataFrame, key: str, limit: int) -> DataFrame:
-    """Chunks of each query's selected documents, document by document; one over the limit tells of truncation."""
+    """Chunks of each query's selected documents, document by document; one over the limit tells of truncation.
+
+    No query needs more than a document's first chunks, so these are ranked before any query meets them.
+    """
+    within = Window.partitionBy(key).orderBy("chunk_id")
+    first = chunks.where(F.col(key).isNotNull()).withColumn("at", F.row_number().over(within)).where(F.col("at") <= limit + 1).drop("at")
     order = Window.partitionBy("query_id").orderBy("key_rank", "chunk_id")
-    found = chunks.join(selected, key).withColumn("position", F.row_number().over(order))
+    found = first.join(selected, key).withColumn("position", F.row_number().over(order))
     return found.where(F.col("position") <= limit + 1)
 
 
@@ -109,6 +114,57 @@ def expand_sections(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
     return prefixes.join(scopes, ["document_id", "scope"]).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("scope_rank"))
 
 
+def section_tree(chunks: DataFrame) -> DataFrame:
+    """(document_id, scope, start, end): the sections of each document numbered in preorder, as nested intervals.
+
+    A section lies under another if its start is in the other's [start, end). chunks: document_id, path.
+    """
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))
+    paths = chunks.where(F.col("document_id").isNotNull() & (F.size("path") > 0)).select("document_id", "path").distinct()
+    nodes = paths.select("document_id", F.explode(prefixes).alias("path")).distinct()
+    # A path sorts before all that it is a prefix of, and these before any other.
+    numbered = nodes.withColumn("start", F.row_number().over(Window.partitionBy("document_id").orderBy("path")) - 1)
+    sizes = nodes.select("document_id", F.explode(prefixes).alias("path")).groupBy("document_id", "path").agg(F.count(F.lit(1)).alias("size"))
+    return numbered.join(sizes, ["document_id", "path"]).select("document_id", F.col("path").alias("scope"), "start", (F.col("start") + F.col("size")).alias("end"))
+
+
+def first_chunks(chunks: DataFrame, tree: DataFrame, limit: int) -> DataFrame:
+    """(document_id, start, chunk_id, path): the first `limit` chunks under each section; a chunk belongs to the intervals around its own section's start."""
+    own = chunks.where(F.size("path") > 0).join(tree.select("document_id", F.col("scope").alias("path"), "start"), ["document_id", "path"])
+    above = tree.select("document_id", "scope", F.col("start").alias("around"))
+    met = own.select("document_id", "chunk_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("scope")).join(above, ["document_id", "scope"])
+    order = Window.partitionBy("document_id", "around").orderBy("chunk_id")
+    return met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("document_id", F.col("around").alias("start"), "chunk_id", "path")
+
+
+def expand_selected(chunks: DataFrame, scopes: DataFrame, documents: int = 3, limit: int = 100) -> DataFrame:
+    """(query_id, position, document_id, chunk_id, scope_rank, limited): what a search shows of the sections that its hits stand for.
+
+    chunks: chunk_id, document_id, path; scopes: query_id, document_id, scope, rank, as `select_scopes` gives
+    them. The first `documents` scopes of each query are expanded, scope by scope, to `limit` chunks; `limited`
+    tells of more scopes or chunks. Of a scope that is a whole part of its document, one chunk of each direct
+    child stays; the part's own chunks count as one child.
+    """
+    order = Window.partitionBy("query_id").orderBy("rank", "document_id", "scope")
+    every = Window.partitionBy("query_id")
+    ranked = scopes.withColumn("scope_rank", F.row_number().over(order)).withColumn("more", F.count(F.lit(1)).over(every) > documents).where(F.col("scope_rank") <= documents)
+    tree = section_tree(chunks)
+    chosen = ranked.join(tree, ["document_id", "scope"])
+    near = first_chunks(chunks, tree, limit + 1).join(chosen, ["document_id", "start"])
+    once = near.groupBy("query_id", "document_id", "chunk_id").agg(F.min_by(F.struct("scope_rank", "more", "path"), "scope_rank").alias("r")).select("query_id", "document_id", "chunk_id", "r.*")
+    placed = once.withColumn("at", F.row_number().over(every.orderBy("scope_rank", "chunk_id"))).where(F.col("at") <= limit + 1)
+    told = placed.withColumn("limited", F.col("more") | (F.max("at").over(every) > limit)).where(F.col("at") <= limit)
+    parts = chosen.where(text.is_broad_part(F.col("scope"))).groupBy("query_id", "document_id").agg(F.collect_list("scope").alias("parts"))  # `documents` at most
+    joined = told.join(parts, ["query_id", "document_id"], "left")
+    part = F.get(F.filter(F.coalesce("parts", F.array().cast("array<array<string>>")), lambda s: text.starts_with_path(F.col("path"), s)), F.lit(0))
+    keyed = joined.withColumn("part", part)
+    child = F.when(F.col("part").isNotNull(), F.struct(F.col("part").alias("p"), F.get("path", F.size("part")).alias("c"), F.lit(None).cast("long").alias("i"))).otherwise(
+        F.struct(F.col("path").alias("p"), F.lit(None).cast("string").alias("c"), F.col("chunk_id").cast("long").alias("i"))
+    )
+    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "document_id", child).orderBy("at"))).where("n = 1")
+    return first.select("query_id", F.row_number().over(every.orderBy("at")).alias("position"), "document_id", "chunk_id", "scope_rank", "limited")
+
+
 def drop_prefix_scopes(scopes: DataFrame, key: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """Scopes that aren't a strict prefix of another scope of the same document (and of what else is in the key)."""
     shorter = F.transform(F.sequence(F.lit(1), F.size("scope") - 1), lambda n: F.slice("scope", 1, n))

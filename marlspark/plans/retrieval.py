@@ -264,6 +264,52 @@ def section_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.select_scopes(hits, _questions(spark, sf_dir)).select("query_id", "document_id", F.array_join("scope", "/").alias("scope"), "rank")
 
 
+ASKED = "asked AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'Tổng quan ' ELSE '' END || text AS text FROM benchmark)"
+
+
+@query(
+    rf"""WITH {ASKED}, {BM25.replace("FROM benchmark", "FROM asked")},
+    g AS (SELECT doc_id, coalesce(lang, 'none') AS document_id, ['PHẦN ' || CASE WHEN doc_id % 4 < 2 THEN 'I' ELSE 'II' END || ' ' || coalesce(lang, 'none')]
+            || CASE WHEN doc_id % 7 > 0 THEN [(1 + doc_id % 3) || '. ' || CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END] ELSE [] END
+            || CASE WHEN doc_id % 7 > 3 THEN [(1 + doc_id % 3) || '.' || (1 + doc_id % 5) || ' ' || array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')[1:4], ' ')] ELSE [] END AS path FROM documents),
+    q2 AS (SELECT item_id AS query_id, {_form("text")} AS form, {_terms("text")} AS terms FROM asked),
+    r2 AS (SELECT k.query_id, document_id, path, rank, terms, form, list_transform(path, lambda v: {_terms("v")}) AS heads FROM k JOIN g USING (doc_id) JOIN q2 USING (query_id) WHERE rank <= 5),
+    s2 AS (SELECT *, list_transform(heads, lambda h: {SHARED}) AS scores,
+             len(list_filter(heads, lambda h: len(terms) >= 3 AND {SHARED} >= 3 AND ({SHARED}::DOUBLE / len(terms) >= 0.5 OR {SHARED}::DOUBLE / greatest(len(h), 1) >= 0.6))) > 0
+             OR regexp_matches(form, '{text.POLICY}') OR regexp_matches(form, '{text.SECTION}') AS wide FROM r2),
+    t2 AS (SELECT *, bool_or(wide) OVER (PARTITION BY query_id) AS broad FROM s2),
+    u2 AS (SELECT query_id, document_id, terms, CASE WHEN broad AND list_max(scores) >= 2 THEN path[1:list_position(scores, list_max(scores))] WHEN broad THEN path[1:least(2, len(path))] ELSE path END AS scope, min(rank) AS rank FROM t2 GROUP BY ALL),
+    v2 AS (SELECT *, len(list_intersect(terms, {_terms("scope[len(scope)]")})) AS last FROM u2 x WHERE NOT EXISTS
+            (SELECT 1 FROM u2 y WHERE x.query_id = y.query_id AND x.document_id = y.document_id AND len(y.scope) > len(x.scope) AND y.scope[1:len(x.scope)] = x.scope)),
+    w2 AS (SELECT *, max(last) OVER (PARTITION BY query_id) AS strongest FROM v2),
+    x2 AS (SELECT query_id, document_id, scope, row_number() OVER (PARTITION BY query_id ORDER BY rank, document_id, scope) AS scope_rank, count(*) OVER (PARTITION BY query_id) > 3 AS more FROM w2 WHERE strongest < 2 OR last = strongest),
+    e2 AS (SELECT x2.query_id, g.document_id, g.doc_id AS chunk_id, any_value(g.path) AS path, min(scope_rank) AS scope_rank, any_value(more) AS more FROM x2 JOIN g ON g.document_id = x2.document_id AND g.path[1:len(x2.scope)] = x2.scope WHERE x2.scope_rank <= 3 GROUP BY ALL),
+    f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY scope_rank, chunk_id) AS spot, more OR count(*) OVER (PARTITION BY query_id) > 100 AS limited FROM e2),
+    h2 AS (SELECT f2.*, x2.scope AS part FROM f2 LEFT JOIN x2 ON x2.query_id = f2.query_id AND x2.scope_rank <= 3 AND x2.document_id = f2.document_id AND f2.path[1:len(x2.scope)] = x2.scope AND regexp_matches({_form("x2.scope[len(x2.scope)]")}, '^phan\s+[ivxlcdm]+\b') WHERE spot <= 100),
+    i2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, coalesce(part, path), CASE WHEN part IS NULL THEN chunk_id::VARCHAR ELSE coalesce('/' || path[len(part) + 1], '') END ORDER BY spot) AS n FROM h2)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY spot) AS INTEGER) AS position, document_id, chunk_id, CAST(scope_rank AS INTEGER) AS scope_rank, limited FROM i2 WHERE n = 1"""
+)
+def section_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that shows sections, end to end: hits, the scopes they stand for, the first three expanded to 100 chunks, parts condensed.
+
+    A document (here: a language) has two parts with numbered sections; every third query asks for an overview.
+    """
+    docs, key = _docs(spark, sf_dir), F.col("doc_id")
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.when(F.col("item_id") % 3 == 0, "Tổng quan ").otherwise(""), "text").alias("query"))
+    kind = F.coalesce("lang", F.lit("none"))
+    number = (key % 3 + 1).cast("string")
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 4), " ")
+    heads = [
+        F.concat(F.lit("PHẦN "), F.when(key % 4 < 2, "I").otherwise("II"), F.lit(" "), kind),
+        F.when(key % 7 > 0, F.concat(number, F.lit(". "), F.when(F.col("n_chars") > 2000, "long").otherwise("short"))),
+        F.when(key % 7 > 3, F.concat(number, F.lit("."), (key % 5 + 1).cast("string"), F.lit(" "), words)),
+    ]
+    chunks = docs.select(key.alias("chunk_id"), kind.alias("document_id"), F.array_compact(F.array(*heads)).alias("path"))
+    best = search.bm25(docs.select("doc_id", "text"), asked, 5)
+    hits = best.join(chunks.withColumnRenamed("chunk_id", "doc_id"), "doc_id").select("query_id", "document_id", "path", "rank")
+    return search.expand_selected(chunks, search.select_scopes(hits, asked))
+
+
 @query()
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each query: its best chunks in order, within 6,000 characters."""

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspark.operators import files
 from marlspark.plans import base
 from marlspark.plans import files as intake
-from marlspark.plans.base import query
+from marlspark.plans.base import query, read
+from marlspark.sources.shared import scratch
 from marlspark.streaming import changes
+from marlspark.streaming import versions as version_state
+from marlspark.streaming.checkpoints import Checkpoints, in_window
+from marlspark.streaming.table import DurableTable, synchronise
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -24,26 +30,47 @@ WINDOW = "ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 120 SECOND AND ts <= T
 @query(f"SELECT event_id, user_id, event_type FROM events WHERE {WINDOW}")
 def stream_delta_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of a window that begins two minutes before the checkpoint, read as a stream."""
-    condition = "ts > TIMESTAMP_NTZ '2024-01-10 00:00:00' - INTERVAL 120 SECONDS AND ts <= TIMESTAMP_NTZ '2024-01-20 00:00:00'"
+    kept = Checkpoints(spark)
+    kept.put("events", dt.datetime(2024, 1, 10))
+    start, end = kept.window("events", dt.datetime(2024, 1, 20))
     path, write = changes.append_to(spark, "delta-window")
-    changes.run_to_end(_events(spark, sf_dir).where(condition).select("event_id", "user_id", "event_type"), write, "delta-window")
+    changes.run_to_end(in_window(_events(spark, sf_dir), "ts", start, end).select("event_id", "user_id", "event_type"), write, "delta-window")
     return spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{path}/batch=*")
 
 
 @query("SELECT user_id, event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id, event_type")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest value of each (user, type), upserted from the stream; rows read twice change nothing."""
-    table = changes.KeyedTable(spark, "latest", ["user_id", "event_type"], ["ts", "event_id"], "user_id long, event_type string, ts timestamp_ntz, event_id long, value double, digest string")
+    table = DurableTable(spark, scratch(spark, "latest"), ["user_id", "event_type"], ["ts", "event_id"], "user_id long, event_type string, ts timestamp_ntz, event_id long, value double, digest string")
     stream = changes.fingerprinted(_events(spark, sf_dir), ["event_id", "value"])
 
     def twice(batch: DataFrame, number: int) -> None:
-        table.upsert(batch, 2 * number)
-        table.upsert(batch, 2 * number + 1)  # the overlap of the next window
+        table.upsert(batch, number)
+        table.upsert(batch, number, "overlap")  # the overlap of the next window
 
     changes.run_to_end(stream, twice, "latest")
     return table.read().select("user_id", "event_type", "value")
 
 
+@query("SELECT user_id, event_type, value FROM (SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS event_type, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY user_id) WHERE event_type <> 'error'")
+def sync_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run reads all events up to its cutoff, activates them as the baseline and catches up; a later one reads the rest. An error takes its user out."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id", (F.col("event_type") == "error").alias("gone"))
+    rows = changes.fingerprinted(events, ["event_id", "event_type", "value"])
+    table = DurableTable(spark, scratch(spark, "users"), ["user_id"], ["ts", "event_id"], "user_id long, event_type string, value double, ts timestamp_ntz, event_id long, gone boolean, digest string")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return table.read().select("user_id", "event_type", "value")
+    times = iter([first + (last - first) / 3, first + (last - first) / 2, last])
+
+    def up_to(end: dt.datetime) -> DataFrame:
+        return in_window(rows, "ts", None, end)
+
+    for _ in range(2):
+        synchronise(table, up_to, lambda start, end: in_window(rows, "ts", start, end), lambda: next(times))
+    return table.read().select("user_id", "event_type", "value")
+
+
 @query("SELECT user_id AS product, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS code, count(*) AS changes FROM events GROUP BY user_id")
 def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each product's last code and number of changes, from per-key state."""
@@ -80,3 +107,26 @@ def stream_file_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(ORDERS).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parquet*")
     changes.run_to_end(stream.where("o_orderstatus <> 'F'"), judge, "intake")
     return spark.read.schema("file_id long, outcome string").parquet(f"{path}/batch=*")
+
+
+@query(
+    f"""WITH RECURSIVE {intake.VERSIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY source, document_code ORDER BY file_id) AS n FROM f),
+    s AS (
+      SELECT source, document_code, 0::BIGINT AS n, NULL::INTEGER AS latest, NULL::VARCHAR AS latest_slug, []::STRUCT(v INTEGER, c VARCHAR)[] AS seen, NULL::BIGINT AS file_id, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT source, document_code FROM o)
+      UNION ALL
+      SELECT source, document_code, n, CASE WHEN taken THEN version ELSE latest END, CASE WHEN taken THEN slug ELSE latest_slug END, CASE WHEN taken THEN list_append(seen, {{'v': version, 'c': checksum}}) ELSE seen END, file_id, outcome
+      FROM (SELECT *, outcome IN ('CREATE', 'NEW_VERSION') AS taken FROM (
+        SELECT o.source, o.document_code, o.n, s.latest, s.latest_slug, s.seen, o.version, o.slug, o.checksum, o.file_id,
+          CASE WHEN s.latest IS NULL THEN CASE WHEN o.version = 1 THEN 'CREATE' ELSE 'INITIAL_VERSION_MUST_BE_ONE' END
+               WHEN list_contains(list_transform(s.seen, lambda x: x.v), o.version) THEN CASE WHEN list_contains(s.seen, {{'v': o.version, 'c': o.checksum}}) THEN 'DUPLICATE' ELSE 'VERSION_CONTENT_CONFLICT' END
+               WHEN o.version < s.latest THEN 'OLDER_VERSION' WHEN o.slug <> s.latest_slug THEN 'DOCUMENT_NAME_MISMATCH' ELSE 'NEW_VERSION' END AS outcome
+        FROM s JOIN o ON o.source = s.source AND o.document_code = s.document_code AND o.n = s.n + 1)))
+    SELECT file_id, outcome FROM s WHERE file_id IS NOT NULL"""
+)
+def stream_version_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each new file against all that came before it in the stream, by state of each (source, code)."""
+    stream = spark.readStream.schema(ORDERS).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parquet*")
+    rows = intake.versions(stream).withColumn("seq", F.col("file_id"))
+    path, write = changes.append_to(spark, "version-state")
+    changes.run_to_end(version_state.judged(rows), write, "version-state", "update", settings=dict([version_state.STORE]))
+    return spark.read.schema("file_id long, outcome string").parquet(f"{path}/batch=*")

@@ -14,11 +14,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from marlspark.sources.shared import scratch
 
 
-def run_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
-    """Process everything there is, batch by batch, and stop."""
+def run_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "append", offsets: str | None = None, settings: dict[str, str] | None = None) -> None:
+    """Process everything there is, batch by batch, and stop; `offsets` is a folder from which a later run goes on.
+
+    `settings` hold for this query only.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, f"{name}-offsets")).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    for key, value in (settings or {}).items():
+        spark.conf.set(key, value)
+    try:
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", offsets or scratch(spark, f"{name}-offsets")).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def append_to(spark: SparkSession, name: str) -> tuple[str, Callable[[DataFrame, int], None]]:
@@ -35,32 +45,6 @@ def fingerprinted(changes: DataFrame, columns: list[str]) -> DataFrame:
     return changes.withColumn("digest", F.sha2(F.to_json(F.struct(*sorted(columns))), 256))
 
 
-class KeyedTable:
-    """The latest row of each key in a folder of versions; `upsert` is a `foreachBatch` writer.
-
-    Rows that a key already has with the same digest are skipped, so re-reading an overlap of the last
-    window is harmless. The newest `order` wins. Each batch writes version n + 1 whole and then counts.
-    """
-
-    def __init__(self, spark: SparkSession, name: str, keys: list[str], order: list[str], schema: str) -> None:
-        self.spark, self.keys, self.order, self.schema = spark, keys, order, schema
-        self.path, self.version = scratch(spark, name), -1
-
-    def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
-
-    def upsert(self, batch: DataFrame, number: int) -> None:
-        known = self.read()
-        columns = known.columns
-        fresh = batch.select(*columns).join(known.select(*self.keys, "digest"), [*self.keys, "digest"], "left_anti").select(*columns)
-        rest = [c for c in columns if c not in self.keys]
-        merged = known.unionByName(fresh).groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("r")).select(*self.keys, "r.*").select(*columns)
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        self.version = number
-
-
 def last_codes(events: DataFrame) -> DataFrame:
     """(product, code, changes) of a stream of (product, at, code): state kept for each product.
 

@@ -48,5 +48,7 @@ class Checkpoints:
 
 
 def in_window(rows: DataFrame, column: str, start: dt.datetime | None, end: dt.datetime) -> DataFrame:
-    found = rows.where(F.col(column) <= F.lit(end))
-    return found if start is None else found.where(F.col(column) > F.lit(start))
+    """Rows of (start, end]; times without a zone are those of the session."""
+    at = lambda t: F.lit(t.isoformat()).cast(rows.schema[column].dataType)
+    found = rows.where(F.col(column) <= at(end))
+    return found if start is None else found.where(F.col(column) > at(start))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from marlspark.functions import numeric, text
 from marlspark.operators import catalog, chunking, context, files, merge, search
 from marlspark.sources import documents, tables
+from marlspark.sources.shared import scratch
 from marlspark.streaming import changes
+from marlspark.streaming.table import DurableTable
 
 
 def one(spark, column):
@@ -291,7 +293,7 @@ def test_product_feed(spark, tmp_path):
 
 
 def test_keyed_table_is_idempotent(spark):
-    table = changes.KeyedTable(spark, "t", ["k"], ["at"], "k int, at int, v string, digest string")
+    table = DurableTable(spark, scratch(spark, "t"), ["k"], ["at"], "k int, at int, v string, digest string")
     a = spark.createDataFrame([(1, 1, "x", "d1"), (2, 1, "y", "d2")], "k int, at int, v string, digest string")
     b = spark.createDataFrame([(1, 2, "z", "d3")], "k int, at int, v string, digest string")
     for n, batch in enumerate((a, b, b, a)):
