@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspark.functions import schema
-from marlspark.operators import folders, pages, ruled
+from marlspark.operators import assembly, folders, pages, ruled
 from marlspark.plans.base import query, read
 
 
@@ -128,3 +128,46 @@ def ruled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.filter(F.array(cell(50, one, F.lit("key"), True), cell(110, one, F.lit(" state"), True), cell(200, one, F.when(key % 3 != 0, "priority"), True)), lambda c: c["text"].isNotNull())
     spans = body.unionByName(counts.select("doc_id", F.lit(1).alias("page"), F.inline(heads)))
     return ruled.ruled_tables(lines, spans).select("doc_id", "row", "line", "header")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, segments, images) of a report on each customer: a heading, a line, the first half of the orders under a header, the rest on the next page, a section with a picture only."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderstatus")
+    order = ruled.Window.partitionBy("doc_id")
+    ranked = orders.withColumn("r", F.row_number().over(order.orderBy("o_orderkey"))).withColumn("n", F.count(F.lit(1)).over(order)).withColumn("half", F.ceil(F.col("n") / 2))
+    placed = ranked.select("doc_id", "o_orderkey", "o_orderstatus", F.when(F.col("r") <= F.col("half"), 1).otherwise(2).alias("page"), F.when(F.col("r") <= F.col("half"), F.col("r") + 1).otherwise(F.col("r") - F.col("half")).alias("at"))
+    sizes = placed.groupBy("doc_id", "page").agg(F.max("at").alias("rows"))
+    top = lambda r: (r * 12 + 100).cast("double")
+    box = lambda x1, y1, x2, y2: F.struct(*[(v if isinstance(v, F.Column) else F.lit(v)).cast("double").alias(k) for k, v in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))])
+    low = top(F.col("rows"))
+    lines = F.concat(F.transform(F.sequence(F.lit(0), F.col("rows")), lambda r: box(50.0, top(r), 300.0, top(r))), F.array(*[box(x, 100.0, x, low) for x in (50.0, 150.0, 300.0)]))
+    segments = sizes.select("doc_id", "page", F.inline(lines))
+    span = lambda page, line, text, bold, x, y: F.struct(*[F.lit(v).cast(t).alias(k) if not isinstance(v, F.Column) else v.cast(t).alias(k) for k, v, t in (("page", page, "int"), ("line", line, "int"), ("span", 0, "int"), ("text", text, "string"), ("size", 10.0, "double"), ("bold", bold, "boolean"), ("x1", x, "double"), ("y1", y, "double"), ("x2", x + 40.0, "double"), ("y2", y + 8.0, "double"), ("page_height", 5000.0, "double"))])
+    cells = placed.select("doc_id", F.inline(F.array(span(F.col("page"), F.col("at") * 2 + 8, F.col("o_orderkey").cast("string"), False, F.lit(55.0), top(F.col("at") - 1) + 2), span(F.col("page"), F.col("at") * 2 + 9, F.col("o_orderstatus"), False, F.lit(155.0), top(F.col("at") - 1) + 2))))
+    key = F.col("doc_id").cast("string")
+    people = orders.select("doc_id").distinct()
+    frame = people.select("doc_id", F.inline(F.array(
+        span(1, 1, F.concat(F.lit("1. Orders of "), key), True, F.lit(20.0), F.lit(20.0)), span(1, 2, F.concat(F.lit("There are some of "), key), False, F.lit(20.0), F.lit(40.0)),
+        span(1, 10, F.lit("key"), True, F.lit(55.0), F.lit(102.0)), span(1, 11, F.lit("state"), True, F.lit(155.0), F.lit(102.0)), span(1, 5000, F.lit("17"), False, F.lit(200.0), F.lit(4900.0)),
+        span(2, 4998, F.lit("2. Picture:"), True, F.lit(20.0), F.lit(4000.0)),
+    )))
+    parting = people.where("doc_id % 3 = 0").select("doc_id", F.inline(F.array(span(2, 1, F.lit("The rest:"), False, F.lit(20.0), F.lit(20.0)))))
+    images = people.select("doc_id", F.lit(2).alias("page"), F.lit(30.0).alias("x"), F.lit(4100.0).alias("y"))
+    return cells.unionByName(frame).unionByName(parting), segments, images
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    h AS (SELECT DISTINCT d, n, ceil(n / 2)::BIGINT AS half FROM o),
+    a AS (SELECT h.d, 'Bảng, trang PDF 1. Các ô cùng dòng thuộc cùng một bản ghi.' || chr(10) || 'Tiêu đề nhóm cột: key | state' || chr(10) || 'Dòng 1: Cột 1: key | Cột 2: state' || chr(10) || string_agg('Dòng ' || (r + 1) || ': Cột 1: ' || k || ' | Cột 2: ' || s, chr(10) ORDER BY r) AS t FROM h JOIN o ON o.d = h.d AND r <= half GROUP BY h.d),
+    b AS (SELECT h.d, 'Bảng, trang PDF 2. Các ô cùng dòng thuộc cùng một bản ghi.' || CASE WHEN h.d % 3 = 0 THEN '' ELSE chr(10) || 'Tiêu đề nhóm cột: key | state' END || chr(10) || string_agg('Dòng ' || (r - half) || ': Cột 1: ' || k || ' | Cột 2: ' || s, chr(10) ORDER BY r) AS t FROM h JOIN o ON o.d = h.d AND r > half GROUP BY h.d),
+    c AS (SELECT d, 0 AS i, '1. Orders of ' || d AS heading, 'There are some of ' || d AS content FROM h UNION ALL SELECT d, 1, '1. Orders of ' || d, t FROM a
+          UNION ALL SELECT d, 2, '1. Orders of ' || d, 'The rest:' FROM h WHERE d % 3 = 0 UNION ALL SELECT d, 3, '1. Orders of ' || d, t FROM b
+          UNION ALL SELECT d, 4, '2. Picture:', 'Hình ảnh hoặc sơ đồ minh họa trong PDF, trang 2. Nội dung hình thuộc mục "2. Picture".' FROM h)
+    SELECT d AS doc_id, (row_number() OVER (PARTITION BY d ORDER BY i) - 1)::INTEGER AS chunk_index, heading, content FROM c"""
+)
+def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a two-page report on each customer: text, a table that goes on over the page's end, a picture."""
+    spans, segments, images = _report(spark, sf_dir)
+    tables = ruled.ruled_tables(segments, spans)
+    return assembly.assembled(spans, tables, images, size=100_000).select("doc_id", "chunk_index", "heading", "content")
