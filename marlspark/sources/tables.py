@@ -48,12 +48,12 @@ def read_category_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """A report as JSON lines, or as CSV with a header."""
-    writer = rows.write.mode("overwrite")
+    """A report as JSON lines, or as CSV with a header; CSV files begin with a byte order mark, for spreadsheets."""
     if kind == "csv":
-        writer.option("header", "true").csv(path)
-    else:
-        writer.json(path)
+        marked = rows.toDF(*[f"\ufeff{c}" if i == 0 else c for i, c in enumerate(rows.columns)])
+        marked.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+        return
+    rows.write.mode("overwrite").json(path)
 
 
 def require_dimension(rows: DataFrame, column: str, dimension: int) -> DataFrame:
