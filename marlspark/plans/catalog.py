@@ -42,16 +42,16 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT p_name, count(DISTINCT p_brand) AS colors FROM part GROUP BY p_name),
-    r AS (SELECT p_partkey, p_name, p_brand, p_type || '/' || p_size AS url, row_number() OVER (PARTITION BY p_name, p_type || '/' || p_size ORDER BY p_partkey) AS k FROM part)
-    SELECT r.p_name AS code, url, p_partkey, CASE WHEN colors = 1 THEN p_brand END AS color FROM r JOIN n USING (p_name) WHERE k = 1"""
+    """WITH p AS (SELECT p_partkey, p_partkey // 3 AS code, p_brand, p_type || '/' || p_size // 20 AS url FROM part), n AS (SELECT code, count(DISTINCT p_brand) AS colors FROM p GROUP BY code),
+    r AS (SELECT *, row_number() OVER (PARTITION BY code, url ORDER BY p_partkey) AS k FROM p)
+    SELECT code, url, p_partkey, CASE WHEN colors = 1 THEN p_brand END AS color FROM r JOIN n USING (code) WHERE k = 1"""
 )
 def image_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures by url, first one wins; a color only where the group has just one."""
-    rows = _parts(spark, sf_dir).select("p_partkey", "p_name", "p_brand", F.concat_ws("/", "p_type", "p_size").alias("url"))
-    first = rows.groupBy("p_name", "url").agg(F.min_by(F.struct("p_partkey", "p_brand"), "p_partkey").alias("x"))
-    colors = rows.groupBy("p_name").agg(F.count_distinct("p_brand").alias("colors"))
-    return first.join(colors, "p_name").select(F.col("p_name").alias("code"), "url", "x.p_partkey", F.when(F.col("colors") == 1, F.col("x.p_brand")).alias("color"))
+    rows = _parts(spark, sf_dir).select("p_partkey", F.floor(F.col("p_partkey") / 3).alias("code"), "p_brand", F.concat_ws("/", "p_type", F.floor(F.col("p_size") / 20)).alias("url"))
+    first = rows.groupBy("code", "url").agg(F.min_by(F.struct("p_partkey", "p_brand"), "p_partkey").alias("x"))
+    colors = rows.groupBy("code").agg(F.count_distinct("p_brand").alias("colors"))
+    return first.join(colors, "code").select("code", "url", "x.p_partkey", F.when(F.col("colors") == 1, F.col("x.p_brand")).alias("color"))
 
 
 DATES = f"""{VARIANTS}, s AS (SELECT code, l_partkey, strftime(min(l_shipdate), '%Y-%m-%d') AS created, coalesce(strftime(min(l_shipdate) FILTER (WHERE l_returnflag = 'R'), '%Y-%m-%d'), '') AS published, strftime(max(l_shipdate), '%Y-%m-%d') AS updated FROM v GROUP BY code, l_partkey)"""
@@ -73,12 +73,12 @@ def business_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VARIANTS} SELECT code, l_returnflag AS color, bool_or(l_quantity > 45) AS available, coalesce(string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) FILTER (WHERE l_quantity > 45), '') AS sizes FROM v GROUP BY ALL"""
+    f"""WITH {VARIANTS} SELECT l_partkey, l_returnflag AS color, bool_or(l_quantity > 45) AS available, coalesce(string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) FILTER (WHERE l_quantity > 45), '') AS sizes FROM v GROUP BY ALL"""
 )
 def availability_by_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a color is to be had, and in which sizes."""
     ok = F.col("l_quantity") > 45
-    return _variants(spark, sf_dir).groupBy("code", F.col("l_returnflag").alias("color")).agg(F.bool_or(ok).alias("available"), F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("l_linestatus")))), ",").alias("sizes"))
+    return _variants(spark, sf_dir).groupBy("l_partkey", F.col("l_returnflag").alias("color")).agg(F.bool_or(ok).alias("available"), F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("l_linestatus")))), ",").alias("sizes"))
 
 
 @query(

@@ -62,14 +62,14 @@ def dashboard_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT c_custkey, max(o_orderdate) AS last_scan FROM customer LEFT JOIN orders ON o_custkey = c_custkey
-    WHERE NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_custkey = c_custkey AND a.o_orderstatus = 'P')
+    WHERE NOT EXISTS (SELECT 1 FROM orders a WHERE a.o_custkey = c_custkey AND a.o_orderstatus = 'P' AND a.o_orderkey % 8 = 0)
     GROUP BY c_custkey HAVING max(o_orderdate) IS NULL OR max(o_orderdate) + INTERVAL 90 DAY <= {NOW}"""
 )
 def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources without a running job whose last scan is 90 days back, or that never had one."""
     jobs = read(spark, sf_dir, "orders")
     last = jobs.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_scan"))
-    running = jobs.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    running = jobs.where("o_orderstatus = 'P' AND o_orderkey % 8 = 0").select(F.col("o_custkey").alias("c_custkey"))
     rows = read(spark, sf_dir, "customer").select("c_custkey").join(running, "c_custkey", "left_anti").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
     return rows.where(F.col("last_scan").isNull() | (F.col("last_scan") + F.expr("INTERVAL 90 DAYS") <= _now())).select("c_custkey", "last_scan")
 
@@ -98,10 +98,10 @@ def jobs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("o_orderkey", "o_orderstatus", jobs.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total"))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'O') ORDER BY o_orderstatus = 'P' DESC, o_orderkey LIMIT 20")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' OR o_orderstatus = 'P' AND o_orderkey % 1024 = 0 ORDER BY o_orderstatus = 'P' DESC, o_orderkey LIMIT 20")
 def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of the queue: running jobs, then the oldest ids."""
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").where(F.col("o_orderstatus").isin("P", "O"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").where("o_orderstatus = 'O' OR o_orderstatus = 'P' AND o_orderkey % 1024 = 0")
     return rows.orderBy(F.desc(F.col("o_orderstatus") == "P"), "o_orderkey").limit(20)
 
 

@@ -236,13 +236,12 @@ def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey, n_name, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) THEN 'documents' WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'children' END AS refused FROM nation"""
+    """SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) THEN 'documents' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 2) THEN 'children' END AS refused FROM part"""
 )
 def taxonomy_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which groups may be deleted, and what forbids it for the others."""
-    key = lambda table, c: read(spark, sf_dir, table).withColumnRenamed(c, "n_nationkey")
-    documents = key("customer", "c_nationkey").where("c_acctbal > 9000")
-    return merge.deletable(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", documents=documents, children=key("supplier", "s_nationkey"))
+    uses = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    return merge.deletable(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", documents=uses.where("l_quantity > 49"), children=uses.where("l_quantity < 2"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE value END AS n, replace(replace(props, '\\', '\\\\'), '"', '\\"') AS escaped FROM events""")

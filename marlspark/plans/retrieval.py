@@ -120,6 +120,27 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuse(_lexical(spark, sf_dir, search.CANDIDATES), vector, search.TOP_K)
 
 
+@query(
+    f"""WITH {BM25}, b AS (SELECT query_id, doc_id, rank, score FROM k WHERE rank <= 20),
+    e2 AS (SELECT count(*) AS n FROM embeddings), t2 AS (SELECT query_id, doc_id % e2.n AS vec_id FROM b, e2 WHERE rank = 2),
+    v AS (SELECT t2.query_id, y.vec_id AS doc_id, round(greatest(-1, least(1, list_dot_product(CAST(z.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))), 6) AS score FROM t2 JOIN embeddings z ON z.vec_id = t2.vec_id, embeddings y),
+    x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v WHERE score >= 0.1) WHERE rank <= 20),
+    f AS (SELECT coalesce(b.query_id, x.query_id) AS query_id, coalesce(b.doc_id, x.doc_id) AS doc_id, b.rank AS bm25_rank, x.rank AS vector_rank, round(coalesce(1.0::DOUBLE / (60 + b.rank), 0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0), 9) AS rrf_score
+          FROM b FULL JOIN x ON b.query_id = x.query_id AND b.doc_id = x.doc_id),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM f)
+    SELECT * FROM g WHERE rank <= 10"""
+)
+def hybrid_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion where both branches meet: a query's vector is that of its second best document, so this and its neighbours come from both sides or either."""
+    lexical = _lexical(spark, sf_dir, search.CANDIDATES)
+    points = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    n = points.agg(F.count(F.lit(1)).alias("n")).scalar()
+    asked = lexical.where(F.col("rank") == 2).select("query_id", (F.col("doc_id") % n).alias("id")).join(points, "id").select("query_id", F.col("embedding").alias("vector"))
+    vector = search.vector_search(points, asked, search.CANDIDATES, 0.1)
+    fused = search.fuse(lexical, vector.select("query_id", F.col("id").alias("doc_id"), "rank", F.col("similarity").alias("score")), 10)
+    return fused.select("query_id", "doc_id", "bm25_rank", "vector_rank", "rrf_score", "rank")
+
+
 def _sources_hit(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     best = _lexical(spark, sf_dir, k)
     return best.join(_docs(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id")
@@ -198,13 +219,14 @@ FORM = "trim(regexp_replace(replace(strip_accents(lower(coalesce(text, ''))), '
 
 
 @query(
-    rf"""WITH f AS (SELECT conv_id, turn, {FORM} AS v FROM conversations)
+    rf"""WITH g AS (SELECT conv_id, turn, ['Chính sách đổi trả: ', 'Chi tiết ', 'Liệt kê ', 'có áo ở đâu ', ''][(conv_id + turn) % 5 + 1] || coalesce(text, '') AS text FROM conversations), f AS (SELECT conv_id, turn, {FORM} AS v FROM g)
     SELECT conv_id, turn, regexp_matches(v, '{text.POLICY}') AS policy, regexp_matches(v, '{text.POLICY}') OR regexp_matches(v, '{text.SECTION}') AS section,
            regexp_matches(v, '{text.LISTING}') OR regexp_matches(v, '{text.WHERE_IS}') AS document FROM f"""
 )
 def intent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which context each message asks for."""
-    form = text.query_form(F.col("text"))
+    """Which context each message asks for; most are opened with a phrase that asks for one."""
+    opening = F.get(F.array(*map(F.lit, ["Chính sách đổi trả: ", "Chi tiết ", "Liệt kê ", "có áo ở đâu ", ""])), ((F.col("conv_id") + F.col("turn")) % 5).cast("int"))
+    form = text.query_form(F.concat(opening, F.coalesce("text", F.lit(""))))
     return read(spark, sf_dir, "conversations").select(
         "conv_id", "turn", text.needs_policy(form).alias("policy"), text.needs_section(form).alias("section"), text.needs_document(form).alias("document")
     )
@@ -342,14 +364,18 @@ def bm25_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT conv_id, count(*) AS n, sum(length(text)) AS chars, max(length(text)) AS longest FROM conversations GROUP BY conv_id)
-    SELECT conv_id, CAST(n AS BIGINT) AS n, CAST(chars AS BIGINT) AS chars, n <= 12 AND longest BETWEEN 1 AND 20000 AND chars <= 24000 AS accepted FROM o"""
+    """WITH m AS (SELECT conv_id, trim(CASE WHEN conv_id % 9 = 4 AND turn = 1 THEN '   ' WHEN conv_id % 11 = 5 THEN repeat(text, 40) WHEN conv_id % 13 = 6 THEN repeat(text, 12) ELSE text END) AS text FROM conversations),
+    o AS (SELECT conv_id, count(*) AS n, sum(length(text)) AS chars, max(length(text)) AS longest, min(length(text)) AS shortest FROM m GROUP BY conv_id)
+    SELECT conv_id, CAST(n AS BIGINT) AS n, CAST(chars AS BIGINT) AS chars, CASE WHEN n > 12 THEN 'too_many' WHEN shortest < 1 THEN 'empty' WHEN longest > 20000 THEN 'too_long' WHEN chars > 24000 THEN 'too_long_together' ELSE 'ok' END AS state FROM o"""
 )
 def history_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which chat histories are within bounds: messages, length of each, length of all."""
-    size = F.length("text")
+    """Whether chat histories are within bounds: messages, each without outer blanks and not empty, length of each, length of all. Some have a blank message or longer ones."""
+    turn, c = F.col("text"), F.col("conv_id")
+    given = F.when((c % 9 == 4) & (F.col("turn") == 1), "   ").when(c % 11 == 5, F.repeat(turn, F.lit(40))).when(c % 13 == 6, F.repeat(turn, F.lit(12))).otherwise(turn)
+    size = F.length(F.trim(given))
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars"), F.max(size).alias("longest"), F.min(size).alias("shortest"))
-    return rows.select("conv_id", "n", "chars", ((F.col("n") <= 12) & F.col("longest").between(1, 20000) & (F.col("chars") <= 24000)).alias("accepted"))
+    state = F.when(F.col("n") > 12, "too_many").when(F.col("shortest") < 1, "empty").when(F.col("longest") > 20000, "too_long").when(F.col("chars") > 24000, "too_long_together").otherwise("ok")
+    return rows.select("conv_id", "n", "chars", state.alias("state"))
 
 
 @query(

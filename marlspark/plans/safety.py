@@ -57,12 +57,12 @@ def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT doc_id % 3 = 0 AS fresh, doc_id % 400 AS id, coalesce(source, '-') || CASE WHEN doc_id % 5 = 0 THEN '/x' ELSE '' END AS key FROM documents)
+    """WITH k AS (SELECT doc_id % 3 = 0 AS fresh, doc_id % 400 AS id, coalesce(source, '-') || CASE WHEN doc_id % 7 = 0 THEN '/x' ELSE '' END AS key FROM documents)
     SELECT id, count(DISTINCT key) AS keys FROM k GROUP BY id HAVING count(DISTINCT key) > 1"""
 )
 def document_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that stand for several source keys, among documents that are there and those that come."""
-    key = F.concat(F.coalesce("source", F.lit("-")), F.when(F.col("doc_id") % 5 == 0, "/x").otherwise(""))
+    key = F.concat(F.coalesce("source", F.lit("-")), F.when(F.col("doc_id") % 7 == 0, "/x").otherwise(""))
     rows = read(spark, sf_dir, "documents").select((F.col("doc_id") % 400).alias("id"), key.alias("key"), (F.col("doc_id") % 3 == 0).alias("fresh"))
     return merge.id_collisions(rows.where("NOT fresh"), rows.where("fresh"), "id", "key")
 
