@@ -12,7 +12,7 @@ from marlspark.plans import base
 from marlspark.plans import files as intake
 from marlspark.plans.base import query, read
 from marlspark.sources.shared import scratch
-from marlspark.streaming import changes
+from marlspark.streaming import changes, triggers
 from marlspark.streaming import versions as version_state
 from marlspark.streaming.checkpoints import Checkpoints, in_window
 from marlspark.streaming.table import DurableTable, synchronise
@@ -130,3 +130,27 @@ def stream_version_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, write = changes.append_to(spark, "version-state")
     changes.run_to_end(version_state.judged(rows), write, "version-state", "update", settings=dict([version_state.STORE]))
     return spark.read.schema("file_id long, outcome string").parquet(f"{path}/batch=*")
+
+
+@query(
+    """WITH RECURSIVE o AS (
+      SELECT user_id AS source, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+        CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'request' ELSE 'look' END WHEN 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 'disable' ELSE 'enable' END ELSE 'look' END AS kind FROM events),
+    s AS (
+      SELECT source, 0::BIGINT AS n, NULL::BIGINT AS tm, NULL::BIGINT AS ls, NULL::BIGINT AS ra, false AS running, false AS requested, true AS enabled, NULL::VARCHAR AS trig FROM (SELECT DISTINCT source FROM o)
+      UNION ALL
+      SELECT source, n, tm, ls, ra, running OR trig IS NOT NULL, requested AND trig IS NULL, enabled, trig FROM (
+        SELECT *, CASE WHEN running THEN NULL WHEN requested THEN 'manual' WHEN enabled AND (ls IS NULL OR tm >= ls + 43200000000) AND NOT coalesce(ra > tm, false) THEN 'scheduled' END AS trig FROM (
+          SELECT o.source, o.n, o.tm, CASE WHEN s.running AND kind = 'done' THEN o.tm ELSE s.ls END AS ls, CASE WHEN s.running AND kind = 'done' THEN NULL WHEN s.running AND kind = 'failed' THEN o.tm + 86400000000 ELSE s.ra END AS ra,
+            s.running AND kind NOT IN ('done', 'failed') AS running, s.requested OR kind = 'request' AS requested, CASE kind WHEN 'enable' THEN true WHEN 'disable' THEN false ELSE s.enabled END AS enabled
+          FROM s JOIN o ON o.source = s.source AND o.n = s.n + 1)))
+    SELECT source, tm AS began, trig AS trigger FROM s WHERE trig IS NOT NULL"""
+)
+def trigger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When runs of each source begin, replayed over events that request, finish, fail and switch them."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    named = F.when(kind == "purchase", "done").when(kind == "error", "failed").when((kind == "click") & (i % 3 == 0), "request").when(kind == "signup", F.when(i % 4 == 0, "disable").otherwise("enable")).otherwise("look")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), i.alias("seq"), named.alias("kind"))
+    path, write = changes.append_to(spark, "triggers")
+    changes.run_to_end(triggers.runs(rows, 12, 1440), write, "triggers", "update", settings=dict([version_state.STORE]))
+    return spark.read.schema("source long, at long, trigger string").parquet(f"{path}/batch=*").withColumnRenamed("at", "began")

@@ -1,12 +1,13 @@
 """Durable tables over restarts, syncs that may fail, and version state over any split of a stream."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from marlspark.sources.manifest import Manifests
-from marlspark.streaming import changes, versions
+from marlspark.streaming import changes, triggers, versions
 from marlspark.streaming.table import DurableTable, synchronise
 
 SCHEMA = "k int, at int, v string, gone boolean, digest string"
@@ -129,3 +130,45 @@ def test_versions_over_any_split(spark, tmp_path):
         changes.run_to_end(versions.judged(stream), write, "versions-test", "update", settings=dict([versions.STORE]))
         found = spark.read.parquet(f"{path}/batch=*")
         assert [r.outcome for r in found.orderBy(F.col("file_id")).collect()] == want
+
+
+def test_triggers_by_a_memory_clock():
+    minute, hour = triggers.MINUTE, 60 * triggers.MINUTE
+    state, kind = triggers.claim(triggers.Trigger(), 0)
+    assert kind == "scheduled" and state.running and triggers.next_due(state, 0) is None
+    assert triggers.claim(triggers.apply(state, "request", 1), 1)[1] is None  # a running run isn't overridden
+    failed = triggers.apply(state, "failed", 10 * minute)
+    assert triggers.claim(failed, 24 * minute)[1] is None and triggers.next_due(failed, 11 * minute) == 25 * minute
+    assert triggers.claim(failed, 25 * minute)[1] == "scheduled"
+    asked = triggers.apply(failed, "request", 12 * minute)
+    state, kind = triggers.claim(asked, 12 * minute)
+    assert kind == "manual" and not state.requested
+    done = triggers.apply(state, "done", 20 * minute)
+    assert done.retry_after is None and triggers.next_due(done, 21 * minute) == 20 * minute + 6 * hour
+    assert triggers.claim(done, 6 * hour)[1] is None and triggers.claim(done, 6 * hour + 20 * minute)[1] == "scheduled"
+    off = triggers.apply(done, "disable", 30 * minute)
+    assert triggers.next_due(off, 0) is None and triggers.claim(off, 99 * hour)[1] is None and triggers.claim(triggers.apply(off, "request", 0), 0)[1] == "manual"
+    assert triggers.apply(done, "failed", 40 * minute) == done  # no run was on
+    with pytest.raises(ValueError):
+        triggers.apply(done, "other", 0)
+
+
+def test_a_timer_begins_a_run_without_an_event(spark, tmp_path):
+    """A run that ended six hours, less two seconds, ago comes due by the clock."""
+    now = int(time.time() * 1_000_000)
+    start = now - 6 * 60 * triggers.MINUTE + 2_000_000
+    schema = "source long, at long, seq long, kind string"
+    spark.createDataFrame([(1, start - 1, 0, "look"), (1, start, 1, "done"), (2, start, 2, "disable")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set(*versions.STORE)
+    found = []
+    try:
+        stream = triggers.runs(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), timers=True)
+        query = stream.writeStream.foreachBatch(lambda rows, n: found.extend(map(tuple, rows.collect()))).outputMode("update").option("checkpointLocation", str(tmp_path / "offsets")).trigger(processingTime="1 second").start()
+        until = time.time() + 60
+        while len(found) < 2 and time.time() < until and query.isActive:
+            time.sleep(0.5)
+        query.stop()
+    finally:
+        spark.conf.unset(versions.STORE[0])
+    assert [(s, k) for s, _, k in found] == [(1, "scheduled"), (1, "scheduled")]
+    assert found[0][1] == start - 1 and start + 6 * 60 * triggers.MINUTE <= found[1][1] < now + 70_000_000
