@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspark.plans import base, catalog, details, files, images, indexed, metadata, reconcile, requests, retrieval, safety, streams, structures, text  # noqa: F401  the modules register their queries
+from marlspark.plans import base, catalog, details, files, images, indexed, metadata, reconcile, requests, retrieval, safety, shown, streams, structures, text  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlspark.functions import schema
-from marlspark.operators import chunking, folders, pages, ruled, search
+from marlspark.operators import chunking, folders, pages, rows, ruled, search
 from marlspark.plans.structures import DRAFT
 
 
 def test_levels_with_cycles_and_depth(spark):
-    rows = [("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("s", "s"), ("q", "t"), ("t", "q")]
-    items = spark.createDataFrame([(i, p, i.upper()) for i, p in rows], "id string, parent string, name string")
+    listed = [("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("s", "s"), ("q", "t"), ("t", "q")]
+    items = spark.createDataFrame([(i, p, i.upper()) for i, p in listed], "id string, parent string, name string")
     roots = spark.createDataFrame([("r",), ("q",), ("none",)], "id string")
     got = {(r.root, r.id): (r.depth, "/".join(r.path)) for r in folders.levels(items, roots).collect()}
     assert got == {("r", "r"): (0, ""), ("r", "a"): (1, "A"), ("r", "b"): (2, "A/B"), ("r", "c"): (3, "A/B/C"), ("q", "q"): (0, ""), ("q", "t"): (1, "T"), ("none", "none"): (0, "")}
@@ -27,19 +27,19 @@ def test_schema_paths(spark):
         ('{"sufficient": true, "statements": {}}', "$.statements"), ('{"sufficient": true, "statements": [{"text": "a", "ids": [1, 2.0]}]}', None), ('{"sufficient": true, "statements": [{"text": "a", "ids": [0]}]}', "$.statements[0].ids[0]"),
         ('{"sufficient": true, "statements": [{"text": "a", "ids": [1]}, {"text": 5, "ids": [1]}]}', "$.statements[1].text"), ('{"sufficient": true, "statements": [], "b": 1, "a": 2}', "$.a"),
     ]
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
-    got = [r.path for r in rows.select("i", schema.first_failure(F.col("t"), DRAFT).alias("path")).orderBy("i").collect()]
+    given = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = [r.path for r in given.select("i", schema.first_failure(F.col("t"), DRAFT).alias("path")).orderBy("i").collect()]
     assert got == [want for _, want in cases]
     simple = schema.simplify(DRAFT)
     assert "maxItems" in json.dumps(DRAFT) and not any(k in json.dumps(simple) for k in schema.LENGTHS)
     assert schema.spark_type(DRAFT) == "struct<`sufficient`: boolean, `statements`: array<struct<`text`: string, `ids`: array<bigint>>>>"
-    good = rows.where("i = 8").select(F.from_json("t", schema.spark_type(simple)).alias("x")).first()["x"]
+    good = given.where("i = 8").select(F.from_json("t", schema.spark_type(simple)).alias("x")).first()["x"]
     assert good["sufficient"] is True and good["statements"][0]["ids"][0] == 0
 
 
 def test_pages_cost_the_parts_they_need(spark):
-    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("m")).where("k % 3 <> 1").repartition(5)
-    stored = pages.KeyedPages(rows, "k", 50)
+    thousand = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("m")).where("k % 3 <> 1").repartition(5)
+    stored = pages.KeyedPages(thousand, "k", 50)
     keys = [k for k in range(1000) if k % 3 != 1]
     page, cursor = stored.page(20)
     assert [r.k for r in page] == keys[:20] and pages.decode_cursor(cursor) == keys[20] and len(stored.read) == 1
@@ -51,7 +51,7 @@ def test_pages_cost_the_parts_they_need(spark):
         seen += [r.k for r in page]
     assert seen == [k for k in keys if k % 7 < 4 and k % 5 == 0]
     assert pages.decode_cursor(pages.encode_cursor({"offset": "ä", "exclude_point_id": "ä"})) == {"offset": "ä", "exclude_point_id": "ä"} and pages.encode_cursor(None) is None
-    assert pages.KeyedPages(rows.limit(0), "k").page(5) == ([], None)
+    assert pages.KeyedPages(thousand.limit(0), "k").page(5) == ([], None)
 
 
 SPAN = "doc_id int, page int, x1 double, y1 double, x2 double, y2 double, text string, bold boolean"
@@ -95,3 +95,10 @@ def test_outline_of_many_lines(spark):
     began = time.perf_counter()
     assert chunking.heading_rows(docs).count() == 100
     assert time.perf_counter() - began < 60
+
+
+def test_lookup_by_a_code_that_must_be_unique(spark):
+    points = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, None)], "id int, code string")
+    assert {tuple(r) for r in rows.one_of_each(points, "code").collect()} == {(1, "a"), (2, "b")}
+    with pytest.raises(Exception, match="several rows of b"):
+        rows.one_of_each(points.unionAll(points.where("id = 2")), "code").collect()
