@@ -120,3 +120,24 @@ def resolved_scopes(requests: DataFrame, types: DataFrame, groups: DataFrame) ->
     told = met.withColumn("state", state)
     chosen = F.when(F.col("groups").isNotNull(), F.col("asked")).when(typed, F.col("every"))
     return told.select("k", "type_id", "groups", "state", F.when(F.col("state") == "OK", chosen).alias("categories"))
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+    """The rows less those whose key is in `ids` (column `key`) and those for which `where` holds; a null condition removes nothing."""
+    left = rows if ids is None else rows.join(ids.select(key).distinct(), key, "left_anti").select(*rows.columns)
+    return left if where is None else left.where(~F.coalesce(where, F.lit(False)))
+
+
+def chosen(rows: DataFrame, **wanted: object) -> DataFrame:
+    """Rows whose columns have the wanted values; a wanted null doesn't ask."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == F.lit(value))
+    return rows
+
+
+def created(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """`new` with `conflict`: whether the key is there already, or an earlier row of `new` takes it. The others can be created."""
+    there = existing.select(key).distinct().withColumn("_there", F.lit(True))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return new.withColumn("_first", first == 1).join(there, key, "left").withColumn("conflict", F.col("_there").isNotNull() | ~F.col("_first")).drop("_there", "_first")

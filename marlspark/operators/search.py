@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspark.functions import numeric, text
+from marlspark.sources.shared import scratch
 
 K1, B, RRF_K, CANDIDATES, TOP_K, MIN_SIMILARITY = 1.5, 0.75, 60, 20, 5, 0.45
 #: Query vectors in a block, which is sent to every task.
@@ -22,19 +23,27 @@ def in_group(group: Column, category: Column, wanted: Column | int, categories:
     return F.coalesce(F.when(group.isNull(), category.isin(categories)).otherwise(text.clean(group).try_cast("long") == wanted), F.lit(False))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again, as it is used more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, keep: object = None) -> DataFrame:
     """Top `k` (query_id, doc_id, score, rank); docs: doc_id, text; queries: query_id, query.
 
     Counts over the corpus (documents, mean length, document frequency) are of all documents. `keep`
-    filters the candidates only, after the counts.
+    filters the candidates only, after the counts. Tokens are worked out once and written; searches that
+    come again and again are better served by `search_index`.
     """
-    tokenised = docs.withColumn("terms", text.tokens(F.col("text"))).withColumn("dl", F.size("terms"))
+    terms = docs.select(*[c for c in docs.columns if c != "text"], text.tokens(F.col("text")).alias("terms"))
+    tokenised = stored(terms.withColumn("dl", F.size("terms")), "tokens")
     lengths = tokenised.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # Only terms that some query asks for leave the scan; lengths travel with them. The outer form keeps
-    # Spark from tokenising once more to find texts without terms.
-    postings = tokenised.select("doc_id", "dl", *extra, F.explode_outer("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # Only terms that some query asks for leave the scan; lengths travel with them.
+    postings = tokenised.select("doc_id", "dl", *extra, F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     counted = postings.groupBy("term", "doc_id", "dl", *extra).agg(F.count(F.lit(1)).alias("tf"))
     # Counting rows by their tf keeps this branch's plan equal to the scoring one, so its shuffle is reused.
     frequency = counted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))

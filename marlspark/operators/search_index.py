@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspark.functions import numeric, text
-from marlspark.operators.search import B, K1, top_per_query
+from marlspark.operators.search import B, K1, stored, top_per_query
 from marlspark.sources.manifest import Manifests, Revision
 from marlspark.sources.shared import scratch
 
@@ -100,7 +100,7 @@ class Snapshot:
         asked = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
         known = self._all("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         weight = numeric.idf(F.lit(float(self.content["docs"])), F.col("df"))
-        weights = _kept(asked.join(known, "term").select("query_id", "term", weight.alias("weight")), "index-weights")
+        weights = stored(asked.join(known, "term").select("query_id", "term", weight.alias("weight")), "index-weights")
         buckets = [r[0] for r in weights.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS numbers at most
         blocks = self._all("blocks").where(F.col("bucket").isin(buckets))
         if keep is not None:
@@ -109,7 +109,7 @@ class Snapshot:
         part = lambda tf, dl, w: numeric.bm25_term(tf, dl, mean, w, K1, B)
         bound = F.array_max(F.transform("best", lambda x: part(x["tf"], x["dl"], F.col("weight"))))
         directory = blocks.select("term", "level", "range", "best").join(weights, "term")
-        sums = _kept(directory.groupBy("query_id", "level", "range").agg(F.sum(bound).alias("bound"), F.count(F.lit(1)).alias("blocks")), "index-bounds")
+        sums = stored(directory.groupBy("query_id", "level", "range").agg(F.sum(bound).alias("bound"), F.count(F.lit(1)).alias("blocks")), "index-bounds")
 
         def scored(ranges: DataFrame) -> DataFrame:
             wanted = ranges.select("query_id", "level", "range").join(weights, "query_id")
@@ -120,24 +120,17 @@ class Snapshot:
 
         best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "level", "range")
         ranked = sums.withColumn("n", F.row_number().over(best))
-        first = _kept(ranked.where(F.col("n") <= FIRST_RANGES).drop("n"), "index-first")
-        early = _kept(top_per_query(scored(first), k, "score", "doc_id").drop("rank"), "index-early")
+        first = stored(ranked.where(F.col("n") <= FIRST_RANGES).drop("n"), "index-first")
+        early = stored(top_per_query(scored(first), k, "score", "doc_id").drop("rank"), "index-early")
         threshold = early.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k).drop("n")
         others = sums.join(first, ["query_id", "level", "range"], "left_anti").join(threshold, "query_id", "left")
-        second = _kept(others.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - MARGIN)).drop("least"), "index-second")
+        second = stored(others.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - MARGIN)).drop("least"), "index-second")
         hits = top_per_query(early.unionByName(scored(second)), k, "score", "doc_id")
         read = first.unionByName(second).groupBy("query_id").agg(F.sum("blocks").alias("read"))
         touched = sums.groupBy("query_id").agg(F.sum("blocks").alias("blocks")).join(read, "query_id")
         return Found(hits, touched)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written and read again, as it is used more than once."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class SearchIndex:
     """An index in a folder that all executors share."""
 
@@ -208,7 +201,7 @@ class SearchIndex:
         ids = docs.select("doc_id") if removed is None else docs.select("doc_id").unionByName(removed.select("doc_id"))
         ids.distinct().write.parquet(f"{path}/changed")
         ids = self.spark.read.parquet(f"{path}/changed")
-        gone = _kept(now.documents().join(ids, "doc_id", "left_semi").select("dl", "terms"), "index-gone")
+        gone = stored(now.documents().join(ids, "doc_id", "left_semi").select("dl", "terms"), "index-gone")
         signed = docs.select("dl", "terms", F.lit(1).alias("sign")).unionByName(gone.withColumn("sign", F.lit(-1)))
         terms = signed.select("sign", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("sign").alias("df"))
         terms.where("df <> 0").write.parquet(f"{path}/terms")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspark.sources.shared import scratch
+from marlspark.operators.search import stored, top_per_query
 
 CELLS, RINGS = 128, 64
 SAMPLE_POINTS = 10_000
@@ -59,12 +59,6 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Cells:
     """Points (id, embedding, cell, ring, slot) in a table, and what queries need to know of the rings."""
@@ -89,7 +83,7 @@ class Cells:
                 ring = np.minimum((_angle(dots[np.arange(len(cell)), cell]) * (rings / np.pi)).astype(np.int64), rings - 1)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(cell.astype(np.int32)), pa.array(ring.astype(np.int32))], ["id", "embedding", "cell", "ring"])
 
-        placed = _kept(good.mapInArrow(place, "id long, embedding array<double>, cell int, ring int"), "cell-points")
+        placed = stored(good.mapInArrow(place, "id long, embedding array<double>, cell int, ring int"), "cell-points")
         counts = placed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n")).withColumn("slots", F.ceil(F.col("n") / part_points).cast("int"))
         told = np.array([tuple(r) for r in counts.orderBy("cell", "ring").collect()], dtype=np.int64).reshape(-1, 4)  # CELLS * RINGS rows at most
         dealt = placed.join(F.broadcast(counts.select("cell", "ring", "slots")), ["cell", "ring"])
@@ -156,15 +150,13 @@ class Cells:
 
     def search(self, queries: DataFrame, k: int, least: float | None = None, rings: int = RINGS, first_points: int = FIRST_POINTS, part_queries: int = PART_QUERIES) -> tuple[DataFrame, DataFrame]:
         """(query_id, id, similarity, rank) of the k nearest, of at least `least`; and (query_id, compared), the points each query met."""
-        from marlspark.operators.search import top_per_query
-
         dimension, floor = self.centres.shape[1], -2.0 if least is None else least
         asked = queries.where((F.size("vector") == dimension) & ~F.exists("vector", lambda x: x.isNull())).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
         none = asked.withColumn("threshold", F.lit(None).cast("double"))
-        first = _kept(self._visits(none, dimension, rings, True, first_points, floor), "cell-first")
-        early = _kept(top_per_query(self._met(first, dimension, k, floor, part_queries), k, "similarity", "id").drop("rank"), "cell-early")
+        first = stored(self._visits(none, dimension, rings, True, first_points, floor), "cell-first")
+        early = stored(top_per_query(self._met(first, dimension, k, floor, part_queries), k, "similarity", "id").drop("rank"), "cell-early")
         full = early.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("threshold")).where(F.col("n") == k).drop("n")
-        second = _kept(self._visits(asked.join(full, "query_id", "left"), dimension, rings, False, first_points, floor), "cell-second")
+        second = stored(self._visits(asked.join(full, "query_id", "left"), dimension, rings, False, first_points, floor), "cell-second")
         hits = top_per_query(early.unionByName(self._met(second, dimension, k, floor, part_queries)), k, "similarity", "id")
         sizes = pd.DataFrame(self.rings, columns=["cell", "ring", "n", "slots"])
         spark: SparkSession = queries.sparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspark.functions import numeric
-from marlspark.operators import search
+from marlspark.operators import image_search, search
 from marlspark.plans.base import query, read
 
 POINTS = """
@@ -136,3 +136,30 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x1, y1 = size / 100, size / 120
     box = numeric.crop_box(x1, y1, F.least(F.lit(1.3), x1 + price / 4000), y1 + price / 5000, F.lit(640), F.lit(480))
     return read(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", F.col("b.left").alias("crop_left"), F.col("b.bottom").alias("crop_bottom"))
+
+
+TOP50 = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS n FROM v {0}) WHERE n <= 50"
+BEST = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product) AS rank FROM (SELECT query_id, product, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, product ORDER BY similarity DESC, id) AS m FROM {0}) WHERE m = 1)"
+SURE = "SELECT query_id FROM {0} GROUP BY query_id HAVING max(similarity) >= 0.88 AND max(similarity) - coalesce(max(similarity) FILTER (WHERE rank = 2), 0) >= 0.08"
+
+
+@query(
+    f"""WITH {POINTS.replace("p.vec_id <> q.vec_id", "(p.vec_id <> q.vec_id OR q.vec_id % 60 = 0)")},
+    g1 AS ({TOP50.format("")}), c1 AS ({TOP50.format("WHERE label = query_label")}), kg AS ({BEST.format("g1")}), sg AS ({SURE.format("kg")}),
+    u1 AS (SELECT query_id, product, id, similarity FROM g1 UNION ALL SELECT query_id, product, id, similarity FROM c1 WHERE query_id NOT IN (SELECT query_id FROM sg)),
+    ku AS ({BEST.format("u1")}), su AS ({SURE.format("ku")}), kc AS ({BEST.format("c1")}),
+    o1 AS (SELECT DISTINCT query_id FROM ku WHERE query_id NOT IN (SELECT query_id FROM sg) AND query_id NOT IN (SELECT query_id FROM su)),
+    x1 AS (SELECT query_id, product, min(offer) AS offer FROM (SELECT query_id, product, 1000 + rank AS offer FROM kg WHERE rank <= 5 UNION ALL SELECT query_id, product, 2000 + rank FROM kc WHERE rank <= 3 UNION ALL SELECT query_id, product, 3000 + rank FROM ku WHERE rank <= 16) WHERE query_id IN (SELECT query_id FROM o1) GROUP BY ALL),
+    s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY offer) AS slot FROM x1) WHERE slot <= 8),
+    j1 AS (SELECT query_id, product, score, score >= 0.65 AND visual >= 0.5 AS eligible FROM (SELECT *, round(similarity * 0.55 + visual * 0.45, 6) AS score FROM (SELECT s1.query_id, s1.product, similarity, CAST((id * 7 + s1.query_id) % 101 AS DOUBLE) / 100 AS visual FROM s1 JOIN ku ON ku.query_id = s1.query_id AND ku.product = s1.product))),
+    m1 AS (SELECT ku.query_id, ku.product, ku.similarity, ku.rank, score, coalesce(eligible, false) AS eligible, ku.query_id IN (SELECT query_id FROM o1) AS verified FROM ku LEFT JOIN j1 ON j1.query_id = ku.query_id AND j1.product = ku.product),
+    n1 AS (SELECT *, CASE WHEN verified THEN NOT bool_or(eligible) OVER (PARTITION BY query_id) ELSE NOT bool_or(similarity >= 0.25) OVER (PARTITION BY query_id) END AS low_confidence,
+             row_number() OVER (PARTITION BY query_id ORDER BY eligible DESC, CASE WHEN eligible THEN score END DESC NULLS LAST, rank) AS spot FROM m1),
+    p1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS place FROM n1 WHERE CASE WHEN low_confidence THEN spot <= 3 ELSE similarity >= 0.25 END)
+    SELECT query_id, CAST(place AS INTEGER) AS place, product, similarity, verified, low_confidence FROM p1 WHERE place <= 8"""
+)
+def picture_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by picture from first hits to what is shown; the second opinion is a stand-in from the ids, and every third query has its own picture among the points."""
+    scores = _scores(spark, sf_dir, 60)
+    visual = lambda rows: ((rows["id"] * 7 + rows["query_id"]) % 101).cast("double") / 100
+    return image_search.search_by_picture(scores, scores.where(F.col("label") == F.col("query_label")), visual, 0.25)

@@ -109,3 +109,15 @@ def assets_to_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = web.asset_name((page % 9).cast("int"), (F.floor(page / 60) + 1).cast("int"), F.sha2("url", 256))
     stored = read(spark, sf_dir, "pages").select((page % 60).alias("document_id"), name.alias("name"), page)
     return merge.prunable(stored, stored.where("page_id % 4 <> 1"), ["document_id", "name"]).select("document_id", "name")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT 'c' || p_partkey % 50 AS code FROM part WHERE p_partkey % 3 = 0), n AS (SELECT p_partkey, 'c' || p_partkey % 970 AS code FROM part WHERE p_partkey % 3 <> 0)
+    SELECT p_partkey, code, code IN (SELECT code FROM e) OR row_number() OVER (PARTITION BY code ORDER BY p_partkey) > 1 AS conflict FROM n"""
+)
+def taxonomy_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which categories can be created, as each code is given once."""
+    key = F.col("p_partkey")
+    parts = read(spark, sf_dir, "part")
+    there = parts.where(key % 3 == 0).select(F.concat(F.lit("c"), key % 50).alias("code"))
+    return merge.created(there, parts.where(key % 3 != 0).select(key, F.concat(F.lit("c"), key % 970).alias("code")), "code", "p_partkey").select("p_partkey", "code", "conflict")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspark.operators import rows
+from marlspark.operators import merge, rows
 from marlspark.plans.base import query, read
+from marlspark.sources import tables
 
 
 @query(
@@ -66,3 +67,42 @@ def import_compensation(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = after.select(F.col("id").alias("import_id"), F.col("active").alias("new_active"))
     before = after.select((F.col("id") - 1_000_000_000).alias("import_id"), F.col("active").alias("old_active"))
     return states.join(new, "import_id", "left").join(before, "import_id", "left")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, list_filter(list_transform([CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE ' A' || p_size || ' ' END, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'B' || p_size END, CASE WHEN p_partkey % 7 = 0 THEN 'C' || p_size END], lambda v: trim(v)), lambda v: v <> '') AS codes FROM part)
+    SELECT p_partkey, codes[1] AS code, len(codes) = 0 AS skipped FROM p"""
+)
+def first_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code that each product is grouped by, the first variant's that isn't blank; products without one are skipped."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    skus = [F.when(key % 2 == 0, "  ").otherwise(F.concat(F.lit(" A"), size, F.lit(" "))), F.when(key % 3 != 0, F.concat(F.lit("B"), size)), F.when(key % 7 == 0, F.concat(F.lit("C"), size))]
+    products = read(spark, sf_dir, "part").select(key, F.struct(F.array(*[F.struct(s.cast("string").alias("sku")) for s in skus]).alias("nodes")).alias("variants"))
+    return tables.product_code(products).select("p_partkey", F.col("product_code").alias("code"), F.col("product_code").isNull().alias("skipped"))
+
+
+LISTED = "l AS (SELECT d.doc_id, coalesce('page ' || p.page_id, d.source) AS title, d.lang, coalesce(x.quality, 1) = 1 AS active FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN labels x ON x.doc_id = d.doc_id)"
+
+
+@query(
+    f"""WITH {LISTED} SELECT 'all' AS asked, doc_id, title FROM l UNION ALL SELECT 'german', doc_id, title FROM l WHERE lang = 'de' UNION ALL SELECT 'active french', doc_id, title FROM l WHERE lang = 'fr' AND active UNION ALL SELECT 'put out of use', doc_id, title FROM l WHERE NOT active"""
+)
+def document_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the file's title over their own, by what a caller asks for of language and state."""
+    files = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("page "), "page_id").alias("file_title"))
+    state = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows_ = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(files, "doc_id", "left").join(state, "doc_id", "left")
+    listed = rows_.select("doc_id", F.coalesce("file_title", "source").alias("title"), "lang", (F.coalesce("quality", F.lit(1)) == 1).alias("active"))
+    asked = {"all": (None, None), "german": ("de", None), "active french": ("fr", True), "put out of use": (None, False)}
+    out = None
+    for name, (lang, active) in asked.items():
+        part = merge.chosen(listed, lang=lang, active=active).select(F.lit(name).alias("asked"), "doc_id", "title")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND coalesce(lang, '') <> 'es'")
+def points_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left when some ids and all of one language are deleted."""
+    gone = read(spark, sf_dir, "labels").where("quality = 0")
+    return merge.without(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", gone, F.col("lang") == "es").select("doc_id")

@@ -86,6 +86,33 @@ def chunk_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.adaptive_chunks(_docs(spark, sf_dir))
 
 
+BLANK = r"[\s\p{Z}]+"
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(text, '{BLANK}', '', 'g')) AS said, true AS fits, true AS numbered FROM documents WHERE regexp_replace(text, '{BLANK}', '', 'g') <> ''")
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each document, put together, say what it says, white space aside; none is too long, and they are numbered from 0."""
+    pieces = chunking.recursive_chunks(_docs(spark, sf_dir))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: F.regexp_replace(x["content"], BLANK, "")), "")
+    sums = pieces.groupBy("doc_id").agg(F.sha2(said, 256).alias("said"), (F.max(F.length("content")) <= chunking.SIZE).alias("fits"), (F.max("chunk_index") + 1 == F.count(F.lit(1))).alias("numbered"))
+    return sums.select("doc_id", "said", "fits", "numbered")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, trim(replace(text, chr(10), ' '), ' ') AS t FROM documents), n AS (SELECT doc_id, t, length(t) AS n FROM d WHERE length(t) > 0)
+    SELECT doc_id, true AS inside, true AS reaches, true AS fits, n <= 1200 AS single FROM n"""
+)
+def fixed_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of each document as one line: all are parts of it, the first begins and the last ends it, none is too long, and a short one is its only window."""
+    line = F.btrim(F.translate("text", "\n", " "), F.lit(" "))
+    docs = _docs(spark, sf_dir).select("doc_id", line.alias("text"))
+    windows = chunking.fixed_chunks(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("w"))
+    met = windows.join(docs, "doc_id")
+    first, last = F.get("w", F.lit(0))["content"], F.element_at("w", -1)["content"]
+    inside = F.forall("w", lambda x: F.contains(F.col("text"), x["content"]))
+    return met.select("doc_id", inside.alias("inside"), (F.startswith("text", first) & F.endswith("text", last)).alias("reaches"), F.forall("w", lambda x: F.length(x["content"]) <= chunking.SIZE).alias("fits"), (F.size("w") == 1).alias("single"))
+
+
 @query()
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections, units and thresholds that breaking by meaning meets in each document."""

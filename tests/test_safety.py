@@ -60,7 +60,7 @@ def test_free_names(spark):
 
 
 def test_reports_begin_with_a_mark(spark, tmp_path):
-    rows = spark.createDataFrame([("ä", 1)], "name string, n int")
+    rows = spark.createDataFrame([("ä", 1)], "name string, n int").coalesce(1)
     tables.write_report(rows, str(tmp_path / "csv"), "csv")
     part = next((tmp_path / "csv").glob("part-*"))
     assert part.read_bytes().startswith(b"\xef\xbb\xbf") and part.read_text("utf-8-sig").split("\n")[:2] == ["name,n", "ä,1"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlspark.functions import schema
-from marlspark.operators import chunking, folders, pages, rows, ruled, search
+from marlspark.operators import assembly, chunking, folders, pages, rows, ruled, search
 from marlspark.plans.structures import DRAFT
 
 
@@ -102,3 +102,33 @@ def test_lookup_by_a_code_that_must_be_unique(spark):
     assert {tuple(r) for r in rows.one_of_each(points, "code").collect()} == {(1, "a"), (2, "b")}
     with pytest.raises(Exception, match="several rows of b"):
         rows.one_of_each(points.unionAll(points.where("id = 2")), "code").collect()
+
+
+LINE = "doc_id int, page int, line int, span int, text string, size double, bold boolean, x1 double, y1 double, x2 double, y2 double, page_height double"
+TABLE = "doc_id int, page int, table int, x1 double, y1 double, x2 double, y2 double, row int, line string, header string"
+
+
+def test_assembly_of_pages(spark):
+    """Rows are packed whole, headers carried over a page's end only where nothing stands between, footers dropped."""
+    text = lambda doc, page, line, said, y, bold=False: (doc, page, line, 0, said, 10.0, bold, 20.0, y, 90.0, y + 8, 1000.0)
+    lines = [
+        text(1, 1, 1, "1. First:", 10.0, True), text(1, 1, 2, "body one", 30.0), text(1, 1, 3, "in the table", 105.0), text(1, 1, 4, "12", 950.0), text(1, 2, 1, "after", 300.0), text(1, 2, 2, "2. Second:", 400.0, True),
+        text(1, 3, 1, "between", 20.0), text(2, 1, 1, "only a line", 10.0),
+    ]
+    row = lambda page, n, said, header, y=100.0, x2=200.0: (1, page, 0, 10.0, y, x2, y + 50, n, f"Dòng {n}: {said}", header)
+    tables = [row(1, 1, "a | b", "a | b"), row(1, 2, "x" * 30, "a | b"), row(1, 3, "y" * 200, "a | b"), row(2, 1, "goes on", "", 50.0, 202.0), row(2, 2, "c | d", "c | d", 50.0, 202.0), row(3, 1, "anew", "", 60.0)]
+    images = spark.createDataFrame([(1, 2, 5.0, 500.0), (1, 2, 6.0, 600.0)], "doc_id int, page int, x double, y double")
+    got = assembly.assembled(spark.createDataFrame(lines, LINE), spark.createDataFrame(tables, TABLE), images, size=220, overlap=20)
+    rows_of = [(r.chunk_index, "/".join(r.section_path), r.content) for r in got.where("doc_id = 1").orderBy("chunk_index").collect()]
+    head = lambda page, columns: f"Bảng, trang PDF {page}. Các ô cùng dòng thuộc cùng một bản ghi." + (f"\nTiêu đề nhóm cột: {columns}" if columns else "")
+    assert rows_of == [
+        (0, "1. First:", "body one"),
+        (1, "1. First:", f"{head(1, 'a | b')}\nDòng 1: a | b\nDòng 2: {'x' * 30}"),
+        (2, "1. First:", f"{head(1, 'a | b')}\nDòng 3: {'y' * 200}"),
+        (3, "1. First:", f"{head(2, 'a | b')}\nDòng 1: goes on"),
+        (4, "1. First:", f"{head(2, 'c | d')}\nDòng 2: c | d"),
+        (5, "1. First:", "after"),
+        (6, "2. Second:", "between"),
+        (7, "2. Second:", f"{head(3, '')}\nDòng 1: anew"),
+    ]
+    assert [tuple(r) for r in got.where("doc_id = 2").collect()] == [(2, 0, None, [], "only a line")]
