@@ -141,3 +141,12 @@ def test_large_buckets_and_edge_cases(spark, make, edge, monkeypatch):
     left = simhash.keep_one_of_each(edge)
     assert left.columns == edge.columns and {r.doc_id for r in left.collect()} >= {1, None, 5, 8, 11, 12, 13, 14}
     assert simhash.keep_one_of_each(edge.where("false")).count() == 0
+
+
+def test_no_similar_texts_stay_among_the_given(spark):
+    """Of the given documents no two that stay are as alike as 0.8, all pairs compared."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    left = [r.text for r in simhash.keep_one_of_each(docs).collect() if r.text and r.text.strip()]
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in left]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert not near and len(left) > 100
