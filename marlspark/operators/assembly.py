@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from marlspark.operators.chunking import OVERLAP, SIZE, cut_windows
 from marlspark.operators.layout import LEVELS, heading_paths, outside_tables
 from marlspark.operators.pdf_headings import FOOT, page_headings
+from marlspark.operators.search import stored
 
 #: Bounds of a table that goes on may differ by so much, in points.
 ALIGNED = 4.0
@@ -77,13 +78,14 @@ def assembled(spans: DataFrame, tables: DataFrame, images: DataFrame, size: int
 
     spans: as `page_headings` takes them; tables: as `ruled_tables` gives them; images: doc_id, page, x, y.
     """
+    tables = stored(tables, "page-tables")
     boxes = tables.select("doc_id", "page", "x1", "y1", "x2", "y2").distinct()
     free = outside_tables(spans, boxes)
     lines = page_headings(free.select(*spans.columns))
     heights = spans.groupBy("doc_id", "page").agg(F.max("page_height").alias("height"))
     foot = F.col("text").rlike(r"(?U)^\s*\p{Nd}+\s*$") & (F.col("y") >= F.col("height") * FOOT)
-    told = lines.join(heights, ["doc_id", "page"]).withColumn("foot", foot)
-    headed = carried_headers(tables, told.where(~F.col("foot") & (F.trim("text") != "")))
+    told = stored(lines.join(heights, ["doc_id", "page"]).withColumn("foot", foot), "page-lines")
+    headed = stored(carried_headers(tables, told.where(~F.col("foot") & (F.trim("text") != ""))), "page-rows")
 
     none = lambda kind: F.lit(None).cast(kind)
     text = told.where(~F.col("foot") | (F.col("level") > 0)).select("doc_id", "page", "y", F.lit(0).alias("kind"), F.col("position").cast("double").alias("x"), F.least("level", F.lit(LEVELS)).alias("level"), "text", none("int").alias("table"))
@@ -92,7 +94,7 @@ def assembled(spans: DataFrame, tables: DataFrame, images: DataFrame, size: int
     pathed = heading_paths(text.unionByName(pictures).unionByName(grids), "doc_id", ["page", "y", "x", "kind"], "level", "text")
     order = Window.partitionBy("doc_id").orderBy("page", "y", "x", "kind")
     cut = (F.col("level") > 0) | (F.col("kind") == 2)
-    parts = pathed.withColumn("part", F.count_if(cut).over(order)).withColumn("at", F.row_number().over(order))
+    parts = stored(pathed.withColumn("part", F.count_if(cut).over(order)).withColumn("at", F.row_number().over(order)), "page-parts")
 
     body = parts.where((F.col("level") == 0) & (F.col("kind") != 2)).groupBy("doc_id", "part").agg(
         F.first("path").alias("path"),
