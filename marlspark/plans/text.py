@@ -106,7 +106,7 @@ def fixed_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of each document as one line: all are parts of it, the first begins and the last ends it, none is too long, and a short one is its only window."""
     line = F.btrim(F.translate("text", "\n", " "), F.lit(" "))
     docs = _docs(spark, sf_dir).select("doc_id", line.alias("text"))
-    windows = chunking.fixed_chunks(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("w"))
+    windows = chunking.fixed_chunks(docs, headings=False).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("w"))
     met = windows.join(docs, "doc_id")
     first, last = F.get("w", F.lit(0))["content"], F.element_at("w", -1)["content"]
     inside = F.forall("w", lambda x: F.contains(F.col("text"), x["content"]))
