@@ -270,7 +270,10 @@ SHARED = "len(list_intersect(terms, h))"
              len(list_filter(heads, lambda h: len(terms) >= 3 AND {SHARED} >= 3 AND ({SHARED}::DOUBLE / len(terms) >= 0.5 OR {SHARED}::DOUBLE / greatest(len(h), 1) >= 0.6))) > 0
              OR regexp_matches(form, '{text.POLICY}') OR regexp_matches(form, '{text.SECTION}') AS wide FROM r2),
     t2 AS (SELECT *, bool_or(wide) OVER (PARTITION BY query_id) AS broad FROM s2),
-    u2 AS (SELECT query_id, document_id, terms, CASE WHEN broad AND list_max(scores) >= 2 THEN path[1:list_position(scores, list_max(scores))] WHEN broad THEN path[1:1] ELSE path[1:2] END AS scope, min(rank) AS rank FROM t2 GROUP BY ALL),
+    l2 AS (SELECT *, coalesce(list_max(list_transform(path, lambda v, i: CASE WHEN regexp_matches(v, '{text.NUMBERED}') THEN i END)), 0) AS last FROM t2),
+    m2 AS (SELECT *, regexp_extract(regexp_extract(path[last], '^(\d+(?:\.\d+)*)', 1), '^(.*)\.\d+$', 1) AS parent FROM l2),
+    o2 AS (SELECT *, CASE WHEN last > 0 AND length(parent) > 0 THEN list_max(list_transform(path, lambda v, i: CASE WHEN i < last AND regexp_extract(v, '^(\d+(?:\.\d+)*)[.)]?\s+', 1) = parent THEN i END)) END AS above FROM m2),
+    u2 AS (SELECT query_id, document_id, terms, CASE WHEN broad AND list_max(scores) >= 2 THEN path[1:list_position(scores, list_max(scores))] WHEN broad AND above > 0 THEN path[1:above] WHEN last > 0 THEN path[1:last] ELSE path END AS scope, min(rank) AS rank FROM o2 GROUP BY ALL),
     v2 AS (SELECT *, len(list_intersect(terms, {_terms("scope[len(scope)]")})) AS last FROM u2 x WHERE NOT EXISTS
             (SELECT 1 FROM u2 y WHERE x.query_id = y.query_id AND x.document_id = y.document_id AND len(y.scope) > len(x.scope) AND y.scope[1:len(x.scope)] = x.scope)),
     w2 AS (SELECT *, max(last) OVER (PARTITION BY query_id) AS strongest FROM v2)
