@@ -11,9 +11,11 @@ walk over the true links gives a spanning tree of each cluster, not its pairs: a
 links. Each node leaves the walk when reached.
 
 Four bits are strict: of pairs that share 0.8 of their shingles few are as near. So `keep_one_of_each` links
-texts of a Jaccard similarity of at least 0.8 in five-word shingles besides. These meet in bands of least
-shingle hashes, one for each band and text; a walk over a bucket's sketches gives a spanning tree, whose
-links count if the exact similarity of the two texts says so.
+texts of a Jaccard similarity of at least 0.8 in five-word shingles besides, all of them. Most meet in bands of
+least shingle hashes; a walk over a bucket's sketches gives a spanning tree, whose links count if the exact
+similarity of the two texts says so. What the bands miss is found by prefixes: of two such texts, the shingles
+that come first in one common order, a fifth of each text's, share one at least. Only texts that the bands have
+not connected are compared there, so copies don't multiply.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; texts of fewer than
 four words have one shingle; a row without a doc_id links to nothing and has no component;
@@ -24,6 +26,7 @@ linked each by its own text; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,6 +165,10 @@ BANDS, BAND_SIZE, SKETCH = 12, 3, 96
 SKETCH_MARGIN = 0.15
 #: Rows of a bucket that are held at once.
 WALK_ROWS = 8192
+#: One text in so many tells which shingles are frequent: those found in so many of these, so many shingles at most.
+ORDER_SAMPLE, ORDER_LEAST, ORDER_SIZE = 16, 4, 1 << 18
+#: Pairs that a task holds before it hands them on.
+PAIR_ROWS = 100_000
 MULTIPLIER = mixed(np.arange(1, max(BANDS * BAND_SIZE, SKETCH) + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -185,8 +192,8 @@ def _least(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_links(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(u, v): links between texts (h, text; h distinct) of at least this Jaccard similarity of shingles, enough to connect those that meet."""
+def banded_pairs(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(u, v): texts (h, text; h distinct) that meet in a band and look alike in their sketches, enough to connect most that are alike."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -244,7 +251,11 @@ def similar_links(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
-    pairs = written(dealt.mapInArrow(walk, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "band-pairs")
+    return written(dealt.mapInArrow(walk, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "band-pairs")
+
+
+def judged_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose texts are as alike."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,6 +270,127 @@ def similar_links(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     return paired.select("u", "v", "a", "b").mapInArrow(judged, "u long, v long")
 
 
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles found often in one text of `ORDER_SAMPLE`, sorted: at most `ORDER_SIZE`. They come last in the order; which they are costs time only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_ranks(shingle_hashes(text.as_py())).view(np.int64))], ["s"])
+
+    seen = texts.where(F.pmod("h", F.lit(ORDER_SAMPLE)) == 0).select("text").mapInArrow(run, "s long")
+    often = seen.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST).orderBy(F.desc("n"), "s").limit(ORDER_SIZE)
+    return np.sort(np.array([r.s for r in often.select("s").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _ranks(hashes: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+    """Places of shingles in the common order: by hash, the frequent ones behind all others."""
+    found = hashes >> np.uint64(1)
+    if often is not None and len(often):
+        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+        found = found | ((often[at] == found).astype(np.uint64) << np.uint64(63))
+    return np.sort(found)
+
+
+def prefix_size(size: int, least: float) -> int:
+    """So many shingles of a text suffice to meet any text as alike, in a common order."""
+    return size - math.ceil(least * size - 1e-9) + 1
+
+
+def prefix_pairs(prefixes: DataFrame, least: float) -> DataFrame:
+    """(u, v): texts of different clusters that may be as alike, by a shared shingle of their prefixes: all that are, and some that aren't.
+
+    prefixes: h, c (the cluster), size, prefix.
+    """
+    rows = prefixes.select("h", "c", "size", F.posexplode("prefix").alias("pos", "s"))
+    dealt = rows.repartition(max(shuffle_partitions(prefixes.sparkSession), 12), "s").sortWithinPartitions("s", "size")
+    share = least / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def may(size: np.ndarray, pos: np.ndarray, c: np.ndarray, i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
+            """Whether the texts can be as alike if this is the first shingle that they share."""
+            most = np.minimum(size[i] - pos[i], size[j] - pos[j])
+            return (c[i] != c[j]) & (size[j] * least <= size[i] + 1e-6) & (most >= share * (size[i] + size[j]) - 1e-6)
+
+        def found(s: np.ndarray, h: np.ndarray, c: np.ndarray, size: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1])
+            ends = np.append(starts[1:], len(s))
+            two = starts[ends - starts == 2]
+            two = two[may(size, pos, c, two, two + 1)]
+            out, n = [(h[two], h[two + 1])], len(two)
+            more = (ends - starts > 2) & (np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts))
+            for a, e in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+                for i in range(a, e - 1):
+                    stop = i + 1 + int(np.searchsorted(size[i + 1 : e], size[i] / least + 1e-6, "right"))
+                    near = np.flatnonzero(may(size, pos, c, i, slice(i + 1, stop))) + i + 1
+                    if len(near):
+                        out.append((np.full(len(near), h[i]), h[near]))
+                        n += len(near)
+                    if n >= PAIR_ROWS:
+                        yield told(out)
+                        out, n = [], 0
+            if n:
+                yield told(out)
+
+        def told(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            u, v = map(np.concatenate, zip(*out, strict=True))
+            one = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1])], ["u", "v"])
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(x).to_numpy() for x in ("s", "h", "c", "size", "pos")]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shingle may go on in the next batch
+            if cut:
+                yield from found(*map(np.concatenate, zip(*held, [x[:cut] for x in columns], strict=True)))
+                held = []
+            held.append([x[cut:] for x in columns])
+        if held:
+            yield from found(*map(np.concatenate, zip(*held, strict=True)))
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def similar_links(texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(u, v): links between texts (h, text; h distinct) of at least this Jaccard similarity of shingles, enough to connect all that are as alike."""
+    first = written(judged_pairs(banded_pairs(texts, least), texts, least), "band-links")
+    often = frequent_shingles(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, prefixes = [], [], []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
+                ranks = _ranks(shingle_hashes(text.as_py()), often)
+                if len(ranks):
+                    names.append(h)
+                    sizes.append(len(ranks))
+                    prefixes.append(ranks[: prefix_size(len(ranks), least)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["h", "size", "prefix"])
+
+    told = texts.select("h", "text").mapInArrow(run, "h long, size long, prefix array<long>")
+    clusters = components(first).select(F.col("node").alias("h"), "component")
+    prefixes = written(told.join(clusters, "h", "left").select("h", F.coalesce("component", "h").alias("c"), "size", "prefix"), "prefixes")
+    pairs = written(prefix_pairs(prefixes, least), "prefix-pairs")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Up to the nearer end of two prefixes both texts are known, so what they share there bounds what they can share."""
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(batch.column("a"), batch.column("b"), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = (np.asarray(z.values).view(np.uint64) for z in (a, b))
+                end = min(a[-1], b[-1])
+                a, b = a[a <= end], b[b <= end]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(both + min(x - len(a), y - len(b)) >= least / (1 + least) * (x + y) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    side = lambda h, p, n: prefixes.select(F.col("h").alias(h), F.col("prefix").alias(p), F.col("size").alias(n))
+    near = pairs.join(side("u", "a", "x"), "u").join(side("v", "b", "y"), "v").select("u", "v", "a", "b", "x", "y").mapInArrow(possible, "u long, v long")
+    return first.unionAll(judged_pairs(written(near, "prefix-near"), texts, least))
+
+
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float | None = SIMILAR) -> DataFrame:
     """`docs` with one row of each cluster, that of the smallest doc_id; rows without a doc_id stay.
 

@@ -150,3 +150,37 @@ def test_no_similar_texts_stay_among_the_given(spark):
     sets = [set(simhash.shingle_hashes(t).tolist()) for t in left]
     near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert not near and len(left) > 100
+
+
+def test_no_link_is_lost(spark):
+    """Links connect just what all pairs do, where texts lie around the similarity of 0.8 and a band's walk begins at one that is less like the others."""
+    draw = np.random.default_rng(7)
+    texts = ["one two", "One  two", "a b c d e", "a b c d e f"]
+    for k in range(40):
+        words = [f"w{x}" for x in draw.integers(0, 3000, int(draw.integers(20, 160)))]
+        for _ in range(8):
+            other = list(words)
+            for at in draw.integers(0, len(words), int(draw.integers(1, max(2, len(words) // 35)))):
+                other[at] = f"c{k}x{draw.integers(0, 40)}"
+            texts.append(" ".join(other))
+    rows = spark.createDataFrame([(t,) for t in sorted(set(texts))], "text string").select(F.xxhash64("text").alias("h"), "text").collect()
+    names, sets = [r.h for r in rows], [set(simhash.shingle_hashes(r.text).tolist()) for r in rows]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+    def classes(pairs):
+        root = {h: h for h in names}
+
+        def top(h):
+            while root[h] != h:
+                h = root[h]
+            return h
+
+        for u, v in pairs:
+            a, b = sorted((top(u), top(v)))
+            root[b] = a
+        return {h: top(h) for h in names}
+
+    got = simhash.similar_links(spark.createDataFrame(rows, "h long, text string")).collect()
+    assert {(r.u, r.v) for r in got} <= {tuple(sorted((names[i], names[j]))) for i, j in alike}
+    assert classes((r.u, r.v) for r in got) == classes((names[i], names[j]) for i, j in alike)
+    assert len(set(classes((names[i], names[j]) for i, j in alike).values())) < len(names) - 100
