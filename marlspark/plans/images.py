@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlspark.functions import numeric
-from marlspark.operators import image_search, search
+from marlspark.operators import image_search, search, vector_best
 from marlspark.plans.base import query, read
 
 POINTS = """
@@ -18,11 +18,13 @@ b AS (SELECT query_id, product, id, label, similarity FROM (SELECT *, row_number
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product) AS rank FROM b)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str, own: int = 0) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str, k: int, by: str | None = None, alike: bool = False, own: int = 0) -> DataFrame:
+    """What may be among the `k` best pictures of each query, or of each query and value of `by`; with `alike` of the query's label only."""
     rows = read(spark, sf_dir, "embeddings")
-    points = rows.select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 50).alias("product"))
-    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
-    return search.vector_scores(points, asked).where((F.col("id") != F.col("query_id")) | (F.col("query_id") % own == 0) if own else F.col("id") != F.col("query_id"))
+    points = rows.select(F.col("vec_id").cast("long").alias("id"), "embedding", "label", (F.col("vec_id") % 50).alias("product"))
+    counts = F.col("vec_id") % own == 0 if own else F.lit(False)
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"), counts.alias("own"))
+    return vector_best.vector_best(points, asked, k, by, ("label", "query_label") if alike else None)
 
 
 def best_of_each(scores: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def best_of_each(scores: DataFrame) -> DataFrame:
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_of_each(_scores(spark, sf_dir))
+    return best_of_each(_scores(spark, sf_dir, 1, "product"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -53,9 +55,8 @@ def best_per_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50 candidates of all types and 50 of the query's own, put together, best of each product."""
-    scores = _scores(spark, sf_dir)
-    every = search.top_per_query(scores, 50, "similarity", "id")
-    own = search.top_per_query(scores.where(F.col("label") == F.col("query_label")), 50, "similarity", "id")
+    every = search.top_per_query(_scores(spark, sf_dir, 50), 50, "similarity", "id")
+    own = search.top_per_query(_scores(spark, sf_dir, 50, alike=True), 50, "similarity", "id")
     return best_of_each(every.unionByName(own)).select("query_id", "product", "id", "similarity")
 
 
@@ -65,7 +66,7 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fast_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the best product is sure at once: similar enough, and by far enough; every third query has its own picture among the points."""
-    rows = search.top_per_query(best_of_each(_scores(spark, sf_dir, 60)), 2, "similarity", "product")
+    rows = search.top_per_query(best_of_each(_scores(spark, sf_dir, 1, "product", own=60)), 2, "similarity", "product")
     top = rows.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("product"))).alias("product"), F.max("similarity").alias("top"), F.max(F.when(F.col("rank") == 2, F.col("similarity"))).alias("second"))
     margin = F.col("top") - F.coalesce("second", F.lit(0.0))
     return top.select("query_id", "product", F.round(margin, 6).alias("margin"), ((F.col("top") >= 0.88) & (margin >= 0.08)).alias("accepted"))
@@ -160,6 +161,6 @@ SURE = "SELECT query_id FROM {0} GROUP BY query_id HAVING max(similarity) >= 0.8
 )
 def picture_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches by picture from first hits to what is shown; the second opinion is a stand-in from the ids, and every third query has its own picture among the points."""
-    scores = _scores(spark, sf_dir, 60)
+    n = image_search.CANDIDATES
     visual = lambda rows: ((rows["id"] * 7 + rows["query_id"]) % 101).cast("double") / 100
-    return image_search.search_by_picture(scores, scores.where(F.col("label") == F.col("query_label")), visual, 0.25)
+    return image_search.search_by_picture(_scores(spark, sf_dir, n, own=60), _scores(spark, sf_dir, n, alike=True, own=60), visual, 0.25)
