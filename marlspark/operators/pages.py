@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -48,6 +48,20 @@ class KeyedPages:
     def _part(self, part: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/part={part}")
 
+    def walk(self, limit: int, where: Column | None = None, search: Column | None = None) -> DataFrame:
+        """The rows that `page` gives from the first cursor to the last, with the number of their page from 1, in a few jobs.
+
+        A row's page follows from its place in its part and how many rows of earlier parts match; the latter is
+        a row for each part.
+        """
+        rows = self.spark.read.schema(StructType([*self.schema.fields, StructField("part", IntegerType())])).parquet(self.path)
+        for condition in (where, search):
+            rows = rows if condition is None else rows.where(condition)
+        counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+        placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(self.key))).join(F.broadcast(before), "part")
+        return placed.select(*[f"`{f.name}`" for f in self.schema.fields], (F.floor((F.col("before") + F.col("at") - 1) / limit) + 1).cast("long").alias("page"))
+
     def page(self, limit: int, cursor: str | None = None, where: Column | None = None, search: Column | None = None) -> tuple[list[Row], str | None]:
         """The next `limit` rows and the cursor behind them, null at the end; `self.read` then has the parts that were read.
 
