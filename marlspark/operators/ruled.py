@@ -14,10 +14,12 @@ and the rows below it until the next.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from marlspark.operators.layout import BOLD_SHARE
 #: Lines this near to each other, in points, are one; so far may two that touch be apart.
 NEAR, TOUCH = 1.5, 2.0
 PAGE = ["doc_id", "page"]
+#: Rows that a task hands on at once.
+ROWS = 10_000
 
 
 def joined_lines(segments: DataFrame) -> DataFrame:
@@ -46,6 +50,15 @@ def joined_lines(segments: DataFrame) -> DataFrame:
     return placed.groupBy(*kind, "track", "piece").agg(F.first("at").alias("at"), F.min("a").alias("a"), F.max("b").alias("b")).drop("track", "piece")
 
 
+def _parted(lines: np.ndarray, places: list[float], steps: list[float]) -> np.ndarray:
+    """Whether a line at the i-th place reaches from the j-th step to the next; lines: level, at, a, b."""
+    ends = np.array(steps)
+    reaches = (lines[:, 2, None] <= ends[None, :-1] + TOUCH) & (lines[:, 3, None] >= ends[None, 1:] - TOUCH)
+    found = np.zeros((len(places), len(steps) - 1), dtype=bool)
+    np.logical_or.at(found, np.searchsorted(places, lines[:, 1]), reaches)
+    return found
+
+
 def _cells(lines: np.ndarray) -> Iterator[tuple[tuple[float, ...], list[tuple[int, int, int, int]], list[float], list[float]]]:
     """(bounds, cells, xs, ys) of each table of a page; lines: level, at, a, b; cells: first and last column and row of each."""
     h, v = lines[lines[:, 0] == 1], lines[lines[:, 0] == 0]
@@ -62,7 +75,6 @@ def _cells(lines: np.ndarray) -> Iterator[tuple[tuple[float, ...], list[tuple[in
         xs, ys = sorted(set(across[:, 1].tolist())), sorted(set(mine[:, 1].tolist()))
         if len(xs) < 3 or len(ys) < 2:
             continue
-        covers = lambda table, at, a, b: bool(((np.abs(table[:, 1] - at) < 1e-6) & (table[:, 2] <= a + TOUCH) & (table[:, 3] >= b - TOUCH)).any())
         label = {(i, j): (i, j) for j in range(len(ys) - 1) for i in range(len(xs) - 1)}
 
         def root(cell: tuple[int, int], label: dict = label) -> tuple[int, int]:
@@ -70,10 +82,13 @@ def _cells(lines: np.ndarray) -> Iterator[tuple[tuple[float, ...], list[tuple[in
                 cell = label[cell]
             return cell
 
-        for i, j in list(label):
-            if i + 2 < len(xs) and not covers(across, xs[i + 1], ys[j], ys[j + 1]):
+        beside, below = _parted(across, xs, ys), _parted(mine, ys, xs)
+        right, down = (np.zeros((len(ys) - 1, len(xs) - 1), dtype=bool) for _ in range(2))  # cells that are one with the next
+        right[:, :-1], down[:-1, :] = ~beside[1:-1].T, ~below[1:-1]
+        for j, i in np.argwhere(right | down).tolist():
+            if right[j, i]:
                 label[root((i + 1, j))] = root((i, j))
-            if j + 2 < len(ys) and not covers(mine, ys[j + 1], xs[i], xs[i + 1]):
+            if down[j, i]:
                 label[root((i, j + 1))] = root((i, j))
         members: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for cell in label:
@@ -85,25 +100,32 @@ def _cells(lines: np.ndarray) -> Iterator[tuple[tuple[float, ...], list[tuple[in
 SCHEMA = "table int, x1 double, y1 double, x2 double, y2 double, row int, line string, header string"
 
 
-def _page_tables(lines: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
+def _page_tables(given: np.ndarray, words: list[tuple]) -> list[tuple]:
+    """Rows as in SCHEMA; given: level, at, a, b; words: x1, y1, x2, y2, text, bold."""
     found = []
-    given = lines[["level", "at", "a", "b"]].to_numpy(dtype=float)
-    words = list(spans.sort_values(["y1", "x1"])[["x1", "y1", "x2", "y2", "text", "bold"]].itertuples(index=False)) if len(spans) else []
+    centres = [((w[0] + w[2]) / 2, (w[1] + w[3]) / 2, w) for w in sorted(words, key=lambda w: (w[1], w[0]))]
     tables = sorted(_cells(given), key=lambda t: (t[0][1], t[0][0]))
     for number, (bounds, cells, xs, ys) in enumerate(tables):
         said: dict[tuple, list] = {c: [] for c in cells}
-        for w in words:
-            x, y = (w.x1 + w.x2) / 2, (w.y1 + w.y2) / 2
-            for c in cells:
-                if xs[c[0]] <= x < xs[c[1] + 1] and ys[c[2]] <= y < ys[c[3] + 1]:
-                    said[c].append(w)
-        value = {c: " ".join(" ".join(w.text or "" for w in ws).split()) for c, ws in said.items()}
-        seen = lambda c, only: sum(len("".join((w.text or "").split())) for w in said[c] if w.bold or not only)
+        holds: dict[tuple[int, int], list[tuple]] = {}
+        for c in cells:
+            for j in range(c[2], c[3] + 1):
+                for i in range(c[0], c[1] + 1):
+                    holds.setdefault((i, j), []).append(c)
+        for x, y, w in centres:
+            for c in holds.get((bisect_right(xs, x) - 1, bisect_right(ys, y) - 1), ()):
+                said[c].append(w)
+        value = {c: " ".join(" ".join(w[4] or "" for w in ws).split()) for c, ws in said.items()}
+        seen = lambda c, only: sum(len("".join((w[4] or "").split())) for w in said[c] if w[5] or not only)
         if not any(value.values()):
             continue
+        rows: list[list[tuple]] = [[] for _ in ys[1:]]
+        for c in sorted(value):
+            if value[c]:
+                for j in range(c[2], c[3] + 1):
+                    rows[j].append(c)
         header, n = "", 0
-        for j in range(len(ys) - 1):
-            row = sorted(c for c in cells if c[2] <= j <= c[3] and value[c])
+        for row in rows:
             if not row:
                 continue
             n += 1
@@ -114,13 +136,48 @@ def _page_tables(lines: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
     return found
 
 
-def ruled_tables(segments: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, page, table, x1, y1, x2, y2, row, line, header): the rows of the tables of each page, which is one group on both sides."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple], list[tuple]]]:
+    """(page, its lines, its words) of rows in order of their page."""
+    page, lines, words = None, [], []
+    for batch in batches:
+        for doc_id, number, level, a, b, c, d, text, bold in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if page != (doc_id, number):
+                if lines and words:
+                    yield page, lines, words
+                page, lines, words = (doc_id, number), [], []
+            if level is not None:
+                lines.append((level, a, b, c))
+            elif None not in (a, b, c, d):  # without a centre it is in no cell
+                words.append((a, b, c, d, text, bold))
+    if lines and words:
+        yield page, lines, words
+
 
-    def run(key: tuple, lines: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        rows = _page_tables(lines, words) if len(lines) else []
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*PAGE, *names])
+def ruled_tables(segments: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, page, table, x1, y1, x2, y2, row, line, header): the rows of the tables of each page.
 
+    Lines and words go by page to a task, which takes one page after the other.
+    """
+    names = [*PAGE, *(c.split()[0] for c in SCHEMA.split(", "))]
     kinds = [f"{k} {segments.schema[k].dataType.simpleString()}" for k in PAGE]
-    return joined_lines(segments).groupBy(*PAGE).cogroup(spans.groupBy(*PAGE)).applyInPandas(run, ", ".join([*kinds, SCHEMA]))
+    types = [pa.int32(), *[pa.float64()] * 4, pa.int32(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        every = [*(first.schema.field(k).type for k in PAGE), *types]
+        rows: list[tuple] = []
+        for page, lines, words in _pages(chain([first], batches)):
+            rows += [(*page, *r) for r in _page_tables(np.array(lines, dtype=float), words)]
+            if len(rows) >= ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), every, strict=True)], names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), every, strict=True)], names)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    four = lambda *columns: [F.col(c).cast("double").alias(k) if c else none("double").alias(k) for c, k in zip(columns, "abcd", strict=True)]
+    lines = joined_lines(segments).select(*PAGE, "level", *four("at", "a", "b", None), none("string").alias("text"), none("boolean").alias("bold"))
+    words = spans.select(*[F.col(k).cast(segments.schema[k].dataType) for k in PAGE], none("boolean").alias("level"), *four("x1", "y1", "x2", "y2"), "text", "bold")
+    return lines.unionAll(words).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, ", ".join([*kinds, SCHEMA]))
