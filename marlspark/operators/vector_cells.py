@@ -6,7 +6,8 @@ point can't be nearer to a query than the gap between the query's angle to the c
 visits rings in the order of this gap: first so many that they hold FIRST_POINTS, which gives the
 similarity of its k-th neighbour; then those of the others whose gap allows as much. A part meets all its
 queries at once, in blocks, as a product of two matrices, and gives k rows a query at most. Nothing is
-cut: on vectors without structure all rings are visited.
+cut: on vectors without structure all rings are visited. Visits are written down as numbers, few queries at a
+time; the vectors join them when they meet a part.
 
 The centres are fitted on a bounded sample (SAMPLE_POINTS); they only decide how much is visited. The list
 of rings has at most CELLS * RINGS rows, whatever the data's size, and goes to every task.
@@ -33,6 +34,8 @@ CELLS, RINGS = 128, 64
 SAMPLE_POINTS = 10_000
 PART_POINTS, PART_QUERIES = 4_000, 2_000
 FIRST_POINTS = 2_000
+#: Queries whose products with a part a task holds at once, and visits that it writes down at once.
+MEET_QUERIES, VISIT_ROWS = 256, 50_000
 #: Similarities are rounded to 6 digits, so gaps are held against the threshold less this.
 MARGIN = 2e-6
 
@@ -90,7 +93,7 @@ class Cells:
         return cls(dealt.select("id", "embedding", "cell", "ring", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot")), centres, told)
 
     def _visits(self, queries: DataFrame, dimension: int, rings: int, first: bool, first_points: int, least: float) -> DataFrame:
-        """(query_id, vector, cell, ring, slot) of the rings that a query visits first, or of the others that may hold a neighbour.
+        """(query_id, cell, ring, slot) of the rings that a query visits first, or of the others that may hold a neighbour.
 
         queries: query_id, vector, threshold (null: none). Those of the first visit are worked out alike in both.
         """
@@ -99,7 +102,8 @@ class Cells:
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ring_of, width = told.value, np.pi / rings
             low, high = ring_of[:, 1] * width, (ring_of[:, 1] + 1) * width
-            for batch in batches:
+            step = max(1, VISIT_ROWS // max(1, int(ring_of[:, 3].sum()))) if len(ring_of) else 0
+            for batch in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step or whole.num_rows)):
                 if not len(ring_of):
                     return
                 angle = _angle(_matrix(batch.column("vector"), dimension) @ centres.value.T)
@@ -117,17 +121,16 @@ class Cells:
                     rows = np.repeat(chosen, slots)
                     out.append((np.full(len(rows), i), ring_of[rows, 0], ring_of[rows, 1], np.arange(len(rows)) - np.repeat(np.cumsum(slots) - slots, slots)))
                 row, cell, ring, slot = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=int),) * 4
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("vector").take(take), *(pa.array(c.astype(np.int32)) for c in (cell, ring, slot))], ["query_id", "vector", "cell", "ring", "slot"])
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), *(pa.array(c.astype(np.int32)) for c in (cell, ring, slot))], ["query_id", "cell", "ring", "slot"])
 
         kind = queries.schema["query_id"].dataType.simpleString()
-        return queries.select("query_id", "vector", "threshold").mapInArrow(visit, f"query_id {kind}, vector array<double>, cell int, ring int, slot int")
+        return queries.select("query_id", "vector", "threshold").mapInArrow(visit, f"query_id {kind}, cell int, ring int, slot int")
 
-    def _met(self, visits: DataFrame, dimension: int, k: int, least: float, part_queries: int) -> DataFrame:
+    def _met(self, visits: DataFrame, queries: DataFrame, dimension: int, k: int, least: float, part_queries: int) -> DataFrame:
         """(query_id, id, similarity) of the k best in each part, and how many points were compared."""
         key = ["cell", "ring", "slot"]
         counts = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / part_queries).cast("int").alias("blocks"))
-        asked = visits.join(counts, key).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+        asked = visits.join(counts, key).join(queries.select("query_id", "vector"), "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
         there = self.points.join(counts, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
         def meet(points: pa.Table, queries: pa.Table) -> pa.Table:
@@ -135,11 +138,12 @@ class Cells:
             if points.num_rows and queries.num_rows:
                 a, b = (_matrix(t.column(c).combine_chunks(), dimension) for t, c in ((points, "embedding"), (queries, "vector")))
                 ids = points.column("id").to_numpy()
-                scores = np.round(np.clip(b @ a.T, -1.0, 1.0), 6)
                 by_id = np.argsort(ids, kind="stable")
-                for i in range(len(b)):
-                    best = by_id[np.argsort(-scores[i, by_id], kind="stable")[:k]]
-                    rows.append((np.full(len(best), i), ids[best], scores[i, best]))
+                for start in range(0, len(b), MEET_QUERIES):
+                    scores = np.round(np.clip(b[start : start + MEET_QUERIES] @ a.T, -1.0, 1.0), 6)
+                    for i in range(len(scores)):
+                        best = by_id[np.argsort(-scores[i, by_id], kind="stable")[:k]]
+                        rows.append((np.full(len(best), start + i), ids[best], scores[i, best]))
             row, found, score = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))
             keep = score >= least
             return pa.table({"query_id": queries.column("query_id").take(pa.array(row[keep])), "id": pa.array(found[keep], pa.int64()), "similarity": pa.array(score[keep], pa.float64())})
@@ -154,10 +158,10 @@ class Cells:
         asked = queries.where((F.size("vector") == dimension) & ~F.exists("vector", lambda x: x.isNull())).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
         none = asked.withColumn("threshold", F.lit(None).cast("double"))
         first = stored(self._visits(none, dimension, rings, True, first_points, floor), "cell-first")
-        early = stored(top_per_query(self._met(first, dimension, k, floor, part_queries), k, "similarity", "id").drop("rank"), "cell-early")
+        early = stored(top_per_query(self._met(first, asked, dimension, k, floor, part_queries), k, "similarity", "id").drop("rank"), "cell-early")
         full = early.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("threshold")).where(F.col("n") == k).drop("n")
         second = stored(self._visits(asked.join(full, "query_id", "left"), dimension, rings, False, first_points, floor), "cell-second")
-        hits = top_per_query(early.unionByName(self._met(second, dimension, k, floor, part_queries)), k, "similarity", "id")
+        hits = top_per_query(early.unionByName(self._met(second, asked, dimension, k, floor, part_queries)), k, "similarity", "id")
         sizes = pd.DataFrame(self.rings, columns=["cell", "ring", "n", "slots"])
         spark: SparkSession = queries.sparkSession
         visited = first.unionByName(second).groupBy("query_id", "cell", "ring").agg(F.lit(1).alias("one")) if len(sizes) else None
