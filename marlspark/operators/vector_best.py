@@ -1,12 +1,13 @@
 """The best points of each query, or of each query and group, over all pairs of points and queries.
 
 Each task multiplies its points with a block of queries, part by part, and keeps the best of each group only; what
-leaves it is at most `k` rows for each query and group, whatever the number of points. The block, of at most
-QUERY_BATCH query vectors, is sent to every task; more blocks read the points again. All pairs are compared, so the
-time grows with points times queries; a task's memory with the block times the groups.
+leaves it is at most `k` rows for each query and group, or one for each of a query's `most` best groups, whatever the
+number of points. The block, of at most QUERY_BATCH query vectors, is sent to every task; more blocks read the points
+again. All pairs are compared, so the time grows with points times queries; a task's memory with the block times the groups.
 
 Defined results: similarity is the product of unit vectors, held to [-1, 1] and rounded to 6 digits, ties by id;
-vectors that are null or of another length than the queries' are no points, and such queries find nothing.
+vectors that are null or of another length than the queries' are no points, and such queries find nothing. Pairs are
+looked through in 32 bits, held against the least less the error these can have; what may reach it is worked out in 64.
 """
 
 from __future__ import annotations
@@ -21,86 +22,113 @@ from pyspark.sql import functions as F
 from marlspark.operators.search import QUERY_BATCH
 
 #: Points and queries that are multiplied at once; pairs that a task holds before it goes through them.
-POINT_ROWS, QUERY_ROWS, HELD = 1_024, 1_000, 2_000_000
-#: Similarities are rounded to 6 digits, so unrounded ones are held against the least less this.
-MARGIN = 1e-6
+POINT_ROWS, QUERY_ROWS, HELD = 1_024, 250, 2_000_000
+#: Similarities are whole millionths; BITS hold 0 to 2 * MILLION. Unrounded ones are held against the least less MARGIN.
+MILLION, BITS, MARGIN = 1_000_000, 21, 1e-6
 
 
-def vector_best(points: DataFrame, queries: DataFrame, k: int, by: str | None = None, same: tuple[str, str] | None = None) -> DataFrame:
+def vector_best(points: DataFrame, queries: DataFrame, k: int, by: str | None = None, same: tuple[str, str] | None = None, most: int | None = None) -> DataFrame:
     """(the queries' columns, the points' columns, similarity): of each task the `k` best points of each query, or of each query and value of `by`.
 
     points: id (long), embedding and more; queries: query_id (long), vector, own (whether the point of that id
     counts) and more. With `same`, a column of the points and one of the queries, only pairs that agree in it count.
-    The best of all tasks are among the rows.
+    The best of all tasks are among the rows. With `most` (and a `k` of 1) only the points of a query's `most` most
+    similar groups in the task and of those that tie with the last: who has as many groups ahead in one task has them
+    ahead in all, so the `most` best groups of all tasks and their best points are among the rows.
     """
+    if most and (k != 1 or not by):
+        raise ValueError("most is for the best point of each group")
     blocks = -(-queries.count() // QUERY_BATCH) or 1
     found = None
     for i in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        part = _best_of_block(points, block, k, by, same)
+        part = _best_of_block(points, block, k, by, same, most)
         found = part if found is None else found.unionAll(part)
     return found
 
 
-def _best_of_block(points: DataFrame, queries: DataFrame, k: int, by: str | None, same: tuple[str, str] | None) -> DataFrame:
+def _best_of_block(points: DataFrame, queries: DataFrame, k: int, by: str | None, same: tuple[str, str] | None, most: int | None) -> DataFrame:
     names = ["query_id", "vector", "own", *([same[1]] if same else [])]
     asked = [r for r in queries.where("vector IS NOT NULL").select(*names).orderBy("query_id").collect() if None not in r.vector]  # QUERY_BATCH at most
     dimension = max((len(r.vector) for r in asked), default=0)
     asked = [r for r in asked if len(r.vector) == dimension]
     vectors = np.array([r.vector for r in asked], dtype=np.float64).reshape(len(asked), dimension)
     ids, own = np.array([r.query_id for r in asked], dtype=np.int64), np.array([r.own for r in asked], dtype=bool)
-    kinds = [r[same[1]] for r in asked] if same else []
+    codes = {x: i for i, x in enumerate({r[same[1]] for r in asked} - {None})} if same else {}
+    kinds = np.array([codes.get(r[same[1]], -1) for r in asked] if same else [], dtype=np.int64)
     kept = [c for c in points.columns if c != "embedding"]
     good = points.where((F.size("embedding") == dimension) & ~F.exists("embedding", lambda x: x.isNull())).withColumn("embedding", F.col("embedding").cast("array<double>"))
     schema = ", ".join(["query_id long", *(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in kept), "similarity double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[object, int] = {}  # the values of `by` that were met
-        least = np.full((len(ids), 1), -np.inf)  # what a point of the query and group has to reach
+        least = np.full((len(ids), 1), -2 * MILLION)  # what a point of the query and group has to reach
+        floor = np.full(len(ids), -2 * MILLION)  # with `most`: what a point of the query has to reach, whatever its group
         best = None  # query, group, similarity and the point's columns of the rows kept so far
         held: list[tuple] = []
 
+        def nth_of(key: np.ndarray) -> np.ndarray:
+            """The place of each row among the following ones of its key, from 0."""
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+            return np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+
         def settle() -> None:
             """Keep the best of what is held."""
             nonlocal best, held
             rows = [*([best] if best else []), *held]
             q, g, score = (np.concatenate([r[x] for r in rows]) for x in range(3))
             columns = [pa.concat_arrays([r[3][x] for r in rows]) for x in range(len(kept))]
-            order = np.lexsort((columns[kept.index("id")].to_numpy(), -score, g, q))
-            q, g, score = q[order], g[order], score[order]
-            new = np.concatenate([[True], (np.diff(q) != 0) | (np.diff(g) != 0)])
-            starts = np.flatnonzero(new)
-            nth = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
-            stay = nth < k
-            best, held = (q[stay], g[stay], score[stay], [c.take(pa.array(order[stay])) for c in columns]), []
-            full = nth == k - 1
+            pair = q * least.shape[1] + g
+            order = np.lexsort((columns[kept.index("id")].to_numpy(), (pair << BITS) + MILLION - score))
+            nth = nth_of(pair[order])
+            full = order[nth == k - 1]
             least[q[full], g[full]] = score[full]
-
-        waiting = 0
+            order = order[nth < k]
+            if most:
+                order = order[np.lexsort((-score[order], q[order]))]
+                last = order[nth_of(q[order]) == most - 1]
+                floor[q[last]] = score[last]
+                order = order[score[order] >= floor[q[order]]]
+            best, held = (q[order], g[order], score[order], [c.take(pa.array(order)) for c in columns]), []
+
+        def may(limit: np.ndarray, error: float) -> np.ndarray:
+            """What an unrounded similarity has to reach; those under -1 count as -1."""
+            return np.where(limit <= -MILLION, -np.inf, limit / MILLION - MARGIN - error)
+
+        waiting, size = 0, POINT_ROWS // 16
+        short, length = vectors.astype(np.float32), np.linalg.norm(vectors, axis=1).max(initial=0.0)
+        product = {x: np.empty(QUERY_ROWS * POINT_ROWS, x) for x in (np.float32, np.float64)}
         for whole in batches:
             start = 0
             while len(ids) and start < whole.num_rows:
-                batch = whole.slice(start, POINT_ROWS if best else POINT_ROWS // 8)
+                batch = whole.slice(start, size)
                 start += batch.num_rows
                 matrix = batch.column("embedding").flatten().to_numpy().reshape(-1, dimension)
                 there = batch.column("id").to_numpy()
                 column = np.array([groups.setdefault(x, len(groups)) for x in batch.column(by).to_pylist()]) if by else np.zeros(len(there), dtype=int)
                 if len(groups) > least.shape[1]:
-                    least = np.concatenate([least, np.full((len(ids), max(len(groups), 2 * least.shape[1]) - least.shape[1]), -np.inf)], axis=1)
-                kind = np.array(batch.column(same[0]).to_pylist(), dtype=object) if same else None
-                at = np.minimum(np.searchsorted(ids, there), len(ids) - 1)
-                itself = np.flatnonzero((ids[at] == there) & ~own[at])
+                    least = np.concatenate([least, np.full((len(ids), max(len(groups), 2 * least.shape[1]) - least.shape[1]), -2 * MILLION)], axis=1)
+                kind = np.array([codes.get(x, -2) for x in batch.column(same[0]).to_pylist()]) if same else None
+                longest = np.linalg.norm(matrix, axis=1).max()
+                error = (dimension + 2) * 2.0**-23 * length * longest
+                fits = error < 1e-3 and length < 1e9 and longest < 1e9  # not so for numbers that 32 bits can't hold
+                width, left, right = (np.float32, short, matrix.astype(np.float32)) if fits else (np.float64, vectors, matrix)
                 for a in range(0, len(ids), QUERY_ROWS):
-                    scores = np.clip(vectors[a : a + QUERY_ROWS] @ matrix.T, -1.0, 1.0)
-                    may = scores >= least[a : a + QUERY_ROWS][:, column] - MARGIN
-                    inside = itself[(at[itself] >= a) & (at[itself] < a + QUERY_ROWS)]
-                    may[at[inside] - a, inside] = False
+                    part = slice(a, a + QUERY_ROWS)
+                    rows = len(left[part])
+                    scores = np.matmul(left[part], right.T, out=product[width][: rows * len(there)].reshape(rows, len(there)))
+                    limit = may(floor[part, None] if most else least[part][:, column] if by else least[part], error if fits else 0.0)
+                    q, p = np.divmod(np.flatnonzero(scores >= limit.astype(width)), len(there))
+                    q += a
+                    counts = (ids[q] != there[p]) | own[q]
                     if same:
-                        may &= np.array([x for x in kinds[a : a + QUERY_ROWS]], dtype=object)[:, None] == kind[None, :]
-                        may &= np.array([x is not None for x in kind])[None, :]
-                    q, p = np.nonzero(may)
+                        counts &= kinds[q] == kind[p]
+                    q, p = q[counts], p[counts]
+                    score = np.rint(np.clip(np.einsum("ij,ij->i", vectors[q], matrix[p]), -1.0, 1.0) * MILLION).astype(np.int64)
+                    reached = score >= least[q, column[p]]
+                    q, p, score = q[reached], p[reached], score[reached]
                     if len(q):
-                        held.append((q + a, column[p], np.round(scores[q, p], 6), [batch.column(c).take(pa.array(p)) for c in kept]))
+                        held.append((q, column[p], score, [batch.column(c).take(pa.array(p)) for c in kept]))
                         waiting += len(q)
                     if waiting >= HELD:
                         settle()
@@ -108,11 +136,13 @@ def _best_of_block(points: DataFrame, queries: DataFrame, k: int, by: str | None
                 if held and (best is None or waiting >= HELD // 8):
                     settle()
                     waiting = 0
+                if best:
+                    size = min(2 * size, POINT_ROWS)
         if held:
             settle()
         if best:
             q, _, score, columns = best
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), *columns, pa.array(score)], ["query_id", *kept, "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), *columns, pa.array(score / MILLION)], ["query_id", *kept, "similarity"])
 
     told = good.select(*kept, "embedding").mapInArrow(run, schema)
     return told.join(F.broadcast(queries.drop("vector", "own")), "query_id")

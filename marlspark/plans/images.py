@@ -18,13 +18,14 @@ b AS (SELECT query_id, product, id, label, similarity FROM (SELECT *, row_number
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product) AS rank FROM b)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str, k: int, by: str | None = None, alike: bool = False, own: int = 0) -> DataFrame:
-    """What may be among the `k` best pictures of each query, or of each query and value of `by`; with `alike` of the query's label only."""
+def _scores(spark: SparkSession, sf_dir: str, k: int, by: str | None = None, alike: bool = False, own: int = 0, most: int | None = None) -> DataFrame:
+    """What may be among the `k` best pictures of each query, or of each query and value of `by` (of its `most` best values); with `alike` of the query's label only."""
     rows = read(spark, sf_dir, "embeddings")
-    points = rows.select(F.col("vec_id").cast("long").alias("id"), "embedding", "label", (F.col("vec_id") % 50).alias("product"))
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "vec_id")  # few files are few tasks else
+    points = dealt.select(F.col("vec_id").cast("long").alias("id"), "embedding", "label", (F.col("vec_id") % 50).alias("product"))
     counts = F.col("vec_id") % own == 0 if own else F.lit(False)
     asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"), counts.alias("own"))
-    return vector_best.vector_best(points, asked, k, by, ("label", "query_label") if alike else None)
+    return vector_best.vector_best(points, asked, k, by, ("label", "query_label") if alike else None, most)
 
 
 def best_of_each(scores: DataFrame) -> DataFrame:
@@ -37,8 +38,8 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_of_each(_scores(spark, sf_dir, 1, "product"))
 
 
-def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return search.top_per_query(_best(spark, sf_dir), k, "similarity", "product")
+def _ranked(spark: SparkSession, sf_dir: str, k: int, own: int = 0) -> DataFrame:
+    return search.top_per_query(best_of_each(_scores(spark, sf_dir, 1, "product", own=own, most=k)), k, "similarity", "product")
 
 
 @query(f"WITH {POINTS} SELECT query_id, product, id, similarity FROM b")
@@ -66,7 +67,7 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fast_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the best product is sure at once: similar enough, and by far enough; every third query has its own picture among the points."""
-    rows = search.top_per_query(best_of_each(_scores(spark, sf_dir, 1, "product", own=60)), 2, "similarity", "product")
+    rows = _ranked(spark, sf_dir, 2, own=60)
     top = rows.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("product"))).alias("product"), F.max("similarity").alias("top"), F.max(F.when(F.col("rank") == 2, F.col("similarity"))).alias("second"))
     margin = F.col("top") - F.coalesce("second", F.lit(0.0))
     return top.select("query_id", "product", F.round(margin, 6).alias("margin"), ((F.col("top") >= 0.88) & (margin >= 0.08)).alias("accepted"))
