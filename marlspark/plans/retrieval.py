@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspark.functions import text
-from marlspark.operators import context, search
+from marlspark.operators import context, search, vector_best
 from marlspark.plans.base import query, read
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -96,8 +96,9 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, asked = _points(spark, sf_dir)
     state = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     active = points.join(state, "id", "left").where(F.coalesce("quality", F.lit(1)) == 1).drop("quality")
-    found = search.vector_scores(active, asked, F.col("label") == F.col("query_label"))
-    return search.top_per_query(found.select("query_id", "id", "similarity"), search.CANDIDATES, "similarity", "id")
+    dealt = active.repartition(spark.sparkContext.defaultParallelism, "id")  # few files are few tasks else
+    found = vector_best.vector_best(dealt, asked.withColumn("own", F.lit(True)), search.CANDIDATES, same=("label", "query_label"), odd=True)
+    return search.top_per_query(found.select("query_id", "id", "similarity"), search.CANDIDATES, "similarity", F.asc_nulls_last("id"))
 
 
 @query(
